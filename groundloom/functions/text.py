@@ -172,7 +172,8 @@ _FOLD_FROM, _FOLD_TO, _FOLD_COMPLEX, _FOLD_SUSPECT = _fold_tables()
 def fold_accents(c: Column) -> Column:
     """NFKD with combining marks removed."""
     plain = F.translate(c, _FOLD_FROM, _FOLD_TO)
-    return F.coalesce(_fold_batch(F.when(c.rlike(_FOLD_SUSPECT) & c.rlike(_FOLD_COMPLEX), c)), plain)
+    suspects = F.regexp_replace(c, "[^" + _FOLD_SUSPECT[1:-1] + "]+", "")
+    return F.coalesce(_fold_batch(F.when(suspects.rlike(_FOLD_COMPLEX), c)), plain)
 
 
 def alias_normalize(c: Column) -> Column:
