@@ -312,22 +312,47 @@ def hybrid_pool(ranks: DataFrame, k: int = 60) -> DataFrame:
 def ranked_results(pool: DataFrame, chunks: DataFrame, top: int = 8) -> DataFrame:
     """The first ``top`` results of each question with header and display text; unknown chunks drop out."""
     crumb = F.coalesce(F.nullif(F.col("breadcrumb"), F.lit("")), F.lit("∅"))
-    header = F.format_string("[%d] %s | %s | chunk_id=%s | score=%.4f", "position", F.col("doc_id").cast("string"), crumb, F.col("chunk_id").cast("string"), "score")
+    header = F.format_string("[%d] %s | %s | chunk_id=%s | score=%.4f", "position", F.col("doc_id").cast("string"), crumb, F.col("chunk_id").cast("string"), F.bround("score", 4))
     picked = pool.filter(F.col("position") <= top).join(chunks, "chunk_id")
     return picked.select("query_id", "position", "chunk_id", header.alias("header"), snippet(F.col("text"), 600, " …").alias("shown"))
 
 
 def rerank_candidates(pool: DataFrame, chunks: DataFrame, limit: int = 50) -> DataFrame:
     """Per question the JSON list of its first candidates, each with a 400-character snippet."""
-    joined = pool.filter(F.col("position") <= limit).join(chunks, "chunk_id")
     item = F.struct(
         F.col("chunk_id").cast("string").alias("chunk_id"),
         F.coalesce("breadcrumb", F.lit("")).alias("breadcrumb"),
         F.col("doc_id").cast("string").alias("doc_id"),
         snippet(F.col("text"), 400).alias("snippet"),
     )
+    return _listed(pool, chunks, limit, item, "candidates")
+
+
+def _listed(selected: DataFrame, chunks: DataFrame, limit: int, item: Column, name: str) -> DataFrame:
+    """JSON list of ``item`` for at most ``limit`` selected chunks per question."""
+    joined = selected.filter(F.col("position") <= limit).join(chunks, "chunk_id")
     listed = joined.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", item.alias("item")))).alias("l"))
-    return listed.select("query_id", F.to_json("l.item").alias("candidates"))
+    return listed.select("query_id", F.to_json("l.item").alias(name))
+
+
+def sufficiency_evidence(selected: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per question the JSON list of its first 16 chunks with title and 280-character summary."""
+    item = F.struct(
+        F.col("chunk_id").cast("string").alias("chunk_id"),
+        context_title(F.col("breadcrumb"), F.col("section_path")).alias("title"),
+        snippet(F.col("text"), 280).alias("summary"),
+    )
+    return _listed(selected, chunks, 16, item, "evidence")
+
+
+def validation_evidence(selected: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per question the JSON list of its first 10 chunks with breadcrumb and 350-character snippet."""
+    item = F.struct(
+        F.col("chunk_id").cast("string").alias("chunk_id"),
+        context_title(F.col("breadcrumb"), F.col("section_path")).alias("breadcrumb"),
+        snippet(F.col("text"), 350).alias("snippet"),
+    )
+    return _listed(selected, chunks, 10, item, "evidence")
 
 
 def context_title(breadcrumb: Column, section_path: Column) -> Column:
