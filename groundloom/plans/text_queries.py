@@ -122,14 +122,14 @@ def chat_title(spark, sf):
 @query(
     oracle(
         "v_vault",
-        "SELECT insight_id, CASE len(a) WHEN 0 THEN '' WHEN 1 THEN a[1] WHEN 2 THEN a[1] || ' or ' || a[2] ELSE array_to_string(a[1:len(a) - 1], ', ') || ', or ' || a[len(a)] END AS phrase FROM (SELECT insight_id, list(label ORDER BY answer_id) FILTER (pos % 4 >= ascii(answer_id) - 65 AND label <> '') AS a0, coalesce(a0, []::VARCHAR[]) AS a FROM v_vault GROUP BY insight_id)",
+        "SELECT insight_id, CASE len(a) WHEN 0 THEN '' WHEN 1 THEN a[1] WHEN 2 THEN a[1] || ' or ' || a[2] ELSE array_to_string(a[1:len(a) - 1], ', ') || ', or ' || a[len(a)] END AS phrase FROM (SELECT insight_id, list(label ORDER BY answer_id)[1:any_value(pos) % 5] AS a FROM v_vault GROUP BY insight_id)",
     )
 )
 def oxford_join(spark, sf):
-    """Lists of one to four labels."""
-    v = view(spark, sf, "v_vault").filter("pos % 4 >= ascii(answer_id) - 65")
-    lists = v.groupBy("insight_id").agg(F.array_sort(F.collect_list(F.struct("answer_id", "label"))).alias("a"))
-    return lists.select("insight_id", X.oxford_join(F.col("a.label")).alias("phrase"))
+    """Lists of none to four labels."""
+    labels = F.array_sort(F.collect_list(F.struct("answer_id", "label"))).label
+    lists = view(spark, sf, "v_vault").groupBy("insight_id", "pos").agg(labels.alias("a"))
+    return lists.select("insight_id", X.oxford_join(F.slice("a", F.lit(1), (F.col("pos") % 5).cast("int"))).alias("phrase"))
 
 
 @query(
