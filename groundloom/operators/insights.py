@@ -103,15 +103,12 @@ def validate_insight_answer(claims: DataFrame, vault: DataFrame) -> DataFrame:
 
 
 def batches_in_order(vault: DataFrame) -> DataFrame:
-    """Active insights in stored order with the 1-based place of their batch and of each within it.
+    """Active insights with the stored place of their batch and their 1-based place within it.
 
     Batches without active insights do not appear.
     """
-    index = insight_index(vault)
-    places = index.groupBy("batch_id").agg(F.min("batch_pos").alias("batch_pos"))
-    numbered = places.withColumn("batch_no", F.row_number().over(W.orderBy("batch_pos"))).select("batch_id", "batch_no")
     w = W.partitionBy("batch_id").orderBy("pos")
-    return index.withColumn("insight_no", F.row_number().over(w)).join(numbered, "batch_id")
+    return insight_index(vault).withColumn("insight_no", F.row_number().over(w))
 
 
 def vault_readiness(vaults: DataFrame, version: str) -> DataFrame:

@@ -125,10 +125,10 @@ def validate_insight_answer(spark, sf):
     return checked.select("submission_id", F.coalesce("batch_id", F.lit("")).alias("batch_id"), "valid")
 
 
-@query(oracle("v_vault", "SELECT batch_id, insight_id, dense_rank() OVER (ORDER BY batch_pos) AS batch_no, row_number() OVER (PARTITION BY batch_id ORDER BY pos) AS insight_no FROM ix", INDEX))
+@query(oracle("v_vault", "SELECT batch_id, batch_pos, insight_id, row_number() OVER (PARTITION BY batch_id ORDER BY pos) AS insight_no FROM ix", INDEX))
 def batches_in_order(spark, sf):
     ordered = I.batches_in_order(vault(spark, sf))
-    return ordered.select("batch_id", "insight_id", F.col("batch_no").cast("bigint").alias("batch_no"), F.col("insight_no").cast("bigint").alias("insight_no"))
+    return ordered.select("batch_id", "batch_pos", "insight_id", F.col("insight_no").cast("bigint").alias("insight_no"))
 
 
 @query(
