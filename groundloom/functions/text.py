@@ -12,7 +12,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def explode_once(df: DataFrame, array: Column, *names: str, keep: list[str] = ()) -> DataFrame:
+    """Rows of a computed array: ``(name)`` or, with two names, ``(position, name)``.
+
+    A plain explode of a computed column makes Spark infer a filter on the array, which repeats the whole
+    computation below it. The outer form does not, and its rows for empty arrays are dropped afterwards.
+    """
+    rows = F.explode_outer(array).alias(*names) if len(names) == 1 else F.posexplode_outer(array).alias(*names)
+    return df.select(*keep, rows).filter(F.col(names[-1]).isNotNull())
+
+
 def strip(c: Column) -> Column:
     return F.trim(c, F.lit(ALL_SPACE))
 
@@ -219,5 +229,5 @@ GENERIC_ANSWERS = ["other", "none", "none of these", "n/a", "not applicable", "n
 
 
 def is_generic_answer(label: Column) -> Column:
-    s = F.lower(strip(F.coalesce(label, F.lit(""))))
-    return F.exists(F.array(*[F.lit(g) for g in GENERIC_ANSWERS]), lambda g: s.startswith(g))
+    generic = F.array(*[F.lit(g) for g in GENERIC_ANSWERS])
+    return let(F.lower(strip(F.coalesce(label, F.lit("")))), lambda s: F.exists(generic, lambda g: s.startswith(g)))

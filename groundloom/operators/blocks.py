@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HS, line_terminated, lines, strip
+from ..functions.text import HS, explode_once, line_terminated, lines, strip
 
 # One line including its end. All texts matched here are line-terminated.
 _LINE = "[^\n]*\n"
@@ -73,13 +73,12 @@ def classify_lines(docs: DataFrame) -> DataFrame:
 def line_regions(docs: DataFrame) -> DataFrame:
     """Mode of every line: ``code``, ``table`` or ``text``."""
     run = F.col("run")
-    kind = run_kind(run)
-    tagged = docs.select("doc_id", F.posexplode(line_runs(F.col("text"))).alias("run_no", "run"))
+    tagged = explode_once(docs, line_runs(F.col("text")), "run_no", "run", keep=["doc_id"]).withColumn("kind", run_kind(run))
     # A blank that closes a table is part of the run but not of the table.
     per_line = tagged.select(
         "doc_id",
         "run_no",
-        kind.alias("kind"),
+        "kind",
         F.posexplode(F.split(F.substring(run, 1, F.length(run) - 1), "\n", -1)).alias("line_in_run", "line"),
     )
     blank_tail = (F.col("kind") == "table") & F.col("line").rlike(rf"\A{HS}*\z")
@@ -145,7 +144,7 @@ def with_blocks(docs: DataFrame) -> DataFrame:
 def explode_blocks(nested: DataFrame) -> DataFrame:
     """One row per block from a frame that carries ``blocks``."""
     keys = [c for c in ("doc_id", "version") if c in nested.columns]
-    return nested.select(*keys, F.explode("blocks").alias("b")).select(*keys, "b.*")
+    return explode_once(nested, F.col("blocks"), "b", keep=keys).select(*keys, "b.*")
 
 
 def build_blocks(docs: DataFrame) -> DataFrame:

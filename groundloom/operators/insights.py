@@ -45,12 +45,23 @@ def active_batches(vault: DataFrame) -> DataFrame:
     return vault.filter("batch_active").select(*BATCH).distinct()
 
 
+def known_batches(vault: DataFrame) -> DataFrame:
+    """Ids of active batches; of a stored index those with active insights."""
+    rows = vault if "answers" in vault.columns else vault.filter("batch_active")
+    return rows.select("batch_id").distinct()
+
+
 def active_answers(vault: DataFrame) -> DataFrame:
     return vault.filter("batch_active AND insight_active")
 
 
 def insight_index(vault: DataFrame) -> DataFrame:
-    """Active insights with their answers as a sorted array of (answer_id, label, aliases)."""
+    """Active insights with their answers as a sorted array of (answer_id, label, aliases).
+
+    An index is returned as it is, so every operator that takes the vault also takes a stored index.
+    """
+    if "answers" in vault.columns:
+        return vault
     per_answer = active_answers(vault).groupBy(*BATCH, *INSIGHT, "answer_id").agg(
         F.first("label").alias("label"), F.array_sort(F.collect_set("alias")).alias("aliases")
     )
@@ -125,7 +136,7 @@ def vault_readiness(vaults: DataFrame, version: str) -> DataFrame:
 
 def parse_answer_ids(raw: Column, valid: Column) -> Column:
     """Valid ids of a delimited string, upper-cased, first occurrences in order."""
-    parts = F.transform(F.split(strip(raw), r"[|,/\s]+"), lambda p: F.upper(p))
+    parts = F.split(F.upper(strip(raw)), r"[|,/\s]+")
     return F.coalesce(
         F.array_distinct(F.filter(parts, lambda p: (p != "") & (p != "NULL") & F.array_contains(valid, p))),
         F.array().cast("array<string>"),
@@ -320,7 +331,7 @@ def submit_survey(responses: DataFrame, vault: DataFrame) -> DataFrame:
     index = insight_index(vault).select(
         "insight_id", F.col("batch_id").alias("_of"), "is_multi", F.col("answers.answer_id").alias("_ids")
     )
-    batches = active_batches(vault).select("batch_id").withColumn("_batch", F.lit(True))
+    batches = known_batches(vault).withColumn("_batch", F.lit(True))
     joined = responses.join(batches, "batch_id", "left").join(index, "insight_id", "left")
     listed = F.coalesce(F.size("answer_ids"), F.lit(0)) > 0
     status = (

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.modeljson import field, has_field, is_json_object
-from ..functions.text import alias_normalize
+from ..functions.text import alias_normalize, let
 
 VERSIONED_EC = ["vault_version", "ec_id"]
 
@@ -107,8 +107,8 @@ SKILLS_HINTS = [
 
 
 def _hinted(text: Column, hints: list[str]) -> Column:
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    return F.lit(False) if not hints else F.exists(F.array(*[F.lit(h) for h in hints]), lambda h: padded.contains(h))
+    listed = F.array(*[F.lit(h) for h in hints])
+    return let(F.concat(F.lit(" "), text, F.lit(" ")), lambda t: F.exists(listed, lambda h: t.contains(h)))
 
 
 def rule_intents(texts: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.modeljson import extract_json_object, field
-from ..functions.text import is_generic_answer, oxford_join, strip
+from ..functions.text import explode_once, is_generic_answer, let, oxford_join, strip
 from .insights import active_answers, insight_index
 
 ASK = ["chat_id", "turn"]
@@ -28,8 +28,8 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, keys: list[str] = ASK, max
     lowered = texts.select(*keys, F.lower("text").alias("_text"))
     if wanted.limit(max_inline + 1).count() <= max_inline:
         listed = wanted.agg(F.array_sort(F.collect_list("phrase"))).scalar()
-        found = lowered.withColumn("_all", listed).select(*keys, F.filter("_all", lambda p: F.col("_text").contains(p)).alias("_hits"))
-        return found.select(*keys, F.explode("_hits").alias("phrase"))
+        found = let(F.col("_text"), lambda t: F.filter(listed, lambda p: t.contains(p)))
+        return explode_once(lowered, found, "phrase", keep=keys)
     # A zero-width look-ahead yields the up to three characters at every position in one linear scan.
     runs = F.regexp_extract_all("_text", F.lit("(?s)(?=(.{1,3}))"), F.lit(1))
     heads = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.array(r, F.substring(r, 1, 2), F.substring(r, 1, 1)))))
@@ -112,11 +112,12 @@ def mention_answers(asks: DataFrame, vault: DataFrame, k_items: int = 3, k_answe
     first = W.partitionBy("batch_id").orderBy("pos")
     items = insight_index(vault).withColumn("item_no", F.row_number().over(first)).filter(F.col("item_no") <= k_items)
     items = items.select("batch_id", "insight_id", "item_no", "question", F.filter("answers", lambda a: ~is_generic_answer(a.label)).alias("_answers"))
-    joined = asks.join(items, "batch_id").withColumn("_text", F.lower("text"))
-    scored = F.transform(
-        "_answers", lambda a, i: F.struct((-_mentions(F.col("_text"), a)).alias("s"), i.alias("i"), a.label.alias("label"))
+    joined = asks.join(items, "batch_id")
+    scored = let(
+        F.lower("text"),
+        lambda t: F.transform("_answers", lambda a, i: F.struct((-_mentions(t, a)).alias("s"), i.alias("i"), a.label.alias("label"))),
     )
-    ranked = joined.withColumn("_scored", F.array_sort(scored))
+    ranked = joined.withColumn("_scored", F.sort_array(scored))
     hit = F.filter("_scored", lambda x: x.s < 0)
     picked = ranked.withColumn("_hit", hit).withColumn("_pick", F.when(F.size("_hit") > 0, F.col("_hit")).otherwise(F.col("_scored")))
     return picked.select(*ASK, "batch_id", "insight_id", "item_no", "question", F.slice("_pick", 1, k_answers).label.alias("mention_answers"))
@@ -137,7 +138,7 @@ def deterministic_question(question: Column, is_multi: Column, labels: Column) -
 
 def mentions_any(question: Column, labels: Column) -> Column:
     lowered = F.lower(F.coalesce(question, F.lit("")))
-    return F.exists(labels, lambda t: (t != "") & lowered.contains(F.lower(t)))
+    return let(lowered, lambda q: F.exists(labels, lambda t: (t != "") & q.contains(F.lower(t))))
 
 
 def question_guard(question: Column, labels: Column, fallback: Column) -> Column:
@@ -163,13 +164,15 @@ def model_question(reply: Column, stage: Column) -> Column:
 
 def context_hook(text: Column, answers: Column) -> Column:
     """A short lead-in naming the first answer the text mentions, or empty text."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
 
-    def hit(a: Column) -> Column:
-        named = strip(a.label)
-        return (named != "") & (lowered.contains(F.lower(named)) | F.exists(a.aliases, lambda x: lowered.contains(F.lower(x))))
+    def hits(lowered: Column) -> Column:
+        def hit(a: Column) -> Column:
+            named = strip(a.label)
+            return (named != "") & (lowered.contains(F.lower(named)) | F.exists(a.aliases, lambda x: lowered.contains(F.lower(x))))
 
-    first = F.get(F.filter(answers, hit), F.lit(0)).label
+        return F.filter(answers, hit)
+
+    first = F.get(let(F.lower(F.coalesce(text, F.lit(""))), hits), F.lit(0)).label
     return F.coalesce(F.concat(F.lit("Since you mentioned "), F.lower(strip(first)), F.lit(",")), F.lit(""))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import lex_tokens, let, snippet
+from ..functions.text import explode_once, lex_tokens, let, snippet
 
 QUERY_KEYS = ["query_id", "sub_id"]
 
@@ -40,14 +40,12 @@ def term_counts(tokens: Column) -> Column:
     needs neither an explode nor a shuffle.
     """
     runs = F.regexp_extract_all(
-        F.concat(F.lit(" "), F.array_join(F.array_sort(tokens), " ")), F.lit(r" ([a-z0-9_]+)(?: \1(?![a-z0-9_]))*+"), F.lit(0)
+        F.concat(F.lit(" "), F.array_join(F.sort_array(tokens), " ")), F.lit(r" ([a-z0-9_]+)(?: \1(?![a-z0-9_]))*+"), F.lit(0)
     )
 
     def entry(run: Column) -> Column:
-        term = F.substring_index(F.substring(run, 2, 1 << 30), " ", 1)
-        return F.struct(
-            term.alias("term"), (F.length(run) / (F.length(term) + 1)).cast("bigint").alias("tf")
-        )
+        tf = F.length(run) - F.length(F.replace(run, F.lit(" ")))
+        return F.struct(F.substring_index(run, " ", -1).alias("term"), tf.cast("bigint").alias("tf"))
 
     return F.transform(runs, entry)
 
@@ -89,7 +87,7 @@ def bm25_index(chunks: DataFrame, epsilon: float = 0.25, store: str | None = Non
         postings = spark.read.parquet(os.path.join(store, "postings"))
     corpus = postings.agg(F.count("*").alias("n_docs"), (F.sum("doc_len") / F.count("*")).alias("avgdl"))
     n_docs = corpus.select("n_docs").scalar()
-    df = postings.select(F.explode("entries.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = explode_once(postings, F.col("entries.term"), "term").groupBy("term").agg(F.count("*").alias("df"))
     raw = df.withColumn("raw_idf", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean_idf = raw.agg(F.avg("raw_idf")).scalar()
     idf = F.when(F.col("raw_idf") < 0, F.lit(epsilon) * mean_idf).otherwise(F.col("raw_idf"))
@@ -110,24 +108,28 @@ def top_ranks(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25_topk(queries: DataFrame, index: LexicalIndex, k: int = 50, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_topk(
+    queries: DataFrame, index: LexicalIndex, k: int = 50, k1: float = 1.5, b: float = 0.75, max_broadcast_terms: int = 1_000_000
+) -> DataFrame:
     """Okapi top-``k`` of ``(query_id, sub_id, q)``; repeated query tokens count again.
 
     Only chunks that match are ranked; see :func:`pad_zero` for full lists. Postings are partitioned by
     chunk first: one chunk's matches then meet in the task that holds it and no (query, chunk) pair is
-    shuffled. Whether the query terms are broadcast is left to Spark, which decides by their size.
+    shuffled. The query terms are broadcast when their number, checked first, is within
+    ``max_broadcast_terms`` (some tens of bytes each); beyond it Spark joins by term and splits skewed terms.
     """
     avgdl = index.corpus.select("avgdl").scalar()
-    q_terms = (
+    counted = (
         queries.select(*QUERY_KEYS, F.explode(lex_tokens(F.col("q"))).alias("term"))
         .groupBy(*QUERY_KEYS, "term")
         .agg(F.count("*").alias("qtf"))
-        .join(index.terms.select("term", "idf"), "term")
-        .select("term", *QUERY_KEYS, (F.col("qtf") * F.col("idf")).alias("weight"))
-    )
-    postings = index.postings.repartition("chunk_id").select(
-        "chunk_id", (k1 * (1 - b + b * F.col("doc_len") / avgdl)).alias("norm"), F.explode("entries").alias("e")
     )
+    small = counted.limit(max_broadcast_terms + 1).count() <= max_broadcast_terms
+    weights = index.terms.select("term", "idf").join(F.broadcast(counted) if small else counted, "term")
+    q_terms = weights.select("term", *QUERY_KEYS, (F.col("qtf") * F.col("idf")).alias("weight"))
+    q_terms = F.broadcast(q_terms) if small else q_terms
+    normed = index.postings.repartition("chunk_id").withColumn("norm", k1 * (1 - b + b * F.col("doc_len") / avgdl))
+    postings = explode_once(normed, F.col("entries"), "e", keep=["chunk_id", "norm"])
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.col("norm"))
     scored = (
         postings.select("chunk_id", "norm", "e.term", "e.tf")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import answering as A
 from ..operators import chat as M
 from .fixtures import oracle, sql, table, view
-from .insight_queries import SURVEYS, survey_rows
+from .insight_queries import SURVEYS, ChatState, survey_rows
 from .question_queries import OPEN, TURN_VIEWS, TURNS, turns
 from .registry import query
 from .text_queries import SP
@@ -91,8 +91,9 @@ def gate_decision(spark, sf):
 )
 def assemble_reply(spark, sf):
     """Replies of all user turns; the answer text is a stand-in."""
-    prepared = survey_rows(spark, sf).groupBy(F.col("chat_id").alias("log_chat")).agg(F.countDistinct("batch_id").alias("n"))
-    rows = turns(spark, sf).join(prepared, "log_chat", "left").withColumns(
+    chats = ChatState(spark, sf)
+    prepared = survey_rows(chats).groupBy(F.col("chat_id").alias("log_chat")).agg(F.countDistinct("batch_id").alias("n"))
+    rows = turns(spark, sf, chats).join(prepared, "log_chat", "left").withColumns(
         {
             "intake_action": F.col("action"),
             "surveys_prepared": F.when(F.col("skills_done") & F.col("ec_current").isNotNull(), F.col("n")),

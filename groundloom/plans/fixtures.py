@@ -5,7 +5,12 @@ All of them cover whole tables: no row or character is left out.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from ..session import spread
 
 TABLES = """region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations""".split()
 
@@ -68,14 +73,23 @@ DUCK_VIEWS = {
 }
 
 
+# Tables whose rows hold long texts, with their key.
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return spread(df, _TEXT_TABLES[name]) if name in _TEXT_TABLES else df
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run SQL over the given tables and the derived views."""
-    import re
-
     words = set(re.findall(r"\w+", text))
     for name in words & set(SPARK_VIEWS):
         sql(spark, sf_dir, SPARK_VIEWS[name]).createOrReplaceTempView(name)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from ..operators import insights as I
 from .fixtures import oracle, sql, view
+from ..session import materialize
 from .registry import query
 
 # --- check SQL ------------------------------------------------------------------------------------
@@ -55,8 +58,13 @@ def vault(spark, sf):
     return view(spark, sf, "v_vault")
 
 
-def applied(spark, sf, surveys=None):
-    return I.apply_decisions(view(spark, sf, "v_dec"), vault(spark, sf), surveys)
+def index(spark, sf):
+    """The active insights, stored once per query."""
+    return materialize(I.insight_index(vault(spark, sf)), "insight-index")
+
+
+def applied(spark, sf, surveys=None, ix=None):
+    return I.apply_decisions(view(spark, sf, "v_dec"), vault(spark, sf) if ix is None else ix, surveys)
 
 
 def responses(spark, sf):
@@ -68,21 +76,25 @@ def responses(spark, sf):
     return rows
 
 
-def surveys(spark, sf):
-    ok = I.submit_survey(responses(spark, sf), vault(spark, sf)).filter("accepted")
+def surveys(spark, sf, ix=None):
+    ok = I.submit_survey(responses(spark, sf), vault(spark, sf) if ix is None else ix).filter("accepted")
     return ok.withColumn("seq", F.floor(F.col("submission_id") / 3) + 0.5).withColumnRenamed("submission_id", "event_id")
 
 
-def state(spark, sf):
-    """State after decisions and surveys with its touched batches, before expansion."""
-    done = surveys(spark, sf)
-    decided = applied(spark, sf, done)
-    return I.fold_insight_state(decided, done), I.touched_batches(decided)
+class ChatState:
+    """Decisions and surveys of all chats folded once; the parts that several operators read are stored."""
 
+    def __init__(self, spark, sf):
+        self.index = index(spark, sf)
+        self.surveys = materialize(surveys(spark, sf, self.index), "surveys")
+        self.applied = materialize(applied(spark, sf, self.surveys, self.index), "applied")
+        self.touched = I.touched_batches(self.applied)
+        self.folded = I.fold_insight_state(self.applied, self.surveys)
 
-def full_state(spark, sf):
-    folded, touched = state(spark, sf)
-    return I.expanded_state(folded, touched, vault(spark, sf)), touched
+    @cached_property
+    def state(self):
+        """The folded rows and the pending ones that batch expansion adds."""
+        return materialize(I.expanded_state(self.folded, self.touched, self.index), "insight-state")
 
 
 # --- queries --------------------------------------------------------------------------------------
@@ -166,7 +178,7 @@ _V = "v_dec v_vault v_sub"
 
 @query(oracle(_V, "SELECT chat_id, insight_id, batch_id, coalesce(taken, false) AS taken, one AS answer_id, ids AS answer_ids, pending_reason, source, mode, confidence, created_at, ts AS updated_at FROM fs", FOLDED))
 def fold_insight_state(spark, sf):
-    folded, _ = state(spark, sf)
+    folded = ChatState(spark, sf).folded
     blank = F.lit("")
     return folded.withColumns(
         {
@@ -181,18 +193,19 @@ def fold_insight_state(spark, sf):
 
 @query(oracle(_V, "SELECT chat_id, insight_id, batch_id, 'batch_fill' AS pending_reason, 'batch-expansion' AS source, 1.0::DOUBLE AS confidence FROM fill", FOLDED))
 def batch_expand(spark, sf):
-    folded, touched = state(spark, sf)
-    return I.batch_expand(touched, vault(spark, sf), folded)
+    chats = ChatState(spark, sf)
+    return I.batch_expand(chats.touched, chats.index, chats.folded)
 
 
 @query(oracle(_V, "SELECT s.chat_id, s.batch_id, insight_id, pending_reason, CAST(confidence AS DOUBLE) AS confidence FROM ss s WHERE taken IS NULL AND ((s.chat_id, s.batch_id) IN (SELECT chat_id, batch_id FROM touched) OR s.chat_id NOT IN (SELECT chat_id FROM touched))", FOLDED))
 def pending_by_batch(spark, sf):
-    return I.pending_by_batch(*full_state(spark, sf))
+    chats = ChatState(spark, sf)
+    return I.pending_by_batch(chats.state, chats.touched)
 
 
 @query(oracle(_V, "SELECT chat_id, count(*) FILTER (taken) AS taken_count, count(*) FILTER (taken IS NULL) AS pending_count FROM ss GROUP BY chat_id", FOLDED))
 def insight_stats(spark, sf):
-    return I.insight_stats(full_state(spark, sf)[0])
+    return I.insight_stats(ChatState(spark, sf).state)
 
 
 @query(oracle("v_dec v_vault", "SELECT DISTINCT chat_id, batch_id FROM ap WHERE status IN ('already_taken', 'take', 'question_only')", APPLIED))
@@ -204,14 +217,13 @@ SURVEYS = f"""{FOLDED},
 sv AS MATERIALIZED (SELECT s.chat_id, s.batch_id, x.batch_name || ' (Follow-up)' AS title, s.insight_id, x.question, CASE WHEN x.is_multi THEN 'multi' ELSE 'single' END AS type, x.options, row_number() OVER (PARTITION BY s.chat_id, s.batch_id ORDER BY CASE WHEN pending_reason = 'question_only' THEN 0 ELSE 1 END, confidence DESC, pos) AS question_no FROM ss s JOIN touched t ON t.chat_id = s.chat_id AND t.batch_id = s.batch_id JOIN ix x ON x.insight_id = s.insight_id AND x.batch_id = s.batch_id WHERE taken IS NULL)"""
 
 
-def survey_rows(spark, sf):
-    full, touched = full_state(spark, sf)
-    return I.build_surveys(full, touched, vault(spark, sf))
+def survey_rows(chats):
+    return I.build_surveys(chats.state, chats.touched, chats.index)
 
 
 @query(oracle(_V, "SELECT * FROM sv", SURVEYS))
 def build_surveys(spark, sf):
-    return survey_rows(spark, sf).withColumn("question_no", F.col("question_no").cast("bigint"))
+    return survey_rows(ChatState(spark, sf)).withColumn("question_no", F.col("question_no").cast("bigint"))
 
 
 @query(oracle("v_vault v_sub", "SELECT submission_id, status, status = 'ok' AS accepted FROM sub", INDEX + ",\n" + SUBMITTED))
@@ -227,12 +239,13 @@ def submit_survey(spark, sf):
     )
 )
 def state_quality(spark, sf):
-    return I.state_quality(full_state(spark, sf)[0])
+    return I.state_quality(ChatState(spark, sf).state)
 
 
 @query(oracle(_V, "SELECT chat_id, batch_id, taken, total, is_complete FROM done", FOLDED))
 def batch_completion(spark, sf):
-    return I.batch_completion(full_state(spark, sf)[0], vault(spark, sf))
+    chats = ChatState(spark, sf)
+    return I.batch_completion(chats.state, chats.index)
 
 
 @query(
@@ -243,7 +256,8 @@ def batch_completion(spark, sf):
     )
 )
 def fully_taken_batches(spark, sf):
-    return I.fully_taken_batches(full_state(spark, sf)[0], vault(spark, sf))
+    chats = ChatState(spark, sf)
+    return I.fully_taken_batches(chats.state, chats.index)
 
 
 @query(
@@ -255,6 +269,6 @@ def fully_taken_batches(spark, sf):
 )
 def survey_message_progress(spark, sf):
     """One survey message per chat over its touched batches."""
-    done = surveys(spark, sf)
-    messages = I.touched_batches(applied(spark, sf, done)).withColumnRenamed("chat_id", "msg_id")
-    return I.survey_message_progress(messages, done.withColumnRenamed("chat_id", "msg_id"))
+    chats = ChatState(spark, sf)
+    messages = chats.touched.withColumnRenamed("chat_id", "msg_id")
+    return I.survey_message_progress(messages, chats.surveys.withColumnRenamed("chat_id", "msg_id"))

@@ -8,7 +8,7 @@ from ..operators import intake as U
 from ..operators import insights as I
 from ..operators import questions as N
 from .fixtures import oracle, sql, view
-from .insight_queries import FOLDED, INDEX, full_state, vault
+from .insight_queries import FOLDED, INDEX, ChatState, vault
 from .intake_queries import STATE, active, aliases, seg
 from .intake_queries import ALIASES, _HIT, intents_sql
 from .intake_queries import state as uia_state
@@ -146,21 +146,18 @@ OPEN = OPEN.replace("chats AS (", "lt AS (SELECT DISTINCT chat_id, batch_id FROM
 _V = "v_dec v_vault v_sub"
 
 
-def open_batches(spark, sf):
-    from .insight_queries import applied, surveys
-
-    full, _ = full_state(spark, sf)
-    decided = applied(spark, sf, surveys(spark, sf)).filter("touched")
+def open_batches(spark, sf, chats):
+    decided = chats.applied.filter("touched")
     last = decided.groupBy("chat_id").agg(F.max("pass_id").alias("pass_id"))
     touched = decided.join(last, ["chat_id", "pass_id"], "left_semi").select("chat_id", "batch_id").distinct()
-    complete = I.fully_taken_batches(full, vault(spark, sf))
-    chats = sql(spark, sf, "SELECT DISTINCT conv_id AS conv, conv_id % 20 AS chat_id FROM conversations")
-    return N.first_open_batch(chats, touched, complete, vault(spark, sf))
+    complete = I.fully_taken_batches(chats.state, chats.index)
+    asked_about = sql(spark, sf, "SELECT DISTINCT conv_id AS conv, conv_id % 20 AS chat_id FROM conversations")
+    return N.first_open_batch(asked_about, touched, complete, chats.index)
 
 
 @query(oracle(_V, "SELECT conv, chat_id, coalesce(batch_id, '') AS batch_id FROM opn", OPEN))
 def first_open_batch(spark, sf):
-    return open_batches(spark, sf).withColumn("batch_id", F.coalesce("batch_id", F.lit("")))
+    return open_batches(spark, sf, ChatState(spark, sf)).withColumn("batch_id", F.coalesce("batch_id", F.lit("")))
 
 
 TURNS = f"""{OPEN},
@@ -178,14 +175,14 @@ tn AS MATERIALIZED (SELECT *, CASE WHEN ec IS NULL AND action <> 'show_ec_survey
 TURN_VIEWS = "v_dec v_vault v_sub v_seg v_ask v_uia"
 
 
-def turns(spark, sf):
+def turns(spark, sf, chats):
     asks = U.find_ec_by_alias(U.rule_intents(view(spark, sf, "v_ask")), aliases(spark, sf), active(spark, sf))
     acted = U.intake_action(asks, uia_state(spark, sf), seg(spark, sf), active(spark, sf))
-    opened = open_batches(spark, sf).select(F.col("conv").alias("chat_id"), F.col("chat_id").alias("log_chat"), "batch_id")
+    opened = open_batches(spark, sf, chats).select(F.col("conv").alias("chat_id"), F.col("chat_id").alias("log_chat"), "batch_id")
     joined = acted.join(opened, "chat_id", "left")
     return joined.withColumn("stage", N.stage(F.col("ec_current"), F.col("skills_done"), F.col("action"), F.col("batch_id")))
 
 
 @query(oracle(TURN_VIEWS, "SELECT chat_id, turn, action, stage FROM tn", TURNS))
 def stage(spark, sf):
-    return turns(spark, sf).select("chat_id", "turn", "action", "stage")
+    return turns(spark, sf, ChatState(spark, sf)).select("chat_id", "turn", "action", "stage")
