@@ -26,8 +26,9 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, keys: list[str] = ASK, max
     """
     wanted = phrases.select(F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct()
     lowered = texts.select(*keys, F.lower("text").alias("_text"))
-    if wanted.limit(max_inline + 1).count() <= max_inline:
-        listed = wanted.agg(F.array_sort(F.collect_list("phrase"))).scalar()
+    few = [r.phrase for r in wanted.limit(max_inline + 1).collect()]
+    if len(few) <= max_inline:
+        listed = F.array(*[F.lit(p) for p in few]).cast("array<string>")
         found = let(F.col("_text"), lambda t: F.filter(listed, lambda p: t.contains(p)))
         return explode_once(lowered, found, "phrase", keep=keys)
     # A zero-width look-ahead yields the up to three characters at every position in one linear scan.

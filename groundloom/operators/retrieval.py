@@ -259,14 +259,18 @@ def _scan_with_matrix(rows: list, vectors: DataFrame, k: int, out: T.StructType)
     return vectors.mapInArrow(scan, out)
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
 def _meet_in_blocks(queries: DataFrame, vectors: DataFrame, k: int, out: T.StructType, per_block: int, per_slot: int) -> DataFrame:
     """Both sides keyed by (slot of vectors, block of queries); every pair of cells has bounded size."""
     import pandas as pd
 
     blocks = -(-queries.count() // per_block)
     slots = max(1, -(-vectors.count() // per_slot))
-    q = queries.withColumn("_block", F.pmod(F.xxhash64(*QUERY_KEYS), F.lit(blocks))).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).cast("bigint"))
-    v = vectors.withColumn("_slot", F.pmod(F.xxhash64("chunk_id"), F.lit(slots))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    q = queries.withColumn("_block", F.pmod(F.xxhash64(*QUERY_KEYS), F.lit(blocks))).withColumn("_slot", F.explode(_numbers(slots)))
+    v = vectors.withColumn("_slot", F.pmod(F.xxhash64("chunk_id"), F.lit(slots))).withColumn("_block", F.explode(_numbers(blocks)))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
