@@ -41,7 +41,7 @@ def main() -> None:
         seconds[name] = round(run(name), 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
     total = round(sum(seconds.values()), 3)
-    print(json.dumps({"metric": "headline queries, total wall time", "value": total, "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
+    print(json.dumps({"metric": "headline queries, total wall time", "value": total, "unit": "sec", "queries": seconds, "sf": float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"))}))
 
 
 if __name__ == "__main__":

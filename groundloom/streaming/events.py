@@ -39,8 +39,9 @@ def recent_events(events: DataFrame, n: int, key: str = "chat_id", tie: str = "e
 def progress_sessions(events: DataFrame, gap: str = SESSION_GAP, closing: list[str] | None = None) -> DataFrame:
     """Sessions of a request: each event renews the time to live, silence ends it.
 
-    ``events``: request_id, ts, type, label; batch or stream (with a watermark). Spark merges sessions in each
-    partition before the shuffle.
+    ``events``: request_id, ts, type, label; batch or stream (with a watermark). With
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` set, a stream also merges sessions
+    in each partition before the shuffle, which pays off for requests with very many events.
     """
     closing = closing or CLOSING
     grouped = events.groupBy("request_id", F.session_window("ts", gap).alias("session"))
