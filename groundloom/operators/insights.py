@@ -212,7 +212,11 @@ def apply_decisions(decisions: DataFrame, vault: DataFrame, surveys: DataFrame |
     A valid decision on an insight taken in an earlier pass touches the batch and changes nothing. The set
     form needs one small aggregate per (chat, insight, pass) and one join back, no ordered window.
     """
-    judged = judge_decisions(decisions, vault)
+    return settle_decisions(judge_decisions(decisions, vault), surveys)
+
+
+def settle_decisions(judged: DataFrame, surveys: DataFrame | None = None) -> DataFrame:
+    """The second half of :func:`apply_decisions`, for judged decisions that are stored."""
     joined = judged.join(first_taken(judged, surveys), STATE_KEY, "left")
     known = ~F.col("status").isin("unknown_insight", "batch_mismatch")
     already = known & (F.coalesce(F.col("taken_from"), F.lit(float("inf"))) < F.col("pass_id"))

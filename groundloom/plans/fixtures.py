@@ -73,8 +73,8 @@ DUCK_VIEWS = {
 }
 
 
-# Tables whose rows hold long texts, with their key.
-_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+# Tables whose rows take heavy work each, with their key.
+_HEAVY_TABLES = {"documents": "doc_id", "pages": "page_id", "events": "event_id"}
 
 
 _SCHEMAS: dict[str, StructType] = {}
@@ -85,7 +85,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
     df = spark.read.schema(_SCHEMAS[path]).parquet(path)
-    return spread(df, _TEXT_TABLES[name]) if name in _TEXT_TABLES else df
+    return spread(df, _HEAVY_TABLES[name]) if name in _HEAVY_TABLES else df
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

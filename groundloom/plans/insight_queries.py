@@ -63,8 +63,8 @@ def index(spark, sf):
     return materialize(I.insight_index(vault(spark, sf)), "insight-index")
 
 
-def applied(spark, sf, surveys=None, ix=None):
-    return I.apply_decisions(view(spark, sf, "v_dec"), vault(spark, sf) if ix is None else ix, surveys)
+def applied(spark, sf):
+    return I.apply_decisions(view(spark, sf, "v_dec"), vault(spark, sf))
 
 
 def responses(spark, sf):
@@ -76,8 +76,8 @@ def responses(spark, sf):
     return rows
 
 
-def surveys(spark, sf, ix=None):
-    ok = I.submit_survey(responses(spark, sf), vault(spark, sf) if ix is None else ix).filter("accepted")
+def surveys(spark, sf, ix):
+    ok = I.submit_survey(responses(spark, sf), ix).filter("accepted")
     return ok.withColumn("seq", F.floor(F.col("submission_id") / 3) + 0.5).withColumnRenamed("submission_id", "event_id")
 
 
@@ -87,7 +87,8 @@ class ChatState:
     def __init__(self, spark, sf):
         self.index = index(spark, sf)
         self.surveys = materialize(surveys(spark, sf, self.index), "surveys")
-        self.applied = materialize(applied(spark, sf, self.surveys, self.index), "applied")
+        judged = materialize(I.judge_decisions(view(spark, sf, "v_dec"), self.index), "judged")
+        self.applied = materialize(I.settle_decisions(judged, self.surveys), "applied")
         self.touched = I.touched_batches(self.applied)
         self.folded = I.fold_insight_state(self.applied, self.surveys)
 
