@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
-from .common import WORD, table
+from . import mixing, packing, rans, sharding
+from .common import WORD, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +75,15 @@ FROM timed LEFT JOIN taken USING (doc_id)
 def op5_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     return mixing.mix(docs).drop("source")
+
+
+@query()
+def op6_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op10_token_file(spark, sf_dir):
+    path = shared_path(spark, "token-file")
+    rans.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return rans.read_ids(spark, path).drop("ids")
