@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, rans, sharding
+from . import licenses, mixing, packing, rans, sharding, warc
 from .common import WORD, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,26 @@ def op10_token_file(spark, sf_dir):
     path = shared_path(spark, "token-file")
     rans.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return rans.read_ids(spark, path).drop("ids")
+
+
+@query()
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("""
+WITH sized AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+newest AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS newest FROM sized)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND newest IS NOT NULL AND page_id IS DISTINCT FROM newest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND newest IS NOT NULL AND page_id IS DISTINCT FROM newest THEN newest END AS refers_to
+FROM newest
+""")
+def op4_warc(spark, sf_dir):
+    path = shared_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+
+    def page(c):
+        return F.regexp_extract(F.col(c), "^<urn:page:(-?\\d+)>$", 1).try_cast("long")
+
+    return warc.read_warc(spark, path).select(page("record").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), page("refers").alias("refers_to"))
