@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, rans, sharding, warc
+from . import fingerprints, licenses, mixing, packing, rans, sharding, warc
 from .common import WORD, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,8 @@ def op4_warc(spark, sf_dir):
         return F.regexp_extract(F.col(c), "^<urn:page:(-?\\d+)>$", 1).try_cast("long")
 
     return warc.read_warc(spark, path).select(page("record").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), page("refers").alias("refers_to"))
+
+
+@query()
+def op2_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
