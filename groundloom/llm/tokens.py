@@ -5,28 +5,50 @@ from __future__ import annotations
 import numpy as np
 
 #: Chunks that one Python worker remembers for a tokenizer, and the longest that it does.
-CACHE_CHUNKS, CACHE_LONGEST = 1_000_000, 64
-#: Marks that may be cut off a chunk's ends where they touch a letter: no tokenizer here merges the two.
+CACHE_CHUNKS, CACHE_LONGEST = 1_500_000, 64
+#: Marks that may be cut off a chunk's end where they touch a Latin letter: no tokenizer here merges the two.
 MARKS = ".,;:!?()*#&$%|-"
 _ENCODERS: dict = {}
 
 
+def _byte_marks() -> str:
+    """The character by which byte-level models stand for each byte: printable Latin-1 bytes for themselves, the others 256 and up in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(others)) for b in range(256))
+
+
 class _Known(dict):
-    """Ids of chunks as bytes; an unknown chunk is encoded by the library. ``lead`` goes before chunks that don't start with white space."""
+    """Ids of chunks as bytes; an unknown chunk is encoded by the library. ``lead`` goes before chunks that don't start with a line feed."""
 
     def __init__(self, tokenizer, dtype: np.dtype, lead: str):
         super().__init__()
         self.tokenizer, self.dtype, self.lead = tokenizer, dtype, lead
+        self.model, self.marks, self.tails = tokenizer.model, _byte_marks(), {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def word(self, word: str, lead: str) -> bytes:
+        """Ids of a chunk without its end marks. Latin letters alone are one word of either tokenizer, so its model takes them at once."""
+        if word.isalpha() and max(word) < "\u0130":
+            form = (lead + word if self.lead else word.lower()).encode().decode("latin-1").translate(self.marks)
+            return np.array([t.id for t in self.model.tokenize(form)], self.dtype).tobytes()
+        return self.ids(lead + word)
+
+    def tail(self, marks: str) -> bytes:
+        return self.tails.get(marks) or self.tails.setdefault(marks, self.ids(marks)) if len(marks) < 4 else self.ids(marks)
+
     def __missing__(self, chunk: str) -> bytes:
         core = chunk.rstrip(MARKS)
-        if core and len(core) < len(chunk) and core[-1].isalpha():
-            got = self[core] + self.ids(chunk[len(core) :])
+        if core and len(core) < len(chunk) and core[-1].isalpha() and core[-1] < "\u0130":
+            got = self[core] + self.tail(chunk[len(core) :])
+        elif chunk[:1] != "\n":
+            got = self.word(chunk, self.lead)
+        elif chunk[1:2].isalpha():
+            got = self.tail("\n") + self.word(chunk[1:], "")
         else:
-            got = self.ids(chunk if chunk[:1] == "\n" else self.lead + chunk)
+            got = self.ids(chunk)
         if len(chunk) <= CACHE_LONGEST:
             if len(self) >= CACHE_CHUNKS:
                 self.clear()
