@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, licenses, mixing, near_dedup, packing, rans, sharding, warc
+from . import embedding_dedup, fingerprints, licenses, mixing, near_dedup, packing, quality, rans, sharding, warc
 from .common import WORD, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,9 @@ FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """)
 def op1_minhash_dedup(spark, sf_dir):
     return near_dedup.near_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), carry=False)
