@@ -15,8 +15,10 @@ from .common import stored
 ORDER = 5
 #: Entries of the model that one pass over the documents holds; a larger model is scored in more passes.
 PASS_ENTRIES = 6_000_000
-#: Share of a language's trusted documents, by perplexity, that the threshold lets through, and what it adds on top.
-QUANTILE, MARGIN = 0.997, 1.05
+#: One in so many trusted documents, by a hash of its key, is held out of training and sets thresholds.
+HELD_OUT = 5
+#: A language's threshold: this quantile of the perplexities of its held-out trusted documents, times a margin.
+QUANTILE, MARGIN = 0.95, 1.25
 #: Characters that a task counts or scores at once.
 STEP_CHARS = 1 << 21
 START = "\x02"
@@ -266,20 +268,22 @@ def with_perplexity(docs: DataFrame, model: DataFrame, lang: str = "lang", text:
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", carry: bool = True) -> DataFrame:
     """All rows with ``ppl``, ``threshold`` and ``keep`` (without ``text`` where ``carry`` is false).
 
-    Trusted documents are those labelled of quality 1 and not toxic. The model is trained on the whole text of all of them, and
-    every document is scored by its language's model. A language's threshold is the ``QUANTILE`` quantile of the perplexities of its
-    trusted documents times ``MARGIN``; documents above it are rejected, and so are documents without text. Where a language has no
-    trusted document, there is no evidence against its documents and they are kept. Labels may be null or repeat; rows that
+    Trusted documents are those labelled of quality 1 and not toxic. One in ``HELD_OUT`` of them sets thresholds, as perplexities
+    of text that a model has seen are too low to compare with; the model is trained on the whole text of all the others. Every
+    document is scored by its language's model. A language's threshold is the ``QUANTILE`` quantile of the perplexities of its
+    held-out documents times ``MARGIN``; documents above it are rejected, and so are documents without text. Where a language has
+    no held-out document, there is no evidence against its documents and they are kept. Labels may be null or repeat; rows that
     repeat a key are judged one by one; an empty table gives no rows. Columns of the input named like a result column are replaced.
     """
     docs = docs.drop("ppl", "threshold", "keep")
     trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias(key)).distinct()
-    sample = docs.join(trusted, key, "left_semi").select(F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.col(text).alias("_text"))
+    held_out = F.pmod(F.xxhash64(key), F.lit(HELD_OUT)) == 0
+    sample = docs.join(trusted.where(~held_out), key, "left_semi").select(F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.col(text).alias("_text"))
     counts = stored(sample.mapInArrow(_counted, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")), f"grams-{ORDER}")
     scored = with_perplexity(docs, stored(train(counts), "model"), lang, text)
     scored = stored(scored if carry else scored.drop(text), "scored")
     name = F.coalesce(F.col(lang), F.lit("")).alias("_lang")
-    limits = scored.select(key, name, "ppl").join(trusted, key, "left_semi").groupBy("_lang").agg((F.percentile_approx("ppl", QUANTILE, 10_000) * MARGIN).alias("threshold"))
+    limits = scored.select(key, name, "ppl").join(trusted.where(held_out), key, "left_semi").groupBy("_lang").agg((F.percentile_approx("ppl", QUANTILE, 10_000) * MARGIN).alias("threshold"))
     judged = scored.withColumn("_lang", name).join(stored(limits, "limits"), "_lang", "left").drop("_lang")
     empty = F.length(F.coalesce(F.col(text), F.lit(""))) == 0 if carry else F.col("ppl").isNull() & F.col("threshold").isNotNull()
     return judged.withColumn("keep", ~empty & F.coalesce(F.col("ppl") <= F.col("threshold"), F.lit(True)))
