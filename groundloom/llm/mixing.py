@@ -35,9 +35,10 @@ def mix(rows: DataFrame, key: str = "doc_id", source: str = "source", size: str
     """All rows with ``source_size``, ``target``, ``copies`` (0 to ``PASSES``) and ``taken`` (copies times size).
 
     Each source's rows are shuffled by the MD5 of seed and key and served up to ``PASSES`` times in that order. A copy's virtual
-    finish time is its source's cumulative size up to and with it, divided by the source's target. The copies of all sources,
-    sorted by finish time, are cut where their total passes the sum of all sizes, so every source ends within a document of its
-    target. Equal finish times are ordered by hash, then pass.
+    finish time is its source's cumulative size up to and with it, divided by the source's target; it is served if its service begins
+    before time 1, when every source has its target. The copies of all sources, sorted by finish time, are cut where their total
+    passes the sum of all sizes. So every source ends within a document of its target, and a huge document that doesn't fit any
+    more leaves no room to others. Equal finish times are ordered by hash, then pass.
 
     Running sums take two steps: totals per (source, range of hashes), then rows within one range; the same over ranges of
     finish times. No step holds a source or the table in one task; the last one sorts the copies of the range that the cut falls
@@ -66,7 +67,8 @@ def mix(rows: DataFrame, key: str = "doc_id", source: str = "source", size: str
     timed = stored(ranged.withColumn("upto", F.sum("size").over(within)).join(starts, ["lane", "range"]).withColumn("upto", F.col("upto") + F.col("start")).drop("lane", "range", "start"), "timed")
 
     def finish(at):
-        return F.when((F.col("target") > 0) & (F.col("size") > 0), (F.lit(at).cast("long") * F.col("source_size") + F.col("upto")) / F.col("target"))
+        upto = F.lit(at).cast("long") * F.col("source_size") + F.col("upto")
+        return F.when((F.col("size") > 0) & (upto - F.col("size") < F.col("target")), upto / F.col("target"))
 
     ranges = 16**digits
     copies = timed.select("place", "size", F.explode(F.array(*(F.struct(finish(at).alias("finish"), F.lit(at).alias("pass")) for at in range(PASSES)))).alias("c")).select("place", "size", "c.finish", "c.pass").where("finish is not null")
@@ -75,7 +77,7 @@ def mix(rows: DataFrame, key: str = "doc_id", source: str = "source", size: str
     total = F.sum("sum").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0))
     cut = spans.withColumn("total", total).where(F.col("total") > budget).orderBy("span").first()
     if cut is None:
-        taken = F.lit(PASSES)
+        taken = sum((F.when(finish(at).isNotNull(), 1).otherwise(0) for at in range(1, PASSES)), F.when(finish(0).isNotNull(), 1).otherwise(0))
     else:
         order = Window.orderBy("finish", "place", "pass").rowsBetween(Window.unboundedPreceding, 0)
         served = copies.where(F.col("span") == cut["span"]).withColumn("total", F.sum("size").over(order) + (cut["total"] - cut["sum"]))

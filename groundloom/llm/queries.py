@@ -66,7 +66,7 @@ timed AS (
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 copies AS (
   SELECT doc_id, size, (pass * source_size + upto) / target AS finish, place, pass
-  FROM timed, range(0, 3) p(pass) WHERE target > 0 AND size > 0),
+  FROM timed, range(0, 3) p(pass) WHERE size > 0 AND pass * source_size + upto - size < target),
 served AS (SELECT *, sum(size) OVER (ORDER BY finish, place, pass ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM copies),
 taken AS (SELECT doc_id, count(*) AS copies, sum(size)::BIGINT AS taken FROM served WHERE total <= (SELECT sum(size) FROM sized) GROUP BY doc_id)
 SELECT doc_id, timed.size AS size, source_size, target, coalesce(copies, 0)::INT AS copies, coalesce(taken, 0)::BIGINT AS taken
