@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 
 #: Chunks that one Python worker remembers for a tokenizer, and the longest that it does.
-CACHE_CHUNKS, CACHE_LONGEST = 1_500_000, 64
+CACHE_CHUNKS, CACHE_LONGEST = 800_000, 64
 #: Marks that may be cut off a chunk's end where they touch a Latin letter: no tokenizer here merges the two.
 MARKS = ".,;:!?()*#&$%|-"
-_ENCODERS: dict = {}
 
 
 def _byte_marks() -> str:
@@ -19,12 +20,15 @@ def _byte_marks() -> str:
 
 
 class _Known(dict):
-    """Ids of chunks as bytes; an unknown chunk is encoded by the library. ``lead`` goes before chunks that don't start with a line feed."""
+    """Ids of chunks as bytes; an unknown chunk is encoded by the library. ``lead`` goes before chunks that don't start with a line feed.
+
+    When half of ``CACHE_CHUNKS`` are there, they become the older half, of which only those that are asked for again stay.
+    """
 
     def __init__(self, tokenizer, dtype: np.dtype, lead: str):
         super().__init__()
         self.tokenizer, self.dtype, self.lead = tokenizer, dtype, lead
-        self.model, self.marks, self.tails = tokenizer.model, _byte_marks(), {}
+        self.model, self.marks, self.tails, self.older = tokenizer.model, _byte_marks(), {}, {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -40,21 +44,26 @@ class _Known(dict):
         return self.tails.get(marks) or self.tails.setdefault(marks, self.ids(marks)) if len(marks) < 4 else self.ids(marks)
 
     def __missing__(self, chunk: str) -> bytes:
-        core = chunk.rstrip(MARKS)
-        if core and len(core) < len(chunk) and core[-1].isalpha() and core[-1] < "\u0130":
-            got = self[core] + self.tail(chunk[len(core) :])
-        elif chunk[:1] != "\n":
-            got = self.word(chunk, self.lead)
-        elif chunk[1:2].isalpha():
-            got = self.tail("\n") + self.word(chunk[1:], "")
-        else:
-            got = self.ids(chunk)
+        got = self.older.get(chunk)
+        if got is None:
+            got = self.encoded(chunk)
         if len(chunk) <= CACHE_LONGEST:
-            if len(self) >= CACHE_CHUNKS:
+            if len(self) >= CACHE_CHUNKS // 2:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = got
         return got
 
+    def encoded(self, chunk: str) -> bytes:
+        core = chunk.rstrip(MARKS)
+        if core and len(core) < len(chunk) and core[-1].isalpha() and core[-1] < "\u0130":
+            return self[core] + self.tail(chunk[len(core) :])
+        if chunk[:1] != "\n":
+            return self.word(chunk, self.lead)
+        if chunk[1:2].isalpha():
+            return self.tail("\n") + self.word(chunk[1:], "")
+        return self.ids(chunk)
+
 
 class ChunkEncoder:
     """Ids of texts as little-endian bytes (two bytes an id for vocabularies up to 65,536, else four), each text's end id included.
@@ -76,8 +85,9 @@ class ChunkEncoder:
 
     @classmethod
     def shared(cls, path: str, end_id: int) -> ChunkEncoder:
-        """The encoder that the tasks of one worker share."""
-        return _ENCODERS.get((path, end_id)) or _ENCODERS.setdefault((path, end_id), cls(path, end_id))
+        """The encoder that all tasks of one Python worker share. This module's code travels with each task, so it is kept in ``sys``."""
+        held = vars(sys).setdefault("_groundloom_encoders", {})
+        return held.get((path, end_id)) or held.setdefault((path, end_id), cls(path, end_id))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, known, whole = [], self.known.__getitem__, self.known.ids
