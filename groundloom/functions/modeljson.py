@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from .text import let, strip
 
 
+# Follows the value inside an array: it is only found there if the value before it ended where the text ends.
+_END = "end of reply \u241c"
+
+
 def is_json(c: Column) -> Column:
-    return F.try_parse_json(c).isNotNull()
+    """Whether the whole text is one JSON value; white space around it doesn't count."""
+    parsed = F.try_parse_json(F.concat(F.lit("["), strip(c), F.lit(f', "{_END}"]')))
+    return F.coalesce(F.try_variant_get(parsed, "$[1]", "string") == _END, F.lit(False))
 
 
 def is_json_object(c: Column) -> Column:
-    return F.coalesce(c.startswith("{"), F.lit(False)) & is_json(c)
+    """Whether the whole text is one JSON object; white space around it doesn't count."""
+    return F.coalesce(strip(c).startswith("{"), F.lit(False)) & is_json(c)
 
 
 def extract_json_object(c: Column) -> Column:
@@ -26,8 +33,8 @@ def extract_json_object(c: Column) -> Column:
 
 def field(c: Column, path: str, spark_type: str) -> Column:
     """One field of a JSON column, null when absent, malformed or of another type."""
-    return F.try_variant_get(F.try_parse_json(c), path, spark_type)
+    return F.try_variant_get(F.when(is_json(c), F.try_parse_json(strip(c))), path, spark_type)
 
 
 def has_field(c: Column, path: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(c), path, "variant").isNotNull()
+    return F.try_variant_get(F.when(is_json(c), F.try_parse_json(strip(c))), path, "variant").isNotNull()

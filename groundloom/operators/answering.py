@@ -118,7 +118,8 @@ def compose_question(current: Column, previous: Column, link: Column) -> Column:
 
 def apply_validation(reply: Column, draft: Column) -> Column:
     """The reply's revision when it reports a problem and offers one, else the draft."""
-    off_topic = ~F.coalesce(field(reply, "$.on_topic", "boolean"), F.lit(True))
+    # A null verdict is no "yes"; only an absent one is taken for it.
+    off_topic = ~F.coalesce(field(reply, "$.on_topic", "boolean"), ~has_field(reply, "$.on_topic"))
     contradicts = F.coalesce(field(reply, "$.contradiction", "boolean"), F.lit(False))
     revision = field(reply, "$.revision", "string")
     use = is_json_object(reply) & (off_topic | contradicts) & (F.coalesce(revision, F.lit("")) != "")

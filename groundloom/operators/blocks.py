@@ -16,7 +16,8 @@ from ..functions.text import HS, explode_once, line_terminated, lines, strip
 # One line including its end. All texts matched here are line-terminated.
 _LINE = "[^\n]*\n"
 _FENCE = "`{3,}"
-_SEPARATOR = rf"{HS}*+\|?(?:{HS}*+:?-+:?{HS}*+\|)+{HS}*+:?-+:?{HS}*+\|?{HS}*+\n"
+_CELL = f"{HS}*+:?-++:?{HS}*+"
+_SEPARATOR = rf"{HS}*+\|?{_CELL}(?:\|{_CELL})++\|?{HS}*+\n"
 _TABLE_HEAD = rf"(?=[^\n|]*\|){_LINE}{_SEPARATOR}"
 _BLANK = f"{HS}*+\n"
 _HEADING = f"#{{1,6}}{HS}{_LINE}"
@@ -162,18 +163,20 @@ def nest_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(packed)).alias("blocks"))
 
 
-def block_stats(blocks: DataFrame, mode: str = "lossless") -> DataFrame:
-    """Block counts per document."""
+def block_stats(nested: DataFrame, mode: str = "lossless") -> DataFrame:
+    """Block counts of every document, zeros for documents without blocks; counted within the document's row."""
 
     def count(kind: str) -> Column:
-        return F.count_if(F.col("block_type") == kind)
+        return F.size(F.filter("kinds", lambda k: k == kind)).cast("bigint")
 
-    keys = [c for c in ("doc_id", "version") if c in blocks.columns]
-    return blocks.groupBy(*keys).agg(
+    keys = [c for c in ("doc_id", "version") if c in nested.columns]
+    kinds = nested.select(*keys, F.coalesce(F.col("blocks.block_type"), F.array().cast("array<string>")).alias("kinds"))
+    return kinds.select(
+        *keys,
         count("paragraph").alias("paragraphs"),
         count("heading").alias("headings"),
         count("list_item").alias("list_items"),
         count("table").alias("tables"),
-        F.count("*").alias("blocks"),
+        F.size("kinds").cast("bigint").alias("blocks"),
         F.lit(mode).alias("mode"),
     )

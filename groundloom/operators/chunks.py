@@ -234,18 +234,21 @@ def build_chunks(nested: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFra
     return finalize_chunks(chunk_overlap(pack_chunks(nested, cfg), cfg), cfg)
 
 
-def chunk_stats(chunks: DataFrame) -> DataFrame:
+def chunk_stats(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Chunk counts of every document of ``docs``, zeros for documents without chunks."""
+
     def count(kind: str) -> Column:
         return F.count_if(F.col("chunk_type") == kind)
 
-    keys = [c for c in ("doc_id", "version") if c in chunks.columns]
-    return chunks.groupBy(*keys).agg(
+    keys = [c for c in ("doc_id", "version") if c in chunks.columns and c in docs.columns]
+    counted = chunks.groupBy(*keys).agg(
         F.count("*").alias("chunks"),
         F.round(F.avg("token_count"), 1).alias("avg_tokens"),
         count("table").alias("tables"),
         count("code").alias("codes"),
         count("text").alias("text_chunks"),
     )
+    return docs.select(*keys).join(counted, keys, "left").fillna(0, ["chunks", "avg_tokens", "tables", "codes", "text_chunks"])
 
 
 def section_neighbors(chunks: DataFrame, n: int = 1) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import dehyphenate, let, lines, nfkc, strip
@@ -56,12 +57,35 @@ def merge_soft_wraps(text: Column) -> Column:
     return F.array_join(F.transform(line_runs(text), join_run), "\n")
 
 
-def _compiles(pattern: str) -> bool:
+def _jvm_pattern(pattern: str) -> str | None:
+    """The pattern in the JVM's dialect; None where it is invalid in either."""
     try:
         re.compile(pattern)
-    except re.error:
-        return False
-    return True
+        jvm = re.sub(r"\(\?P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>", pattern)
+        jvm = re.sub(r"\(\?P=([A-Za-z][A-Za-z0-9]*)\)", r"\\k<\1>", jvm)
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(jvm)
+    except (re.error, Py4JJavaError):
+        return None
+    return jvm
+
+
+def _jvm_replacement(pattern: str, replacement: str) -> str | None:
+    """The replacement in the JVM's dialect: ``\\1`` and ``\\g<name>`` are groups, everything else stands for itself."""
+    groups = re.compile(pattern)
+
+    def part(m: re.Match) -> str:
+        group = m["number"] or m["name"]
+        if group is None:
+            return "\\" + m[0]
+        known = int(group) <= groups.groups if group.isdigit() else group in groups.groupindex
+        if not known:
+            raise LookupError(group)
+        return f"${{{group}}}" if not group.isdigit() else f"${int(group)}"
+
+    try:
+        return re.sub(r"\\(?:(?P<number>[1-9])|g<(?P<name>\w+)>)|[$\\]", part, replacement)
+    except LookupError:
+        return None
 
 
 def _lacks(pattern: str):
@@ -69,13 +93,15 @@ def _lacks(pattern: str):
 
 
 def apply_rules(text: Column, rules: CleaningRules) -> Column:
-    """Apply user rules in order; patterns that do not compile, and empty ones to replace, are skipped."""
+    """Apply user rules in order. Skipped are patterns that are invalid (in Python or in the JVM), empty ones to replace, and
+    replacements that name a group which the pattern doesn't have."""
     for pattern in rules.remove_lines_matching:
-        if _compiles(pattern):
-            text = F.array_join(F.filter(lines(text), _lacks(pattern)), "\n")
+        if (jvm := _jvm_pattern(pattern)) is not None:
+            text = F.array_join(F.filter(lines(text), _lacks(jvm)), "\n")
     for pattern, replacement in rules.replace:
-        if pattern and _compiles(pattern):
-            text = F.regexp_replace(text, pattern, re.sub(r"\\(\d)", r"$\1", replacement))
+        jvm = _jvm_pattern(pattern) if pattern else None
+        if jvm is not None and (into := _jvm_replacement(pattern, replacement)) is not None:
+            text = F.regexp_replace(text, jvm, into)
     return text
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD, explode_once
+from ..functions.text import WORD
 
 # Acronyms too common to propose.
 STOP_ACRONYMS = """PDF URL HTTP HTTPS API SQL CPU GPU AI ML NLP UI UX LLM RAG JSON CSV YAML XML DOC ID KPI OKR ETA TBD TBC
@@ -29,10 +29,10 @@ def acronyms_global(docs: DataFrame, top: int = 50) -> DataFrame:
 
 
 def acronyms_per_doc(docs: DataFrame, top: int = 20) -> DataFrame:
-    """The most frequent acronyms of each document with the characters scanned."""
+    """The most frequent acronyms of each document with the characters scanned; a document without any has one row with nulls."""
     scanned = docs.select("doc_id", F.length("text").cast("bigint").alias("chars_scanned"), acronyms(F.col("text")).alias("_found"))
-    found = explode_once(scanned, F.col("_found"), "acronym", keep=["doc_id", "chars_scanned"])
-    counted = found.groupBy("doc_id", "chars_scanned", "acronym").agg(F.count("*").alias("n"))
+    found = scanned.select("doc_id", "chars_scanned", F.explode_outer("_found").alias("acronym"))
+    counted = found.groupBy("doc_id", "chars_scanned", "acronym").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("acronym").isNotNull(), F.col("n")).otherwise(0))
     w = W.partitionBy("doc_id").orderBy(F.desc("n"), "acronym")
     return counted.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= top)
 

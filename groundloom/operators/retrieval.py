@@ -163,9 +163,11 @@ def l2_normalize(v: Column) -> Column:
 
 
 def vector_index(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Chunks with their unit vector; ``vectors`` is (chunk_id, embedding)."""
+    """Every chunk with its unit vector; ``vectors`` is (chunk_id, embedding). A chunk without a vector fails the job."""
     texts = chunks.select("chunk_id", index_text(F.col("embedding_text"), F.col("text")).alias("indexed_text"))
-    return texts.join(vectors, "chunk_id").withColumn("embedding", l2_normalize(F.col("embedding")))
+    missing = F.raise_error(F.concat(F.lit("no vector for chunk "), F.col("chunk_id").cast("string"))).cast("array<double>")
+    unit = F.when(F.col("embedding").isNull(), missing).otherwise(l2_normalize(F.col("embedding")))
+    return texts.join(vectors, "chunk_id", "left").withColumn("embedding", unit)
 
 
 def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -132,12 +132,12 @@ def section_path(spark, sf):
 @query(
     oracle(
         "v_md",
-        "SELECT doc_id, " + ", ".join(f"count(*) FILTER (block_type = '{k}') AS {n}" for k, n in [("paragraph", "paragraphs"), ("heading", "headings"), ("list_item", "list_items"), ("table", "tables")]) + ", count(*) AS blocks, 'lossless' AS mode FROM blk GROUP BY doc_id",
+        "SELECT doc_id, " + ", ".join(f"count(*) FILTER (block_type = '{k}') AS {n}" for k, n in [("paragraph", "paragraphs"), ("heading", "headings"), ("list_item", "list_items"), ("table", "tables")]) + ", count(blk.doc_id) AS blocks, 'lossless' AS mode FROM v_md LEFT JOIN blk USING (doc_id) GROUP BY doc_id",
         BLOCKS,
     )
 )
 def block_stats(spark, sf):
-    return B.block_stats(B.build_blocks(view(spark, sf, "v_md")))
+    return B.block_stats(B.with_blocks(view(spark, sf, "v_md")))
 
 
 @query(
@@ -188,10 +188,10 @@ def chunk_flags(spark, sf):
 
 
 @query(
-    oracle("v_md", "SELECT doc_id, count(*) AS chunks, round(avg(token_count), 1) AS avg_tokens, count(*) FILTER (chunk_type = 'table') AS tables, count(*) FILTER (chunk_type = 'code') AS codes, count(*) FILTER (chunk_type = 'text') AS text_chunks FROM ch GROUP BY doc_id", CHUNKS)
+    oracle("v_md", "SELECT doc_id, count(ch.doc_id) AS chunks, coalesce(round(avg(token_count), 1), 0) AS avg_tokens, count(*) FILTER (chunk_type = 'table') AS tables, count(*) FILTER (chunk_type = 'code') AS codes, count(*) FILTER (chunk_type = 'text') AS text_chunks FROM v_md LEFT JOIN ch USING (doc_id) GROUP BY doc_id", CHUNKS)
 )
 def chunk_stats(spark, sf):
-    return C.chunk_stats(chunks(spark, sf)).drop("version")
+    return C.chunk_stats(chunks(spark, sf), view(spark, sf, "v_md")).drop("version")
 
 
 @query(

@@ -21,19 +21,22 @@ _ANSWERS = [("A", "Reading", "the"), ("B", "Videos", "and"), ("C", "Hands-on pra
 # One insight per supplier, one batch per nation: the vault grows with the data.
 _V_VAULT = """SELECT concat('b', s_nationkey) AS batch_id, n_name AS batch_name, s_nationkey % 5 <> 4 AS batch_active, CAST(s_nationkey AS BIGINT) AS batch_pos, concat('i', s_suppkey) AS insight_id, s_suppkey AS pos, concat('How do you work with ', s_name, '?') AS question, s_suppkey % 2 = 1 AS is_multi, s_suppkey % 7 <> 0 AS insight_active, a.answer_id, a.label, a.alias FROM supplier JOIN nation ON n_nationkey = s_nationkey {answers}"""
 
-_V_DEC = """SELECT e.event_id, e.user_id % 20 AS chat_id, e.ts, concat('i', s.s_suppkey) AS insight_id, concat('b', CASE WHEN e.event_id % 17 = 0 THEN 99 ELSE s.s_nationkey END) AS batch_id, CASE e.event_type WHEN 'purchase' THEN 'QUESTION_AND_ANSWER' WHEN 'click' THEN 'ANSWER_ONLY' WHEN 'signup' THEN 'ANSWER_ONLY' WHEN 'view' THEN 'QUESTION_ONLY' ELSE 'NO_MATCH' END AS match_type, CASE e.event_id % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'b|D' WHEN 2 THEN 'A, C' WHEN 3 THEN 'null' WHEN 4 THEN 'a' ELSE 'Z' END AS answer_raw, CAST(e.event_id % 101 AS DOUBLE) / 100 AS confidence, CAST(floor(e.event_id / 3) AS BIGINT) AS pass_id FROM (SELECT *, CAST({k} AS INT) AS k FROM events) e JOIN supplier s ON s.s_suppkey = (e.k * 37 + e.user_id) % (SELECT count(*) FROM supplier)"""
+_V_DEC = """SELECT e.event_id, e.user_id AS chat_id, e.ts, concat('i', s.s_suppkey) AS insight_id, concat('b', CASE WHEN e.event_id % 17 = 0 THEN 99 ELSE s.s_nationkey END) AS batch_id, CASE e.event_type WHEN 'purchase' THEN 'QUESTION_AND_ANSWER' WHEN 'click' THEN 'ANSWER_ONLY' WHEN 'signup' THEN 'ANSWER_ONLY' WHEN 'view' THEN 'QUESTION_ONLY' ELSE 'NO_MATCH' END AS match_type, CASE e.event_id % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'b|D' WHEN 2 THEN 'A, C' WHEN 3 THEN 'null' WHEN 4 THEN 'a' ELSE 'Z' END AS answer_raw, CAST(e.event_id % 101 AS DOUBLE) / 100 AS confidence, CAST(floor(e.event_id / 3) AS BIGINT) AS pass_id FROM (SELECT *, CAST({k} AS INT) AS k FROM events) e JOIN supplier s ON s.s_suppkey = (e.k * 37 + e.user_id) % (SELECT count(*) FROM supplier)"""
 
 _V_SEG = """SELECT 'v1' AS vault_version, p_brand AS ec_id, concat('Role ', p_brand) AS ec_name, concat('sk', p_partkey) AS skill_id, p_name AS skill_name, p_type AS skill_alias, p_partkey AS pos FROM part"""
 
 _V_UIA = """SELECT o_orderkey AS event_id, o_custkey AS chat_id, o_orderdate AS ts, CASE WHEN o_orderkey % 4 = 0 THEN 'set_ec' WHEN o_orderkey % 4 = 1 THEN 'set_skills' WHEN o_orderkey % 4 = 2 THEN 'system_decide' ELSE 'message' END AS kind, p_brand AS ec_id, concat('sk', p_partkey) AS skill_id, CASE WHEN o_orderkey % 11 = 0 THEN 'v0' ELSE 'v1' END AS vault_version FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)"""
 
-_V_MSG = """SELECT conv_id AS chat_id, conv_id % 50 AS user_id, turn, role, text AS content, {at} AS created_at, CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN substring(text, 1, 60) ELSE '' END AS enc_question, CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN 'insight_survey' END AS survey_type FROM conversations"""
+_V_MSG = """SELECT conv_id AS chat_id, CAST(floor(conv_id / 3) AS BIGINT) AS user_id, turn, role, text AS content, {at} AS created_at, CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN text ELSE '' END AS enc_question, CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN 'insight_survey' END AS survey_type FROM conversations"""
 
-_V_SUB = """SELECT event_id AS submission_id, user_id % 20 AS chat_id, ts, concat('i', (k * 37 + user_id) % (SELECT count(*) FROM supplier)) AS insight_id, CASE WHEN event_id % 3 = 0 THEN 'A' WHEN event_id % 3 = 1 THEN 'B,D' ELSE 'Q' END AS answer_csv FROM (SELECT *, CAST({k} AS INT) AS k FROM events)"""
+_V_SUB = """SELECT event_id AS submission_id, user_id AS chat_id, ts, concat('i', (k * 37 + user_id) % (SELECT count(*) FROM supplier)) AS insight_id, CASE WHEN event_id % 3 = 0 THEN 'A' WHEN event_id % 3 = 1 THEN 'B,D' ELSE 'Q' END AS answer_csv FROM (SELECT *, CAST({k} AS INT) AS k FROM events)"""
 
 _V_JSON = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('{"selected": ["', user_id, '", "', event_id, '"], "sufficiency": 1.4}') WHEN 1 THEN concat('Sure: ', props, ' done') WHEN 2 THEN '{"selected": [' ELSE '' END AS raw FROM events"""
 
-_V_ASK = """SELECT conv_id AS chat_id, turn, CASE (conv_id + turn) % 7 WHEN 0 THEN 'I am a Data Scientist' WHEN 1 THEN 'Help me choose skills like red widget or blue bolt' WHEN 2 THEN 'Reading and VIDEOS work best' WHEN 3 THEN concat('I', chr(39), 'm a Nurse') WHEN 4 THEN 'Café   résumé!' WHEN 5 THEN 'Role Brand#4' ELSE text END AS text FROM conversations WHERE role = 'user'"""
+_PHRASE = "CASE (conv_id + turn) % 7 WHEN 0 THEN 'I am a Data Scientist' WHEN 1 THEN 'Help me choose skills like red widget or blue bolt' WHEN 2 THEN 'Reading and VIDEOS work best' WHEN 3 THEN concat('I', chr(39), 'm a Nurse') WHEN 4 THEN 'Café   résumé!' WHEN 5 THEN 'Role Brand#4' END"
+
+# Every prompt with its whole text, most with a phrase behind it, and the phrases once more as prompts of their own.
+_V_ASK = f"""SELECT conv_id AS chat_id, turn, concat_ws(' ', text, {_PHRASE}) AS text FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, 100000 + turn, {_PHRASE} FROM conversations WHERE role = 'user' AND (conv_id + turn) % 7 <> 6"""
 
 _V_TEXT = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat(text, chr(10), 'a split-', chr(10), 'word in Batch 3 and batch 12') WHEN 1 THEN concat(text, chr(10), 'Café NLP and SHAP beat the API &amp; SQL') WHEN 2 THEN concat('page 1', chr(10), 'page 1', chr(10), 'page 1', chr(10), text, chr(10), 'page 1', chr(10), 'page 1') ELSE text END AS text FROM documents"""
 

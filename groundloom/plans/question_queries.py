@@ -137,9 +137,9 @@ def context_hook(spark, sf):
     return joined.select("chat_id", "turn", "insight_id", N.context_hook(F.col("text"), F.col("answers")).alias("hook"))
 
 
-# Conversations map onto the twenty chats of the decision log; every chat is asked about.
+# Every conversation is asked about; the decision log has the chats of the same number.
 OPEN = f"""{FOLDED},
-chats AS (SELECT DISTINCT conv_id AS conv, conv_id % 20 AS chat_id FROM conversations),
+chats AS (SELECT DISTINCT conv_id AS conv, conv_id AS chat_id FROM conversations),
 opn AS MATERIALIZED (SELECT c.conv, c.chat_id, (SELECT arg_min(b.batch_id, b.batch_pos) FROM (SELECT DISTINCT batch_id, batch_pos FROM ix) b WHERE NOT EXISTS (SELECT 1 FROM lt WHERE lt.chat_id = c.chat_id AND lt.batch_id = b.batch_id) AND NOT EXISTS (SELECT 1 FROM done d WHERE d.chat_id = c.chat_id AND d.batch_id = b.batch_id AND d.is_complete)) AS batch_id FROM chats c)"""
 # The batches a chat touched in its latest pass.
 OPEN = OPEN.replace("chats AS (", "lt AS (SELECT DISTINCT chat_id, batch_id FROM ap WHERE status IN ('already_taken', 'take', 'question_only') QUALIFY pass_id = max(pass_id) OVER (PARTITION BY chat_id)),\nchats AS (")
@@ -151,7 +151,7 @@ def open_batches(spark, sf, chats):
     last = decided.groupBy("chat_id").agg(F.max("pass_id").alias("pass_id"))
     touched = decided.join(last, ["chat_id", "pass_id"], "left_semi").select("chat_id", "batch_id").distinct()
     complete = I.fully_taken_batches(chats.state, chats.index)
-    asked_about = sql(spark, sf, "SELECT DISTINCT conv_id AS conv, conv_id % 20 AS chat_id FROM conversations")
+    asked_about = sql(spark, sf, "SELECT DISTINCT conv_id AS conv, conv_id AS chat_id FROM conversations")
     return N.first_open_batch(asked_about, touched, complete, chats.index)
 
 

@@ -78,20 +78,33 @@ def big(*names):
 # --- queries --------------------------------------------------------------------------------------
 
 
+def dealt(spark, sf):
+    """A vector for each document: those of the table in turn."""
+    own = table(spark, sf, "embeddings")
+    n = own.count()
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % n).alias("vec_id")).join(own, "vec_id").select("chunk_id", "embedding")
+
+
 @query(
     oracle(
         "",
-        "SELECT d.doc_id AS chunk_id, md5(CASE WHEN d.doc_id % 2 = 0 THEN d.source || ': ' || d.text ELSE d.text END) AS indexed, CAST(len(v.embedding) AS BIGINT) AS dim, round(e[1] / n, 6) AS first, round(e[len(e)] / n, 6) AS last FROM documents d JOIN (SELECT *, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_inner_product(e, e)) AS n FROM embeddings) v ON v.vec_id = d.doc_id",
+        "SELECT d.doc_id AS chunk_id, md5(CASE WHEN d.doc_id % 2 = 0 THEN d.source || ': ' || d.text ELSE d.text END) AS indexed, CAST(len(v.embedding) AS BIGINT) AS dim, round(e[1] / n, 6) AS first, round(e[len(e)] / n, 6) AS last FROM documents d JOIN (SELECT *, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_inner_product(e, e)) AS n FROM embeddings) v ON v.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)",
     )
 )
 def vector_index(spark, sf):
-    """Every second document has an embedding text of its own."""
+    """Every second document has an embedding text of its own; documents share the vectors of the table in turn."""
     text = F.when(F.col("chunk_id") % 2 == 0, F.concat("breadcrumb", F.lit(": "), F.col("text"))).otherwise(F.lit(""))
-    ix = R.vector_index(corpus(spark, sf).withColumn("embedding_text", text), vectors(spark, sf))
+    ix = R.vector_index(corpus(spark, sf).withColumn("embedding_text", text), dealt(spark, sf))
     e = F.col("embedding")
     return ix.select("chunk_id", F.md5("indexed_text").alias("indexed"), F.size(e).cast("bigint").alias("dim"), F.round(e[0], 6).alias("first"), F.round(F.element_at(e, -1), 6).alias("last"))
 
 
+@query(oracle("", "SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"))
+def missing_vectors(spark, sf):
+    """Documents that have no vector of their own number."""
+    return R.missing_vectors(corpus(spark, sf), vectors(spark, sf))
+
+
 @query(oracle("v_query", "SELECT query_id, sub_id, chunk_id, rank, round(score, 6) AS score FROM vr", VEC))
 def vector_topk(spark, sf):
     ranks = R.vector_topk(query_vectors(spark, sf), vectors(spark, sf))

@@ -41,17 +41,19 @@ def recent_events(spark, sf):
 
 SESSIONS = """g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS new FROM events)),
 sess AS (SELECT user_id AS request_id, min(ts) AS started_at, max(ts) + INTERVAL 5 MINUTE AS expires_at, count(*) AS events, arg_max(event_type, ts) AS last_label, bool_or(event_type IN ('error', 'purchase')) AS closed FROM g GROUP BY user_id, s)"""
+# A batch also begins a session after each closing event.
+CLOSED_SESSIONS = SESSIONS.replace("CASE WHEN ts - lag", "CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) NOT IN ('error', 'purchase') AND ts - lag")
 
 
 def progress(raw):
-    return raw.select(F.col("user_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type"), F.col("event_type").alias("label"))
+    return raw.select("event_id", F.col("user_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type"), F.col("event_type").alias("label"))
 
 
 def shown(sessions):
     return sessions.withColumns({c: K.as_ntz(F.col(c)) for c in ("started_at", "expires_at")})
 
 
-@query(oracle("", "SELECT * FROM sess", SESSIONS))
+@query(oracle("", "SELECT * FROM sess", CLOSED_SESSIONS))
 def progress_sessions(spark, sf):
     """Sessions of all users as a batch."""
     return shown(K.progress_sessions(progress(table(spark, sf, "events")), closing=["error", "purchase"]))

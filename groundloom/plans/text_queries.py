@@ -156,7 +156,7 @@ def acronyms_global(spark, sf):
 @query(
     oracle(
         "v_text",
-        "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, acronym) AS rank FROM (SELECT doc_id, n AS chars_scanned, acronym, count(*) AS n FROM ac GROUP BY ALL) QUALIFY rank <= 20",
+        "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, acronym) AS rank FROM (SELECT v_text.doc_id, length(text) AS chars_scanned, acronym, count(acronym) AS n FROM v_text LEFT JOIN ac ON ac.doc_id = v_text.doc_id GROUP BY ALL) QUALIFY rank <= 20",
         _ACR,
     )
 )

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Temporary folders of local sessions without a shared one, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def local_session(cpus: int | str = 8, app: str = "groundloom", memory: str = "12g") -> SparkSession:
     """A local session for tests and benches; clusters bring their own configuration."""
@@ -30,13 +33,14 @@ def local_session(cpus: int | str = 8, app: str = "groundloom", memory: str = "1
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where that is unset (tests, laptops) a new
-    temporary folder is made and recorded in the session, so later calls share it.
+    The folder comes from ``spark.checkpoint.dir``. Only a local session (tests, laptops) may do without and then gets a temporary
+    folder of its own; executors elsewhere would not see one of the driver's.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="groundloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="groundloom-"))
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 

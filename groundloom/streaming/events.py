@@ -37,14 +37,22 @@ def recent_events(events: DataFrame, n: int, key: str = "chat_id", tie: str = "e
 
 
 def progress_sessions(events: DataFrame, gap: str = SESSION_GAP, closing: list[str] | None = None) -> DataFrame:
-    """Sessions of a request: each event renews the time to live, silence ends it.
+    """Sessions of a request: each event renews the time to live; silence ends it, and so does a closing event.
+
+    A batch counts the closing events before each event of its request, so what follows one is a session of its own. A stream has
+    no such order before its watermark and ends sessions by silence; they carry whether a closing event was among them.
 
     ``events``: request_id, ts, type, label; batch or stream (with a watermark). With
     ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` set, a stream also merges sessions
     in each partition before the shuffle, which pays off for requests with very many events.
     """
     closing = closing or CLOSING
-    grouped = events.groupBy("request_id", F.session_window("ts", gap).alias("session"))
+    keys = ["request_id"]
+    if not events.isStreaming:
+        before = W.partitionBy("request_id").orderBy("ts", *[c for c in ("event_id",) if c in events.columns]).rowsBetween(W.unboundedPreceding, -1)
+        events = events.withColumn("_closes", F.coalesce(F.sum(F.col("type").isin(closing).cast("int")).over(before), F.lit(0)))
+        keys.append("_closes")
+    grouped = events.groupBy(*keys, F.session_window("ts", gap).alias("session"))
     return grouped.agg(
         F.count("*").alias("events"),
         F.max_by("label", "ts").alias("last_label"),

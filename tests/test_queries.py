@@ -7,6 +7,8 @@ from groundloom.plans import load
 
 QUERIES, ORACLES = load()
 SF = f"{DATA}/sf0.001"
+#: At this scale every document has a vector of its number, and no chat has touched half a batch.
+MAY_BE_EMPTY = ["missing_vectors", "batch_expand"]
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     difference = compare(spark, con, SF, name, QUERIES[name], ORACLES[name])
-    assert difference is None or difference.startswith("EMPTY"), difference
+    assert difference is None or name in MAY_BE_EMPTY and difference.startswith("EMPTY"), difference
 
 
 def test_every_query_has_sql():
