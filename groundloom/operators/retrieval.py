@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import explode_once, lex_tokens, let, snippet
+from ..session import materialize
 
 QUERY_KEYS = ["query_id", "sub_id"]
 
@@ -317,11 +318,20 @@ def hybrid_pool(ranks: DataFrame, k: int = 60) -> DataFrame:
     return pooled.withColumn("position", F.row_number().over(w)).drop("first_seen")
 
 
+def with_chunks(selected: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Selected rows with their chunks' columns; unknown chunks drop out.
+
+    The selection is written first, so its size is known when the join is planned: a small one goes to the chunks, and no text is
+    shuffled; only for one above Spark's broadcast threshold do both sides meet by chunk.
+    """
+    return materialize(selected, "selected").join(chunks, "chunk_id")
+
+
 def ranked_results(pool: DataFrame, chunks: DataFrame, top: int = 8) -> DataFrame:
     """The first ``top`` results of each question with header and display text; unknown chunks drop out."""
     crumb = F.coalesce(F.nullif(F.col("breadcrumb"), F.lit("")), F.lit("∅"))
     header = F.format_string("[%d] %s | %s | chunk_id=%s | score=%.4f", "position", F.col("doc_id").cast("string"), crumb, F.col("chunk_id").cast("string"), F.bround("score", 4))
-    picked = pool.filter(F.col("position") <= top).join(chunks, "chunk_id")
+    picked = with_chunks(pool.filter(F.col("position") <= top), chunks)
     return picked.select("query_id", "position", "chunk_id", header.alias("header"), snippet(F.col("text"), 600, " …").alias("shown"))
 
 
@@ -338,7 +348,7 @@ def rerank_candidates(pool: DataFrame, chunks: DataFrame, limit: int = 50) -> Da
 
 def _listed(selected: DataFrame, chunks: DataFrame, limit: int, item: Column, name: str) -> DataFrame:
     """JSON list of ``item`` for at most ``limit`` selected chunks per question."""
-    joined = selected.filter(F.col("position") <= limit).join(chunks, "chunk_id")
+    joined = with_chunks(selected.filter(F.col("position") <= limit), chunks)
     listed = joined.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", item.alias("item")))).alias("l"))
     return listed.select("query_id", F.to_json("l.item").alias(name))
 
@@ -371,14 +381,16 @@ def pack_context(selected: DataFrame, chunks: DataFrame, token_limit: int = 6000
     """Context text per question under a character budget of four per token.
 
     Blocks are taken in order and the first one that does not fit ends the list, which equals keeping the
-    rows whose running length is within the budget. Separators do not count.
+    rows whose running length is within the budget. Separators do not count. The budget is applied to lengths alone; texts are
+    fetched last, for the chunks that are left.
     """
     title = context_title(F.col("breadcrumb"), F.col("section_path"))
     block = F.concat(F.lit("["), F.col("chunk_id").cast("string"), F.lit("] "), title, F.lit("\n"), F.col("text"), F.lit("\n"))
-    joined = selected.select("query_id", "position", "chunk_id").join(chunks, "chunk_id")
-    sized = joined.select("query_id", "position", "chunk_id", "breadcrumb", block.alias("block"))
+    lengths = chunks.select("chunk_id", F.length(block).alias("length"))
     w = W.partitionBy("query_id").orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)
-    kept = sized.withColumn("used", F.sum(F.length("block")).over(w)).filter(F.col("used") <= token_limit * 4)
+    sized = with_chunks(selected.select("query_id", "position", "chunk_id"), lengths)
+    fitting = sized.withColumn("used", F.sum("length").over(w)).filter(F.col("used") <= token_limit * 4).drop("length")
+    kept = with_chunks(fitting, chunks).select("query_id", "position", "chunk_id", "breadcrumb", "used", block.alias("block"))
     entry = F.struct("position", "block", F.struct(F.col("chunk_id").cast("string").alias("chunk_id"), F.coalesce("breadcrumb", F.lit("")).alias("breadcrumb")).alias("source"))
     packed = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("l"), F.max("used").alias("chars"))
     return packed.select(
