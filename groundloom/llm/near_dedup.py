@@ -15,7 +15,11 @@ COORDINATES = 64
 #: Coordinates that a candidate pair has in common at least. A pair with 85 of 100 shingles in common has fewer with a probability of 1.6e-7.
 MATCHES = 38
 #: Documents of one posting list that are compared with each other as a block; longer lists are split into pairs of blocks.
-BLOCK = 128
+BLOCK = 512
+#: Rounds in which classes are left out that can't have enough shingles in common with any other that is left.
+PRUNINGS = 2
+#: Pairs whose signatures are compared at once.
+STEP_PAIRS = 1 << 15
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _FACTOR = _RNG.integers(0, 1 << 64, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -70,8 +74,8 @@ def _confirmed(enough: int):
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("xs"), batch.column("ys"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= enough * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
@@ -116,12 +120,13 @@ def _collisions(enough: int):
                 most = np.minimum(np.minimum(shared[x], shared[y]), np.minimum(n[x], n[y]))
                 ok = 100 * most >= enough * (n[x] + n[y] - most)
                 x, y = x[ok], y[ok]
-                if len(x):
-                    same = sig[x] == sig[y]
-                    bits = np.packbits(same, axis=1, bitorder="little").view(np.int64).ravel() & prefix[x] & prefix[y]
-                    first = (bits & -bits) == np.int64(1) << np.int64(post[begin] >> 32)
-                    ok = first & (same.sum(1) >= MATCHES)
-                    found.append((rep[x[ok]], rep[y[ok]]))
+                own_bit = np.int64(1) << np.int64(post[begin] >> 32)
+                for at in range(0, len(x), STEP_PAIRS):
+                    p, q = x[at : at + STEP_PAIRS], y[at : at + STEP_PAIRS]
+                    same = sig[p] == sig[q]
+                    bits = np.packbits(same, axis=1, bitorder="little").view(np.int64).ravel() & prefix[p] & prefix[q]
+                    ok = ((bits & -bits) == own_bit) & (same.sum(1) >= MATCHES)
+                    found.append((rep[p[ok]], rep[q[ok]]))
             if found:
                 x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=kinds)
@@ -145,7 +150,7 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", eno
        lists with. Confirmed links make first components, so a group of near copies shrinks to one before any pairs are made.
     4. Lists that still hold several components count collisions among their members, in pairs of blocks of ``BLOCK`` members. A
        pair is a candidate if it is of two components, has ``MATCHES`` values in common, and can have enough common shingles given
-       how many of each one's shingles occur in any other component at all.
+       how many of each one's shingles occur in any other component that is left (found in ``PRUNINGS`` rounds).
     5. Candidates are confirmed on whole shingle sets; links of both rounds make the components.
 
     Rows with a null key are linked with nothing and kept (their component is null). Rows that repeat a key are one node. An empty
@@ -184,13 +189,18 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", eno
     open_lists = stored(labelled.groupBy("post").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("post", "size"), "open-lists")
     open_posts = stored(labelled.join(open_lists, "post"), "open-posts")
     active = stored(open_posts.select("rep", "label").distinct(), "active")
-    spelled = whole.join(active, "rep").select("rep", "label", "shingles").mapInArrow(_spelled, "rep long, label long, shingle long")
-    wide = stored(spelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle"), "wide")
-    shared = stored(spelled.join(wide, "shingle").groupBy("rep").agg(F.count("*").alias("shared")), "shared")
-    mask = F.expr("aggregate(prefix, 0L, (s, p) -> s | shiftleft(1L, CAST(shiftright(p.post, 32) AS INT)))")
-    able = stored(reps.join(shared, "rep").where(100 * F.col("shared") >= enough * F.col("n")).join(prefixes.select("rep", mask.alias("mask")), "rep"), "able")
+    sizes, masks = reps.select("rep", "n", "values"), prefixes.select("rep", F.expr("aggregate(prefix, 0L, (s, p) -> s | shiftleft(1L, CAST(shiftright(p.post, 32) AS INT)))").alias("mask"))
+    able = active
+    for _ in range(PRUNINGS):
+        spelled = whole.join(able.select("rep", "label"), "rep").select("rep", "label", "shingles").mapInArrow(_spelled, "rep long, label long, shingle long")
+        wide = stored(spelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle"), "wide")
+        shared = stored(spelled.join(wide, "shingle").groupBy("rep", "label").agg(F.count("*").alias("shared")), "shared")
+        able = stored(sizes.join(shared, "rep").where(100 * F.col("shared") >= enough * F.col("n")).join(masks, "rep"), "able")
+    able = able.drop("label")
+    able_posts = stored(open_posts.drop("size").join(able.select("rep"), "rep", "left_semi"), "able-posts")
+    still_open = stored(able_posts.groupBy("post").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("post", "size"), "still-open")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cells = open_posts.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = able_posts.join(still_open, "post").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = cells.select("post", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label").join(able, "rep")
     sorted_cells = cells.repartition("post", "i", "j").sortWithinPartitions("post", "i", "j")
     second = confirmed(stored(sorted_cells.mapInArrow(_collisions(enough), "x long, y long"), "candidates"), "second-links")

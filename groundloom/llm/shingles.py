@@ -26,7 +26,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_POWERS = [_powers(_STEP, STEP_BYTES), _powers(_BACK, STEP_BYTES)]
+#: Filled by the first use in a task.
+_POWERS: list[np.ndarray] = []
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -38,8 +39,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of every word."""
-    if len(data) > len(_POWERS[0]):
-        _POWERS[:] = [_powers(_STEP, len(data)), _powers(_BACK, len(data))]
+    if not _POWERS or len(data) > len(_POWERS[0]):
+        size = max(len(data), STEP_BYTES)
+        _POWERS[:] = [_powers(_STEP, size), _powers(_BACK, size)]
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
     begin, end = edge[::2], edge[1::2]
