@@ -32,6 +32,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def long_fold(items: Column, start: dict[str, Column], out: str, step, finish=lambda s: s.out, group: int = 256) -> Column:
+    """``aggregate`` over an array for a state with the fields of ``start`` and a growing array ``out`` (of the given type).
+
+    Appending copies the array, so a plain fold is quadratic in its length. This one folds groups of items into arrays of their own
+    and appends those, which copies ``group`` items per item and one reference per group.
+    """
+    groups = F.transform(
+        F.sequence(F.lit(0), F.ceil(F.size(items) / group).cast("int") - 1), lambda g: F.slice(items, g * group + 1, F.lit(group))
+    )
+    nothing = F.array().cast(out)
+
+    def carried(s: Column) -> list[Column]:
+        return [s[name].alias(name) for name in start]
+
+    def whole(s: Column, part: Column) -> Column:
+        folded = F.aggregate(part, F.struct(*carried(s), nothing.alias("out")), step)
+        return let(folded, lambda r: F.struct(*carried(r), F.concat(s["out"], F.array(r["out"])).alias("out")))
+
+    first = F.struct(*[value.alias(name) for name, value in start.items()], F.array().cast(f"array<{out}>").alias("out"))
+    parts = F.when(F.size(items) > 0, groups).otherwise(F.slice(groups, 1, 0))
+    return let(F.aggregate(parts, first, whole), lambda s: let(F.struct(*carried(s), F.flatten(s["out"]).alias("out")), finish))
+
+
 def explode_once(df: DataFrame, array: Column, *names: str, keep: list[str] = ()) -> DataFrame:
     """Rows of a computed array: ``(name)`` or, with two names, ``(position, name)``.
 

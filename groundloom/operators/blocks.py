@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HS, explode_once, line_terminated, lines, strip
+from ..functions.text import HS, explode_once, let, line_terminated, lines, long_fold, strip
 
 # One line including its end. All texts matched here are line-terminated.
 _LINE = "[^\n]*\n"
@@ -105,9 +105,7 @@ def with_blocks(docs: DataFrame) -> DataFrame:
         )
 
     placed = "array<struct<path:array<string>,base:int,runs:array<string>>>"
-    start = F.struct(
-        F.array().cast("array<string>").alias("path"), F.lit(0).alias("n"), F.array().cast(placed).alias("out")
-    )
+    start = {"path": F.array().cast("array<string>"), "n": F.lit(0)}
 
     def place(state: Column, sec: Column) -> Column:
         # The stack is cut back only where it is already as deep as the new heading's level.
@@ -138,7 +136,7 @@ def with_blocks(docs: DataFrame) -> DataFrame:
 
         return F.transform(sec.runs, block)
 
-    sections_placed = F.aggregate(F.transform(sections, cut), start, place, lambda s: s.out)
+    sections_placed = let(F.transform(sections, cut), lambda cuts: long_fold(cuts, start, placed, place))
     return docs.withColumn("blocks", F.flatten(F.transform(sections_placed, finish_section)))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import count_tokens, let, rstrip, words
+from ..functions.text import count_tokens, let, long_fold, rstrip, words
 
 
 @dataclass(frozen=True)
@@ -51,13 +51,7 @@ def _spans(blocks: Column, cfg: ChunkConfig) -> Column:
     def span(first: Column, last: Column, raw: Column, kind: Column) -> Column:
         return F.array(F.struct(first.alias("first"), last.alias("last"), raw.alias("raw_first"), kind.alias("kind")))
 
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("buf"),
-        F.lit(0).alias("first"),
-        F.lit(0).alias("last"),
-        F.lit(False).alias("raw"),
-        F.array().cast(span_t).alias("out"),
-    )
+    start = {"buf": F.lit(0).cast("bigint"), "first": F.lit(0), "last": F.lit(0), "raw": F.lit(False)}
     nothing = F.array().cast(span_t)
     text = F.lit("text")
 
@@ -70,12 +64,12 @@ def _spans(blocks: Column, cfg: ChunkConfig) -> Column:
         opens = overfull | (held == 0)
         filled = F.when(b.skipped, held).when(b.alone, F.lit(0).cast("bigint")).when(opens, b.n).otherwise(held + b.n)
         full = plain & (filled >= cfg.target_tokens)
-        first = F.when(plain & opens, b.i).otherwise(s.first)
-        last = F.when(plain, b.i).otherwise(s.last)
+        first = F.when(plain & opens, b.i).otherwise(s["first"])
+        last = F.when(plain, b.i).otherwise(s["last"])
         raw = F.when(plain & opens, overfull).otherwise(s.raw)
         out = F.concat(
             s.out,
-            F.when(closes, span(s.first, s.last, s.raw, text)).otherwise(nothing),
+            F.when(closes, span(s["first"], s["last"], s.raw, text)).otherwise(nothing),
             F.when(b.alone, span(b.i, b.i, F.lit(True), b.kind)).when(full, span(first, last, raw, text)).otherwise(nothing),
         )
         return F.struct(
@@ -87,9 +81,9 @@ def _spans(blocks: Column, cfg: ChunkConfig) -> Column:
         )
 
     def finish(s: Column) -> Column:
-        return F.when(s.buf > 0, F.concat(s.out, span(s.first, s.last, s.raw, text))).otherwise(s.out)
+        return F.when(s.buf > 0, F.concat(s.out, span(s["first"], s["last"], s.raw, text))).otherwise(s.out)
 
-    return F.aggregate(F.transform(blocks, measure), start, step, finish)
+    return let(F.transform(blocks, measure), lambda measured: long_fold(measured, start, span_t, step, finish))
 
 
 def _assemble(blocks: Column, spans: Column, cfg: ChunkConfig) -> Column:
@@ -135,7 +129,7 @@ def _overlap_prefixes(chunks: Column, n: int) -> Column:
             let(words(c.text), lambda w: last_words(w, n + 1)).alias("own"),
         )
 
-    start = F.struct(F.array().cast("array<string>").alias("carry"), F.array().cast("array<string>").alias("out"))
+    start = {"carry": F.array().cast("array<string>")}
 
     def step(s: Column, c: Column) -> Column:
         def extend(prefix: Column) -> Column:
@@ -147,7 +141,7 @@ def _overlap_prefixes(chunks: Column, n: int) -> Column:
         repeat = F.when(c.plain & (F.size(s.carry) > n), F.array_join(last_words(s.carry, n), " "))
         return let(let(repeat, lambda r: F.when(~c.text.startswith(r), r)), extend)
 
-    return F.aggregate(F.transform(chunks, tail), start, step, lambda s: s.out)
+    return let(F.transform(chunks, tail), lambda tails: long_fold(tails, start, "array<string>", step))
 
 
 def pack_chunks(nested: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:

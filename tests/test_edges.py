@@ -69,3 +69,23 @@ def test_sessions_end_at_closing_events(spark):
     rows = spark.createDataFrame([(e, r, t, k, k) for e, r, t, k in events], "event_id long, request_id long, ts timestamp, type string, label string")
     got = progress_sessions(rows, closing=["done"]).orderBy("started_at").collect()
     assert [(r.events, r.closed) for r in got] == [(2, True), (1, False)]
+
+
+def test_document_of_many_sections(spark):
+    """Paths, packing and overlap of 20,000 sections in time that a quadratic fold doesn't keep."""
+    import time
+
+    from groundloom.operators import chunks
+
+    text = "\n\n".join(f"{'#' * (1 + i % 3)} h{i}\n\nword word {i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    started = time.time()
+    rows = blocks.build_blocks(docs).where("block_type = 'heading'").select("block_index", "section_path").collect()
+    assert len(rows) == 20_000
+    path = []
+    for i, row in enumerate(sorted(rows)):
+        level = 1 + i % 3
+        path = (path[: level - 1] if len(path) >= level else path) + [f"h{i}"]
+        assert row.section_path == path
+    assert chunks.build_chunks(blocks.with_blocks(docs)).count() > 1000
+    assert time.time() - started < 60
