@@ -7,11 +7,9 @@ sub-queries of a question from 0.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,15 +107,13 @@ def top_ranks(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25_topk(
-    queries: DataFrame, index: LexicalIndex, k: int = 50, k1: float = 1.5, b: float = 0.75, max_broadcast_terms: int = 1_000_000
-) -> DataFrame:
+def bm25_topk(queries: DataFrame, index: LexicalIndex, k: int = 50, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Okapi top-``k`` of ``(query_id, sub_id, q)``; repeated query tokens count again.
 
     Only chunks that match are ranked; see :func:`pad_zero` for full lists. Postings are partitioned by
-    chunk first: one chunk's matches then meet in the task that holds it and no (query, chunk) pair is
-    shuffled. The query terms are broadcast when their number, checked first, is within
-    ``max_broadcast_terms`` (some tens of bytes each); beyond it Spark joins by term and splits skewed terms.
+    chunk first, so a chunk's matches meet in the task that holds it. The weighed query terms are written
+    before the join: Spark knows their size, sends them to the postings while they are below its broadcast
+    threshold, and joins by term, splitting skewed ones, where they are not.
     """
     avgdl = index.corpus.select("avgdl").scalar()
     counted = (
@@ -125,10 +121,8 @@ def bm25_topk(
         .groupBy(*QUERY_KEYS, "term")
         .agg(F.count("*").alias("qtf"))
     )
-    small = counted.limit(max_broadcast_terms + 1).count() <= max_broadcast_terms
-    weights = index.terms.select("term", "idf").join(F.broadcast(counted) if small else counted, "term")
-    q_terms = weights.select("term", *QUERY_KEYS, (F.col("qtf") * F.col("idf")).alias("weight"))
-    q_terms = F.broadcast(q_terms) if small else q_terms
+    weights = index.terms.select("term", "idf").join(materialize(counted, "query-terms"), "term")
+    q_terms = materialize(weights.select("term", *QUERY_KEYS, (F.col("qtf") * F.col("idf")).alias("weight")), "query-weights")
     normed = index.postings.repartition("chunk_id").withColumn("norm", k1 * (1 - b + b * F.col("doc_len") / avgdl))
     postings = explode_once(normed, F.col("entries"), "e", keep=["chunk_id", "norm"])
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.col("norm"))
@@ -207,35 +201,17 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm > 0, norm, 1.0)
 
 
-def _matrix(column) -> np.ndarray:
-    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
-
-
-def vector_topk(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int = 50,
-    max_broadcast_queries: int = 20_000,
-    vectors_per_slot: int = 200_000,
-) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 50, block_queries: int = 20_000, slot_vectors: int = 50_000) -> DataFrame:
     """Exact inner-product top-``k`` on unit vectors for ``(query_id, sub_id, embedding)``.
 
-    Each task multiplies its vectors with the query matrix and hands on ``k`` rows per query. The query
-    matrix is shipped to the tasks only when its row count, checked first, is within
-    ``max_broadcast_queries``; a larger query set is cut into blocks and met by the vectors in a shuffle.
+    Queries are dealt out to blocks and vectors to slots of bounded size; every block meets every slot in one task, which multiplies
+    the two matrices and hands on ``k`` rows per query.
     """
     fields = {f.name: f.dataType for f in queries.schema} | {f.name: f.dataType for f in vectors.schema}
     out = T.StructType(
         [T.StructField(c, fields[c]) for c in (*QUERY_KEYS, "chunk_id")] + [T.StructField("score", T.DoubleType())]
     )
-    queries = queries.select(*QUERY_KEYS, "embedding")
-    vectors = vectors.select("chunk_id", "embedding")
-    sample = queries.limit(max_broadcast_queries + 1).collect()
-    if len(sample) <= max_broadcast_queries:
-        partial = _scan_with_matrix(sample, vectors, k, out)
-    else:
-        partial = _meet_in_blocks(queries, vectors, k, out, max_broadcast_queries, vectors_per_slot)
+    partial = _meet_in_blocks(queries.select(*QUERY_KEYS, "embedding"), vectors.select("chunk_id", "embedding"), k, out, block_queries, slot_vectors)
     return top_ranks(partial, QUERY_KEYS, k).select(*QUERY_KEYS, F.lit("vec").alias("source"), "chunk_id", "rank", "score")
 
 
@@ -245,23 +221,6 @@ def _result(keys: list[np.ndarray], best: _BestK, out: T.StructType) -> dict:
     return dict(zip(out.fieldNames(), [*cols, [i for _, _, i in rows], [s for _, s, _ in rows]]))
 
 
-def _scan_with_matrix(rows: list, vectors: DataFrame, k: int, out: T.StructType) -> DataFrame:
-    keys = [np.asarray([r[c] for r in rows]) for c in QUERY_KEYS]
-    matrix = vectors.sparkSession.sparkContext.broadcast(np.asarray([r["embedding"] for r in rows], dtype=np.float64))
-    arrow = pa.schema([(f.name, {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}.get(f.dataType.simpleString(), pa.int64())) for f in out])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not len(matrix.value):
-            return
-        best = _BestK(matrix.value, k)
-        for batch in batches:
-            if batch.num_rows:
-                best.add(np.asarray(batch.column("chunk_id").to_pylist()), _matrix(batch.column("embedding")))
-        yield pa.RecordBatch.from_pydict(_result(keys, best, out), schema=arrow)
-
-    return vectors.mapInArrow(scan, out)
-
-
 def _numbers(n: int) -> Column:
     return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
 
@@ -270,7 +229,7 @@ def _meet_in_blocks(queries: DataFrame, vectors: DataFrame, k: int, out: T.Struc
     """Both sides keyed by (slot of vectors, block of queries); every pair of cells has bounded size."""
     import pandas as pd
 
-    blocks = -(-queries.count() // per_block)
+    blocks = max(1, -(-queries.count() // per_block))
     slots = max(1, -(-vectors.count() // per_slot))
     q = queries.withColumn("_block", F.pmod(F.xxhash64(*QUERY_KEYS), F.lit(blocks))).withColumn("_slot", F.explode(_numbers(slots)))
     v = vectors.withColumn("_slot", F.pmod(F.xxhash64("chunk_id"), F.lit(slots))).withColumn("_block", F.explode(_numbers(blocks)))

@@ -13,7 +13,7 @@ def vectors(spark, n=400, dim=8, seed=1):
     return base, spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(4)
 
 
-def test_vector_topk_is_exact_on_both_paths(spark):
+def test_vector_topk_is_exact_in_blocks(spark):
     base, v = vectors(spark)
     q = v.filter("chunk_id < 12").select(F.col("chunk_id").alias("query_id"), F.lit(0).alias("sub_id"), "embedding")
     unit = base / np.linalg.norm(base, axis=1, keepdims=True)
@@ -23,7 +23,7 @@ def test_vector_topk_is_exact_on_both_paths(spark):
         for rank, j in enumerate(np.lexsort((np.arange(len(base)), -scores))[:7], start=1):
             want.add((i, int(j), rank))
     small = {(r.query_id, r.chunk_id, r["rank"]) for r in R.vector_topk(q, v, k=7).collect()}
-    large = {(r.query_id, r.chunk_id, r["rank"]) for r in R.vector_topk(q, v, k=7, max_broadcast_queries=5, vectors_per_slot=90).collect()}
+    large = {(r.query_id, r.chunk_id, r["rank"]) for r in R.vector_topk(q, v, k=7, block_queries=5, slot_vectors=90).collect()}
     assert small == want
     assert large == want
 
@@ -40,7 +40,10 @@ def queries(spark):
 def test_bm25_broadcast_and_shuffled_agree(spark):
     index = R.bm25_index(corpus(spark))
     one = {tuple(r) for r in R.bm25_topk(queries(spark), index).collect()}
-    two = {tuple(r) for r in R.bm25_topk(queries(spark), index, max_broadcast_terms=0).collect()}
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    two = {tuple(r) for r in R.bm25_topk(queries(spark), index).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert one == two and {r[0] for r in one} == {1, 2}
 
 
