@@ -278,7 +278,8 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: str
     docs = docs.drop("ppl", "threshold", "keep")
     trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias(key)).distinct()
     held_out = F.pmod(F.xxhash64(key), F.lit(HELD_OUT)) == 0
-    sample = docs.join(trusted.where(~held_out), key, "left_semi").select(F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.col(text).alias("_text"))
+    # Without the hint small label tables would be broadcast and larger ones sorted with the texts.
+    sample = docs.join(trusted.where(~held_out).hint("shuffle_hash"), key, "left_semi").select(F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.col(text).alias("_text"))
     counts = stored(sample.mapInArrow(_counted, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")), f"grams-{ORDER}")
     scored = with_perplexity(docs, stored(train(counts), "model"), lang, text)
     scored = stored(scored if carry else scored.drop(text), "scored")
