@@ -11,32 +11,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.modeljson import extract_json_object, field
-from ..functions.text import explode_once, is_generic_answer, let, oxford_join, strip
+from ..functions.text import is_generic_answer, let, oxford_join, strip
+from ..session import materialize
 from .insights import active_answers, insight_index
 
 ASK = ["chat_id", "turn"]
 
 
-def phrase_hits(texts: DataFrame, phrases: DataFrame, keys: list[str] = ASK, max_inline: int = 1000) -> DataFrame:
+def phrase_hits(texts: DataFrame, phrases: DataFrame, keys: list[str] = ASK) -> DataFrame:
     """(keys, phrase) for every distinct ``phrase`` that occurs in the lower-cased ``text``.
 
-    A phrase list whose length, checked first, is within ``max_inline`` is tested inside each row. A longer
-    one joins on its first three characters with the character runs present in the text, and the few
-    candidates are then verified, so the work follows the number of near matches.
+    Phrases join on their first three characters with the character runs present in the text; the candidates of a text are
+    verified against it, so the work follows the number of near matches. The phrases are written first, so
+    Spark knows whether they are small enough to go to the texts.
     """
-    wanted = phrases.select(F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct()
+    wanted = materialize(phrases.select(F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct(), "phrases")
     lowered = texts.select(*keys, F.lower("text").alias("_text"))
-    few = [r.phrase for r in wanted.limit(max_inline + 1).collect()]
-    if len(few) <= max_inline:
-        listed = F.array(*[F.lit(p) for p in few]).cast("array<string>")
-        found = let(F.col("_text"), lambda t: F.filter(listed, lambda p: t.contains(p)))
-        return explode_once(lowered, found, "phrase", keep=keys)
     # A zero-width look-ahead yields the up to three characters at every position in one linear scan.
     runs = F.regexp_extract_all("_text", F.lit("(?s)(?=(.{1,3}))"), F.lit(1))
     heads = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.array(r, F.substring(r, 1, 2), F.substring(r, 1, 1)))))
     present = lowered.select(*keys, F.explode(heads).alias("_head"))
-    by_head = wanted.withColumn("_head", F.substring("phrase", 1, 3))
-    near = present.join(by_head, "_head").select(*keys, "phrase")
+    near = present.join(wanted.withColumn("_head", F.substring("phrase", 1, 3)), "_head").select(*keys, "phrase")
     return near.join(lowered, keys).filter(F.col("_text").contains(F.col("phrase"))).select(*keys, "phrase")
 
 

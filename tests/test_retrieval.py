@@ -68,10 +68,17 @@ def test_filter_keeps_ranks_and_empty_means_all(spark):
     assert {(r.query_id, r.chunk_id, r["rank"]) for r in R.doc_filter(ranks, allow).collect()} == {(1, 11, 2), (2, 10, 1)}
 
 
-def test_phrase_hits_paths_agree(spark):
+def test_phrase_hits(spark):
     asks = spark.createDataFrame([(1, 0, "Reading the A+ book"), (2, 0, "videos, and more"), (3, 0, "")], "chat_id long, turn int, text string")
     phrases = spark.createDataFrame([("a",), ("re",), ("THE",), ("read",), ("and more",), ("zz",), ("",)], "phrase string")
-    inline = {tuple(r) for r in N.phrase_hits(asks, phrases).collect()}
-    joined = {tuple(r) for r in N.phrase_hits(asks, phrases, max_inline=0).collect()}
+    found = {tuple(r) for r in N.phrase_hits(asks, phrases).collect()}
     want = {(i, 0, p) for i, t in [(1, "reading the a+ book"), (2, "videos, and more"), (3, "")] for p in ["a", "re", "the", "read", "and more", "zz"] if p in t}
-    assert inline == joined == want
+    assert found == want
+
+
+def test_many_phrases_with_one_head(spark):
+    words = [f"the{k}" for k in range(10_000)]
+    asks = spark.createDataFrame([(1, 0, "the " + " ".join(words[:50])), (2, 0, "none"), (3, 0, None)], "chat_id long, turn int, text string")
+    found = {tuple(r) for r in N.phrase_hits(asks, spark.createDataFrame([(w,) for w in words], "phrase string")).collect()}
+    text = "the " + " ".join(words[:50])
+    assert found == {(1, 0, w) for w in words if w in text}
