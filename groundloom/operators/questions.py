@@ -85,12 +85,15 @@ def insight_relevance(asks: DataFrame, vault: DataFrame) -> DataFrame:
 
 
 def best_insight(asks: DataFrame, vault: DataFrame) -> DataFrame:
-    """The most relevant insight of the ask's batch, the earliest of equals, the first where none is mentioned."""
+    """The most relevant insight of the ask's batch, the earliest of equals, the first where none is mentioned.
+
+    An ask of a batch that is closed or has no open insight keeps its row, with a null insight and score 0.
+    """
     best = insight_relevance(asks, vault).groupBy(*ASK).agg(
         F.max(F.struct(F.col("score"), (-F.col("pos")).alias("early"), F.col("insight_id").alias("id"))).alias("b")
     )
     first = active_answers(vault).groupBy("batch_id").agg(F.min_by("insight_id", "pos").alias("_first"))
-    joined = asks.join(first, "batch_id").join(best, ASK, "left")
+    joined = asks.join(first, "batch_id", "left").join(best, ASK, "left")
     return joined.withColumn("insight_id", F.coalesce("b.id", "_first")).withColumn("score", F.coalesce("b.score", F.lit(0))).drop("b", "_first")
 
 

@@ -23,7 +23,7 @@ aq AS MATERIALIZED ({_ASKED}),
 ph AS (SELECT DISTINCT batch_id, insight_id, pos, answer_id, lower(label) AS phrase, 2 AS w, 'l' AS k FROM v_vault WHERE batch_active AND insight_active UNION ALL SELECT batch_id, insight_id, pos, answer_id, lower(alias), 1, 'a' FROM v_vault WHERE batch_active AND insight_active),
 rel AS MATERIALIZED (SELECT chat_id, turn, aq.batch_id, insight_id, pos, answer_id, CAST(sum(w) AS BIGINT) AS score FROM aq JOIN ph ON ph.batch_id = aq.batch_id AND contains(lower(text), phrase) GROUP BY ALL),
 irel AS MATERIALIZED (SELECT chat_id, turn, batch_id, insight_id, pos, CAST(sum(score) AS BIGINT) AS score FROM rel GROUP BY ALL),
-best AS MATERIALIZED (SELECT a.chat_id, a.turn, a.text, a.batch_id, coalesce(r.insight_id, f.insight_id) AS insight_id, coalesce(r.score, 0) AS score FROM aq a JOIN (SELECT batch_id, arg_min(insight_id, pos) AS insight_id FROM ix GROUP BY batch_id) f ON f.batch_id = a.batch_id LEFT JOIN (SELECT * FROM irel QUALIFY row_number() OVER (PARTITION BY chat_id, turn ORDER BY score DESC, pos) = 1) r ON r.chat_id = a.chat_id AND r.turn = a.turn)"""
+best AS MATERIALIZED (SELECT a.chat_id, a.turn, a.text, a.batch_id, coalesce(r.insight_id, f.insight_id) AS insight_id, coalesce(r.score, 0) AS score FROM aq a LEFT JOIN (SELECT batch_id, arg_min(insight_id, pos) AS insight_id FROM ix GROUP BY batch_id) f ON f.batch_id = a.batch_id LEFT JOIN (SELECT * FROM irel QUALIFY row_number() OVER (PARTITION BY chat_id, turn ORDER BY score DESC, pos) = 1) r ON r.chat_id = a.chat_id AND r.turn = a.turn)"""
 
 
 def asked(spark, sf):
@@ -101,14 +101,14 @@ def deterministic_question(spark, sf):
 @query(
     oracle(
         "v_ask v_vault",
-        f"SELECT chat_id, turn, CASE WHEN contains(lower(text), 'reading') OR contains(lower(text), 'videos') OR contains(lower(text), 'hands-on practice') THEN text ELSE {_DET} END AS question FROM best JOIN ix ON ix.insight_id = best.insight_id",
+        f"SELECT chat_id, turn, CASE WHEN ix.insight_id IS NOT NULL AND (contains(lower(text), 'reading') OR contains(lower(text), 'videos') OR contains(lower(text), 'hands-on practice')) THEN text ELSE {_DET} END AS question FROM best LEFT JOIN ix ON ix.insight_id = best.insight_id",
         ASKED,
     )
 )
 def question_guard(spark, sf):
     """The prompt text stands in for the model's question."""
     best = N.best_insight(asked(spark, sf), vault(spark, sf)).select("chat_id", "turn", "text", "insight_id")
-    joined = best.join(I.insight_index(vault(spark, sf)), "insight_id")
+    joined = best.join(I.insight_index(vault(spark, sf)), "insight_id", "left")
     guarded = N.question_guard(F.col("text"), N.canonical_labels(F.col("answers")), fallback_question())
     return joined.select("chat_id", "turn", guarded.alias("question"))
 
@@ -133,7 +133,7 @@ def model_question(spark, sf):
 )
 def context_hook(spark, sf):
     best = N.best_insight(asked(spark, sf), vault(spark, sf)).select("chat_id", "turn", "text", "insight_id")
-    joined = best.join(I.insight_index(vault(spark, sf)).select("insight_id", "answers"), "insight_id")
+    joined = best.join(I.insight_index(vault(spark, sf)).select("insight_id", "answers"), "insight_id", "left")
     return joined.select("chat_id", "turn", "insight_id", N.context_hook(F.col("text"), F.col("answers")).alias("hook"))
 
 
