@@ -41,6 +41,14 @@ def flatten_batches(batches: DataFrame) -> DataFrame:
 # --- vault reads ----------------------------------------------------------------------------------
 
 
+def of_version(vaults: DataFrame, version: str) -> DataFrame:
+    """One version of a table of vaults; every read of the vault goes through it where the table has versions.
+
+    The operators below take one version: rows of two would be merged into one vault.
+    """
+    return vaults.filter(F.col("vault_version") == version).drop("vault_version")
+
+
 def active_batches(vault: DataFrame) -> DataFrame:
     return vault.filter("batch_active").select(*BATCH).distinct()
 

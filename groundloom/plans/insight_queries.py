@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from ..operators import insights as I
-from .fixtures import oracle, sql, view
+from .fixtures import oracle, sql, vault, view
 from ..session import materialize
 from .registry import query
 
@@ -54,10 +54,6 @@ done AS MATERIALIZED (SELECT s.chat_id, x.batch_id, count(*) FILTER (s.taken) AS
 # --- inputs ---------------------------------------------------------------------------------------
 
 
-def vault(spark, sf):
-    return view(spark, sf, "v_vault")
-
-
 def index(spark, sf):
     """The active insights, stored once per query."""
     return materialize(I.insight_index(vault(spark, sf)), "insight-index")
@@ -151,7 +147,7 @@ def batches_in_order(spark, sf):
     )
 )
 def vault_readiness(spark, sf):
-    versions = vault(spark, sf).withColumn("vault_version", F.lit("v1"))
+    versions = view(spark, sf, "v_vaults")
     return I.vault_readiness(versions, "v1").union(I.vault_readiness(versions, "v9"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from ..streaming import events as K
 from .fixtures import SPARK_VIEWS, oracle, table, view
+from .fixtures import vault as vault_of
 from .insight_queries import APPLIED
 from .intake_queries import STATE
 from .registry import query
@@ -96,7 +97,7 @@ wr AS (SELECT chat_id, insight_id, batch_id, status = 'take' AS taken, CASE WHEN
 @query(oracle("v_dec v_vault", "SELECT * FROM wr", _FOLD))
 def insight_state_upsert_stream(spark, sf):
     """Insight state kept by a stream over the decisions; equals the batch fold."""
-    vault = view(spark, sf, "v_vault")
+    vault = vault_of(spark, sf)
     table(spark, sf, "supplier").createOrReplaceTempView("supplier")
     stream(spark, sf, "events").createOrReplaceTempView("events")
     decisions = spark.sql(SPARK_VIEWS["v_dec"])

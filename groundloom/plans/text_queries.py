@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import modeljson as J
 from ..functions import text as X
 from ..operators import cleaning, profile
-from .fixtures import oracle, table, view
+from .fixtures import oracle, table, vault, view
 from .registry import query
 
 SP = "' ' || chr(9) || chr(10) || chr(13)"
@@ -128,7 +128,7 @@ def chat_title(spark, sf):
 def oxford_join(spark, sf):
     """Lists of none to four labels."""
     labels = F.array_sort(F.collect_list(F.struct("answer_id", "label"))).label
-    lists = view(spark, sf, "v_vault").groupBy("insight_id", "pos").agg(labels.alias("a"))
+    lists = vault(spark, sf).groupBy("insight_id", "pos").agg(labels.alias("a"))
     return lists.select("insight_id", X.oxford_join(F.slice("a", F.lit(1), (F.col("pos") % 5).cast("int"))).alias("phrase"))
 
 
@@ -139,7 +139,7 @@ def oxford_join(spark, sf):
     )
 )
 def is_generic_answer(spark, sf):
-    return view(spark, sf, "v_vault").select("insight_id", "answer_id", X.is_generic_answer(F.col("label")).alias("generic"))
+    return vault(spark, sf).select("insight_id", "answer_id", X.is_generic_answer(F.col("label")).alias("generic"))
 
 
 # --- profiling ------------------------------------------------------------------------------------
