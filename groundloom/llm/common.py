@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, shared_dir
+from ..session import shared_dir
 
 #: Words: runs of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -21,11 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The frame written to the cluster's shared folder and read back, so that its lineage ends there."""
-    return materialize(df, purpose)
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of stored frames that no result needs any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:
-    return os.path.join(shared_dir(spark, purpose))
+    return shared_dir(spark, purpose)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -17,9 +17,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Null ends, self loops and repeated edges are ignored. Empty edges give no rows.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    rounds = []
+    rounds, edges_before = [], []
     while True:
         both = stored(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+        discard(*edges_before)
+        edges_before = [both]
         if both.isEmpty():
             break
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")

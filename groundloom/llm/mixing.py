@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hex_digits, stored
+from .common import discard, hex_digits, stored
 
 PASSES = 3
 COLUMNS = ("source_size", "target", "copies", "taken")
@@ -65,6 +65,7 @@ def mix(rows: DataFrame, key: str = "doc_id", source: str = "source", size: str
     starts = stored(totals.select("lane", "range", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("start")).join(targets, "lane"), "starts")
     within = Window.partitionBy("lane", "range").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, 0)
     timed = stored(ranged.withColumn("upto", F.sum("size").over(within)).join(starts, ["lane", "range"]).withColumn("upto", F.col("upto") + F.col("start")).drop("lane", "range", "start"), "timed")
+    discard(keyed, starts, targets)
 
     def finish(at):
         upto = F.lit(at).cast("long") * F.col("source_size") + F.col("upto")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .components import components
 from .shingles import mixed, shingle_set, word_hashes
 
@@ -183,31 +183,35 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", eno
         xs, ys = (whole.select(F.col("rep").alias(c), F.col("shingles").alias(c + "s")) for c in "xy")
         return stored(pairs.join(xs, "x").join(ys, "y").select("x", "y", "xs", "ys").mapInArrow(_confirmed(enough), "x long, y long"), purpose)
 
-    first = confirmed(stored(stars, "stars"), "first-links")
+    stars = stored(stars, "stars")
+    first = confirmed(stars, "first-links")
     label = stored(prefixes.select(F.col("rep").alias("node")).distinct().join(components(first, "x", "y"), "node", "left").select(F.col("node").alias("rep"), F.coalesce("component", "node").alias("label")), "first-components")
     labelled = listed.drop("held").join(label, "rep")
     open_lists = stored(labelled.groupBy("post").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("post", "size"), "open-lists")
     open_posts = stored(labelled.join(open_lists, "post"), "open-posts")
     active = stored(open_posts.select("rep", "label").distinct(), "active")
     sizes, masks = reps.select("rep", "n", "values"), prefixes.select("rep", F.expr("aggregate(prefix, 0L, (s, p) -> s | shiftleft(1L, CAST(shiftright(p.post, 32) AS INT)))").alias("mask"))
-    able = active
+    able, scratch = active, [copied, lists, pivots, stars, label, open_lists, open_posts, active]
     for _ in range(PRUNINGS):
         spelled = whole.join(able.select("rep", "label"), "rep").select("rep", "label", "shingles").mapInArrow(_spelled, "rep long, label long, shingle long")
         wide = stored(spelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle"), "wide")
         shared = stored(spelled.join(wide, "shingle").groupBy("rep", "label").agg(F.count("*").alias("shared")), "shared")
         able = stored(sizes.join(shared, "rep").where(100 * F.col("shared") >= enough * F.col("n")).join(masks, "rep"), "able")
-    able = able.drop("label")
+        scratch += [wide, shared, able]
     able_posts = stored(open_posts.drop("size").join(able.select("rep"), "rep", "left_semi"), "able-posts")
     still_open = stored(able_posts.groupBy("post").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("post", "size"), "still-open")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     cells = able_posts.join(still_open, "post").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = cells.select("post", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label").join(able, "rep")
+    cells = cells.select("post", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label").join(able.drop("label"), "rep")
     sorted_cells = cells.repartition("post", "i", "j").sortWithinPartitions("post", "i", "j")
-    second = confirmed(stored(sorted_cells.mapInArrow(_collisions(enough), "x long, y long"), "candidates"), "second-links")
+    candidates = stored(sorted_cells.mapInArrow(_collisions(enough), "x long, y long"), "candidates")
+    second = confirmed(candidates, "second-links")
+    discard(*scratch, prefixes, whole, able_posts, still_open, candidates)
 
     doubled = usable.groupBy("doc_id").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("doc_id")
     same = members.join(doubled, "doc_id", "left_semi").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
     groups = stored(components(first.unionByName(second).unionByName(same), "x", "y"), "components")
+    discard(first, second)
     final = signed.select("doc_id", "row", "n").join(members.where("row <> rep_row").select("row", "rep"), "row", "left").withColumn("node", F.coalesce("rep", "doc_id"))
     one = final.join(groups, "node", "left")
     return one.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
-from .common import stored
+from .common import discard, stored
 
 ORDER = 5
 #: Entries of the model that one pass over the documents holds; a larger model is scored in more passes.
@@ -107,9 +107,10 @@ def train(counts: DataFrame) -> DataFrame:
     and interpolated with the next lower order, the lowest with an equal share for each character seen and one unseen. Each order
     is a join of counts with the totals of their contexts and with the lower order's probabilities, all keyed by n-gram.
     """
-    tables = {ORDER: counts}
+    tables, scratch = {ORDER: counts}, []
     for n in range(ORDER - 1, 0, -1):
         tables[n] = stored(tables[n + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c")), f"grams-{n}")
+        scratch.append(tables[n])
     model = lower = None
     for n in range(1, ORDER + 1):
         grams = tables[n].withColumn("context", F.substring("gram", 1, n - 1))
@@ -127,7 +128,10 @@ def train(counts: DataFrame) -> DataFrame:
             p = known.withColumn("suffix", F.expr("substring(gram, 2)")).join(under, ["lang", "suffix"]).select("lang", "gram", (F.col("own") + F.col("weight") * F.col("lower")).alias("p"))
             model = model.unionByName(contexts.select("lang", F.col("context").alias("gram"), F.lit(1).alias("kind"), F.log("weight").alias("value")))
         lower = stored(p, f"probabilities-{n}")
+        scratch += [discounts, contexts, lower]
         model = model.unionByName(lower.select("lang", "gram", F.lit(0).alias("kind"), F.log("p").alias("value")))
+    model = stored(model, "model")
+    discard(*scratch)
     return model
 
 
@@ -261,6 +265,7 @@ def with_perplexity(docs: DataFrame, model: DataFrame, lang: str = "lang", text:
         rows = rows.mapInArrow(_scored(sent, part, parts, lang, text), kinds)
         if part < parts - 1:
             rows = stored(rows, "scored")
+    discard(keyed)
     ppl = F.when((F.col("_chars") > 0) & ~F.isnan("_score"), F.exp(-F.col("_score") / F.col("_chars")))
     return rows.withColumn("ppl", ppl).drop("_chars", "_score")
 
@@ -281,8 +286,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: str
     # Without the hint small label tables would be broadcast and larger ones sorted with the texts.
     sample = docs.join(trusted.where(~held_out).hint("shuffle_hash"), key, "left_semi").select(F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.col(text).alias("_text"))
     counts = stored(sample.mapInArrow(_counted, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")), f"grams-{ORDER}")
-    scored = with_perplexity(docs, stored(train(counts), "model"), lang, text)
+    model = train(counts)
+    scored = with_perplexity(docs, model, lang, text)
     scored = stored(scored if carry else scored.drop(text), "scored")
+    discard(counts, model)
     name = F.coalesce(F.col(lang), F.lit("")).alias("_lang")
     limits = scored.select(key, name, "ppl").join(trusted.where(held_out), key, "left_semi").groupBy("_lang").agg((F.percentile_approx("ppl", QUANTILE, 10_000) * MARGIN).alias("threshold"))
     judged = scored.withColumn("_lang", name).join(stored(limits, "limits"), "_lang", "left").drop("_lang")

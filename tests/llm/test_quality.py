@@ -51,7 +51,7 @@ def test_perplexity(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, ppl string").drop("ppl")
     sample = docs.where("doc_id < 100").select(F.col("lang").alias("_lang"), F.col("text").alias("_text"))
     counts = sample.mapInArrow(quality._counted, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-    model = quality.stored(quality.train(counts), "model")
+    model = quality.train(quality.stored(counts, "grams"))
     p = plain_model(trusted, quality.ORDER)
     for entries in (quality.PASS_ENTRIES, 300):
         monkeypatch.setattr(quality, "PASS_ENTRIES", entries)
