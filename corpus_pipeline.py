@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from groundloom.llm import mixing, near_dedup, packing, quality
 from groundloom.llm.common import WORD, stored, table
 
+#: Common shingles of near-duplicates, in 100 of their joint ones.
+NEAR = 80
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the trusted ones among them, doesn't reject."""
@@ -22,8 +25,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest key of each group of near-duplicates."""
-    kept = near_dedup.near_documents(docs).where("kept AND doc_id IS NOT NULL").select("doc_id")
+    """The document with the smallest key of each group of near-duplicates: ``NEAR`` % of their shingles of five words in common."""
+    kept = near_dedup.near_documents(docs, enough=NEAR).where("kept AND doc_id IS NOT NULL").select("doc_id")
     unique = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return unique.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +14,8 @@ from .components import components
 from .shingles import mixed, shingle_set, word_hashes
 
 COORDINATES = 64
-#: Coordinates that a candidate pair has in common at least. A pair with 85 of 100 shingles in common has fewer with a probability of 1.6e-7.
-MATCHES = 38
+#: A pair with just enough shingles in common is missed with this probability at most.
+MISSED = 1.6e-7
 #: Documents of one posting list that are compared with each other as a block; longer lists are split into pairs of blocks.
 BLOCK = 512
 #: Rounds in which classes are left out that can't have enough shingles in common with any other that is left.
@@ -26,6 +28,17 @@ _FACTOR = _RNG.integers(0, 1 << 64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 64, COORDINATES, dtype=np.uint64)
 
 
+def matches(enough: int) -> int:
+    """Coordinates that a candidate pair has in common at least: as many as a pair with ``enough`` of 100 shingles in common reaches
+    but for a probability of ``MISSED``."""
+    share, fewer = enough / 100, 0.0
+    for k in range(COORDINATES):
+        fewer += math.comb(COORDINATES, k) * share**k * (1 - share) ** (COORDINATES - k)
+        if fewer > MISSED:
+            return max(1, k)
+    return COORDINATES
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The smallest value of each coordinate's hash over a set of shingles, in 32 bits."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
@@ -101,9 +114,11 @@ def _groups(batches):
 
 
 def _collisions(enough: int):
-    """Pairs of a list that share ``MATCHES`` coordinates, belong to different components, can have enough shingles in common, and
+    """Pairs of a list that share ``matches(enough)`` coordinates, belong to different components, can have enough shingles in common, and
     have no list with a smaller coordinate in common, so that a pair comes from one list only."""
 
+    least = matches(enough)
+
     def run(batches):
         kinds = pa.schema([("x", pa.int64()), ("y", pa.int64())])
         for table, edges in _groups(batches):
@@ -125,7 +140,7 @@ def _collisions(enough: int):
                     p, q = x[at : at + STEP_PAIRS], y[at : at + STEP_PAIRS]
                     same = sig[p] == sig[q]
                     bits = np.packbits(same, axis=1, bitorder="little").view(np.int64).ravel() & prefix[p] & prefix[q]
-                    ok = ((bits & -bits) == own_bit) & (same.sum(1) >= MATCHES)
+                    ok = ((bits & -bits) == own_bit) & (same.sum(1) >= least)
                     found.append((rep[p[ok]], rep[q[ok]]))
             if found:
                 x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
@@ -143,19 +158,20 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", eno
     values. Steps:
 
     1. Documents of equal shingle sets are one class, so copies cost a row each.
-    2. Classes are posted under every (coordinate, value). Values of one class are dropped; a class that has fewer than ``MATCHES``
-       others can reach no pair. In order of list length, all but the last ``MATCHES - 1`` values of a class are its prefix: two
-       classes with ``MATCHES`` values in common have a prefix value in common, so long lists are skipped for what they would add.
+    2. Classes are posted under every (coordinate, value). Values of one class are dropped; a class that has fewer than ``matches(enough)``
+       others can reach no pair. In order of list length, all but the last ``matches(enough) - 1`` values of a class are its prefix: two
+       classes with ``matches(enough)`` values in common have a prefix value in common, so long lists are skipped for what they would add.
     3. Every list names the member with the most values on lists its pivot; each class is compared with the pivot that it shares most
        lists with. Confirmed links make first components, so a group of near copies shrinks to one before any pairs are made.
     4. Lists that still hold several components count collisions among their members, in pairs of blocks of ``BLOCK`` members. A
-       pair is a candidate if it is of two components, has ``MATCHES`` values in common, and can have enough common shingles given
+       pair is a candidate if it is of two components, has ``matches(enough)`` values in common, and can have enough common shingles given
        how many of each one's shingles occur in any other component that is left (found in ``PRUNINGS`` rounds).
     5. Candidates are confirmed on whole shingle sets; links of both rounds make the components.
 
     Rows with a null key are linked with nothing and kept (their component is null). Rows that repeat a key are one node. An empty
     table gives no rows; other columns are ignored.
     """
+    least = matches(enough)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     signed = rows.mapInArrow(_signed, "doc_id long, n long, a long, b long, values array<int>").withColumn("row", F.monotonically_increasing_id())
     signed = stored(signed, "signed")
@@ -169,8 +185,8 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", eno
 
     posted = reps.select("rep", F.posexplode("values").alias("at", "value")).select("rep", F.expr("shiftleft(CAST(at AS LONG), 32) | (value & 4294967295L)").alias("post"))
     lists = stored(posted.groupBy("post").agg(F.count("*").alias("size")).where("size > 1"), "lists")
-    on_lists = posted.join(lists, "post").groupBy("rep").agg(F.collect_list(F.struct("size", "post")).alias("on")).where(F.size("on") >= MATCHES)
-    prefixes = stored(on_lists.select("rep", F.size("on").alias("held"), F.slice(F.sort_array("on"), F.lit(1), F.size("on") - (MATCHES - 1)).alias("prefix")), "prefixes")
+    on_lists = posted.join(lists, "post").groupBy("rep").agg(F.collect_list(F.struct("size", "post")).alias("on")).where(F.size("on") >= least)
+    prefixes = stored(on_lists.select("rep", F.size("on").alias("held"), F.slice(F.sort_array("on"), F.lit(1), F.size("on") - (least - 1)).alias("prefix")), "prefixes")
     listed = prefixes.select("rep", "held", F.explode("prefix.post").alias("post"))
 
     pivots = stored(listed.groupBy("post").agg(F.max(F.struct("held", F.negative("rep").alias("minus"))).alias("m")).select("post", F.negative("m.minus").alias("pivot")), "pivots")

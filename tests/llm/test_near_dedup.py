@@ -1,5 +1,6 @@
 """Near-duplicate documents against comparing all pairs."""
 
+import math
 import random
 import re
 
@@ -59,6 +60,15 @@ def test_groups(spark, monkeypatch):
     check(spark, data)
 
 
+def test_coordinates_follow_the_similarity():
+    """The probability of a miss at the limit itself stays below ``MISSED``, with as many coordinates as that allows."""
+    for enough in (50, 80, 85, 95):
+        share, least = enough / 100, near_dedup.matches(enough)
+        fewer = [sum(math.comb(64, k) * share**k * (1 - share) ** (64 - k) for k in range(n)) for n in (least, least + 1)]
+        assert fewer[0] <= near_dedup.MISSED < fewer[1]
+    assert (near_dedup.matches(80), near_dedup.matches(85)) == (33, 38)
+
+
 def test_one_key_of_two_texts(spark):
     words = [f"w{k}" for k in range(100)]
     other = [f"v{k}" for k in range(100)]

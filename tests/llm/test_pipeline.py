@@ -51,3 +51,15 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in pieces} == {r.doc_id for r in mixed.collect()}
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert whole.agg({"length": "sum"}).first()[0] == sum(r.length for r in pieces)
+
+
+def test_near_pairs_from_80(spark, tmp_path):
+    """Pairs with 80 to 84.99 % of their shingles in common leave one document, pairs just below 80 % both."""
+    rows, gone = [], set()
+    for k, (own, more) in enumerate([(400, 100), (400, 96), (400, 80), (400, 71), (80, 20), (1500, 370), (400, 101), (400, 110)]):
+        base = [f"w{k}x{j}" for j in range(own + 4)]
+        rows += [(10 * k, " ".join(base), "en", "s", 1), (10 * k + 1, " ".join(base + [f"v{k}x{j}" for j in range(more)]), "en", "s", 1)]
+        gone |= {10 * k + 1} if 100 * own >= 80 * (own + more) else set()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, str(tmp_path)).collect())
+    assert len(gone) == 6 and left == sorted({r[0] for r in rows} - gone)
