@@ -18,6 +18,9 @@ SHARD_VECTORS, LEAST_SHARDS, BLOCK_VECTORS = 1 << 18, 8, 1 << 14
 #: First beam; queries per block and shard whose links are also found by comparing with the whole shard; share of them to be found.
 BEAM, AUDIT, RECALL = 16, 256, 0.99
 
+#: Similarities that a slice of queries compares or finds at once, so that memory follows vectors and not pairs.
+CELLS = 1 << 22
+
 
 def _blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
@@ -34,50 +37,74 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _exact(queries: np.ndarray, vectors: np.ndarray, threshold: float):
     """All pairs (query, point) that reach the threshold, by comparing with the whole shard in slices."""
-    for at in range(0, len(queries), 256):
-        q, p = np.nonzero(queries[at : at + 256] @ vectors.T >= threshold)
+    step = max(1, CELLS // len(vectors))
+    for at in range(0, len(queries), step):
+        q, p = np.nonzero(queries[at : at + step] @ vectors.T >= threshold)
         yield q + at, p
 
 
-def _searched(graph: Graph, queries: np.ndarray, vectors: np.ndarray, threshold: float):
-    """Pairs (query, point) that reach the threshold. Beams are widened for all until the audit passes, and for single queries
-    whose beam holds nothing but links; beams as wide as a quarter of the shard give way to comparing with the whole shard."""
-    audit = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
-    truth = {(audit[q], p) for qs, ps in _exact(queries[audit], vectors, threshold) for q, p in zip(qs.tolist(), ps.tolist(), strict=True)}
-    beam, near = BEAM, threshold - 1e-4
-    while True:
-        pairs, todo, width = [], np.arange(len(queries)), beam
-        while len(todo) and width * 4 <= len(vectors):
-            ids, sims = graph.search(queries[todo], width)
+def _walked(graph: Graph, queries: np.ndarray, vectors: np.ndarray, threshold: float, beam: int):
+    """Verified pairs (query, point) in slices of up to about ``CELLS`` pairs. Beams are widened for single queries whose beam holds
+    nothing but links; beams as wide as a quarter of the shard give way to comparing with the whole shard."""
+    todo, width, near = np.arange(len(queries)), beam, threshold - 1e-4
+    while len(todo) and width * 4 <= len(vectors):
+        step, wider = max(1, CELLS // width), []
+        for at in range(0, len(todo), step):
+            own = todo[at : at + step]
+            ids, sims = graph.search(queries[own], width)
             full = sims[:, -1] >= near
             q, c = np.nonzero((sims >= near) & ~full[:, None])
-            pairs.append((todo[q], ids[q, c].astype(np.int64)))
-            todo, width = todo[full], width * 4
-        pairs += [(todo[q], p) for q, p in _exact(queries[todo], vectors, threshold)]
-        q, p = (np.concatenate([x[i] for x in pairs]) for i in (0, 1))
-        sure = np.concatenate([np.einsum("nd,nd->n", queries[q[at : at + 65536]], vectors[p[at : at + 65536]]) for at in range(0, len(q), 65536)] or [np.zeros(0)]) >= threshold
-        q, p = q[sure], p[sure]
-        if not truth or beam * 4 > len(vectors) or len(truth & set(zip(q.tolist(), p.tolist(), strict=True))) >= RECALL * len(truth):
-            return q, p
+            q, p = own[q], ids[q, c].astype(np.int64)
+            for i in range(0, len(q), 65536):
+                x, y = q[i : i + 65536], p[i : i + 65536]
+                sure = np.einsum("nd,nd->n", queries[x], vectors[y]) >= threshold
+                yield x[sure], y[sure]
+            wider.append(own[full])
+        todo, width = np.concatenate(wider), width * 4
+    for q, p in _exact(queries[todo], vectors, threshold):
+        yield todo[q], p
+
+
+def _slices(graph: Graph, queries: np.ndarray, vectors: np.ndarray, threshold: float):
+    """Slices of the pairs (query, point) that reach the threshold, with the first beam that passes the audit. The audit counts the
+    links of its queries only, as what is found is verified, so no pairs are held."""
+    audit = queries[np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)]
+
+    def counts(slices) -> np.ndarray:
+        return sum((np.bincount(q, minlength=len(audit)) for q, _ in slices), np.zeros(len(audit), np.int64))
+
+    truth, beam = counts(_exact(audit, vectors, threshold)), BEAM
+    while beam * 4 <= len(vectors) and np.minimum(counts(_walked(graph, audit, vectors, threshold, beam)), truth).sum() < RECALL * truth.sum():
         beam *= 2
+    yield from _walked(graph, queries, vectors, threshold, beam)
+
+
+def _searched(graph: Graph, queries: np.ndarray, vectors: np.ndarray, threshold: float):
+    """The pairs of all slices at once."""
+    parts = list(_slices(graph, queries, vectors, threshold))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in parts)]) for i in (0, 1))
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+class _Forest:
     """Edges among those given that connect what all of them connect."""
-    above: dict[int, int] = {}
 
-    def top(x: int) -> int:
+    def __init__(self):
+        self.above: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def _top(self, x: int) -> int:
+        above = self.above
         while (y := above.setdefault(x, x)) != x:
             above[x] = above[y]
             x = above[x]
         return x
 
-    kept = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if (i := top(x)) != (j := top(y)):
-            above[i] = j
-            kept.append((x, y))
-    return kept
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for at in range(0, len(a), 65536):
+            for x, y in zip(a[at : at + 65536].tolist(), b[at : at + 65536].tolist(), strict=True):
+                if (i := self._top(x)) != (j := self._top(y)):
+                    self.above[i] = j
+                    self.edges.append((x, y))
 
 
 def _search(threshold: float):
@@ -92,12 +119,13 @@ def _search(threshold: float):
         own = queries["rep"].to_numpy(np.int64)
         units = np.stack(queries["vec"].to_numpy()).astype(np.float64)
         units /= np.linalg.norm(units, axis=1)[:, None]
-        q, p = _searched(graph, units, vectors, threshold)
-        other = own[q] != reps[p]
-        q, p = q[other], p[other]
-        links = np.bincount(q, weights[p], len(own)).astype(np.int64)
-        some = np.flatnonzero(links)
-        edges = _forest(own[q], reps[p])
+        links, forest = np.zeros(len(own), np.int64), _Forest()
+        for q, p in _slices(graph, units, vectors, threshold):
+            other = own[q] != reps[p]
+            q, p = q[other], p[other]
+            links += np.bincount(q, weights[p], len(own)).astype(np.int64)
+            forest.add(own[q], reps[p])
+        some, edges = np.flatnonzero(links), forest.edges
         counts = pd.DataFrame({"rep": own[some], "links": links[some], "other": pd.array([None] * len(some), dtype="Int64")})
         return pd.concat([counts, pd.DataFrame({"rep": [e[0] for e in edges], "links": [0] * len(edges), "other": pd.array([e[1] for e in edges], dtype="Int64")})])
 

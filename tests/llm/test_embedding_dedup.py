@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 
 from groundloom.llm import embedding_dedup as ed
 from groundloom.llm.hnsw import Graph
@@ -70,3 +72,22 @@ def test_recall():
     assert (sims >= 0.95).sum() >= 0.99 * truth.sum()
     q, p = ed._searched(graph, queries, every[order], 0.95)
     assert len(q) >= 0.99 * truth.sum() and truth[q, p].all()
+
+
+def test_memory_of_a_large_group(monkeypatch):
+    """A group of near copies has all its pairs counted, but they are never held at once."""
+    monkeypatch.setattr(ed, "CELLS", 1 << 16, raising=False)
+    rng = np.random.default_rng(4)
+    n = 1200
+    vectors = rng.normal(size=16) + 0.01 * rng.normal(size=(n, 16))
+    queries = pd.DataFrame({"rep": np.arange(n), "vec": list(vectors)})
+    shard = ed._build(queries.assign(place=rng.permutation(n), n=1, shard=0))
+    tracemalloc.start()
+    got = ed._search(0.95)(queries, shard)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = got[got["other"].isna()]
+    assert sorted(counts["rep"]) == list(range(n)) and (counts["links"] == n - 1).all()
+    assert len(got) == 2 * n - 1
+    print(f"peak {peak / 1e6:.1f} MB")
+    assert peak < 50e6
