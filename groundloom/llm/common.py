@@ -46,3 +46,20 @@ def ascii_lower(text: Column) -> Column:
 def hex_digits(rows: int, per_bucket: int) -> int:
     """Leading hex digits of a hash that cut ``rows`` rows into buckets of about ``per_bucket``, 256 buckets at least."""
     return min(8, max(2, math.ceil(math.log(max(rows, 1) / per_bucket, 16)))) if rows > per_bucket else 2
+
+
+#: Keys with this share of all rows or more are hot: at most as many keys as the share's inverse can be.
+HOT_SHARE = 1 / 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Rows joined with a table that has one row per key and, in ``count``, at least the number of rows with that key.
+
+    Keys with ``HOT_SHARE`` of the sum of counts or more are broadcast, at most 1000 rows as their shares add up to one; rows with
+    any other key meet the table in a shuffle, where no key has more than that share. Keys must not be null.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(count) >= max(1, total * HOT_SHARE)))
+    cold = table.where(F.col(count) < max(1, total * HOT_SHARE))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return rows.join(hot, keys).unionByName(rest)

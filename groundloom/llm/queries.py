@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, licenses, mixing, near_dedup, packing, quality, rans, sharding, warc
+from . import block_names, embedding_dedup, fingerprints, licenses, mixing, near_dedup, negatives, packing, quality, rans, sharding, trie, warc
 from .common import WORD, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,56 @@ def op1_minhash_dedup(spark, sf_dir):
 def op7_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return quality.classify(docs, table(spark, sf_dir, "labels"), carry=False)
+
+
+@query("""
+WITH ints AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM ints a JOIN ints b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INT) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+""")
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    relabelled = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(relabelled, F.col("vec_id") % 50 == 0)
+
+
+@query("""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(t ORDER BY i) AS l FROM turns GROUP BY c),
+hashed AS (
+  SELECT c, l, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: [ascii(s)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                               lambda crc, x: xor(xor(crc, x) >> 1, (xor(crc, x) & 1) * 3988292384)), 4294967295::BIGINT) % 6 AS h
+  FROM own),
+rebuilt AS (SELECT a.c, coalesce(b.l, [])[1:a.h] || a.l[a.h + 1:] AS l FROM hashed a LEFT JOIN own b ON b.c = a.c - a.c % 100),
+paths AS (SELECT c, len(l) AS total, d, l[1:d] AS path, l[d] AS last FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * length(coalesce(any_value(last.text), '')) AS saved,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (total = d), '')) AS ends_sha256
+  FROM paths GROUP BY d, path),
+up AS (SELECT d, path, conv_id, unnest(range(0, d + 1)) AS a, saved, len(path) AS n FROM nodes),
+leaves AS (SELECT d, path FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes m WHERE m.d = n.d + 1 AND m.path[1:n.d] = n.path)),
+sums AS (SELECT a, path[1:a] AS path, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (d = a + 1) AS n_children, count(*) FILTER (EXISTS (SELECT 1 FROM leaves f WHERE f.d = up.d AND f.path = up.path)) AS n_leaves FROM up GROUP BY a, path[1:a])
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.a = n.d AND s.path = n.path LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]
+""")
+def op12_prefix_trie(spark, sf_dir):
+    conv = F.col("conv")
+    shared = F.pmod(F.crc32(conv.cast("string").cast("binary")), F.lit(6))
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), conv - conv % 100, shared, 5)
+
+
+@query("""
+WITH normal AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+named AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, sha256(t) AS text_sha256 FROM normal)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM named
+""")
+def op13_exact_dedup(spark, sf_dir):
+    return block_names.exact_duplicates(table(spark, sf_dir, "documents"))
