@@ -52,13 +52,14 @@ def hex_digits(rows: int, per_bucket: int) -> int:
 HOT_SHARE = 1 / 1000
 
 
-def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
     """Rows joined with a table that has one row per key and, in ``count``, at least the number of rows with that key.
 
     Keys with ``HOT_SHARE`` of the sum of counts or more are broadcast, at most 1000 rows as their shares add up to one; rows with
-    any other key meet the table in a shuffle, where no key has more than that share. Keys must not be null.
+    any other key meet the table in a shuffle, where no key has more than that share. ``total`` is that sum where it is known. Keys
+    must not be null.
     """
-    total = table.agg(F.sum(count)).first()[0] or 0
+    total = (table.agg(F.sum(count)).first()[0] or 0) if total is None else total
     hot = F.broadcast(table.where(F.col(count) >= max(1, total * HOT_SHARE)))
     cold = table.where(F.col(count) < max(1, total * HOT_SHARE))
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)

@@ -89,10 +89,10 @@ def _counted(batches):
 def _discounts(grams: DataFrame) -> DataFrame:
     """``(lang, d1, d2, d3)``: the discounts of counts 1, 2, and 3 and more, from the numbers of n-grams counted 1 to 4 times."""
     ones = grams.groupBy("lang").agg(*(F.sum((F.col("c") == k).cast("long")).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)))
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
 
     def one(k: int) -> Column:
-        exact = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
+        exact = k - (k + 1) * y * F.try_divide(f"n{k + 1}", f"n{k}")
         return F.when((F.col("n1") > 0) & (F.col(f"n{k}") > 0) & (exact > 0), F.least(exact, F.lit(float(k)))).otherwise(0.5).alias(f"d{k}")
 
     return ones.select("lang", *map(one, (1, 2, 3)))
@@ -278,20 +278,27 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: str
     document is scored by its language's model. A language's threshold is the ``QUANTILE`` quantile of the perplexities of its
     held-out documents times ``MARGIN``; documents above it are rejected, and so are documents without text. Where a language has
     no held-out document, there is no evidence against its documents and they are kept. Labels may be null or repeat; rows that
-    repeat a key are judged one by one; an empty table gives no rows. Columns of the input named like a result column are replaced.
+    repeat a key are judged one by one; an empty table gives no rows. Columns of the input named like a result column are replaced;
+    any other name may occur.
     """
-    docs = docs.drop("ppl", "threshold", "keep")
-    trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias(key)).distinct()
-    held_out = F.pmod(F.xxhash64(key), F.lit(HELD_OUT)) == 0
+    names = [c for c in docs.columns if c not in ("ppl", "threshold", "keep") and (carry or c != text)]
+    others = [c for c in names if c not in (key, lang, text)]
+    own = [F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")]
+    # Other columns travel in one of their own, so none of them clashes with those made here.
+    rest = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest")] if others else []
+    rows = docs.select(*own, (F.coalesce(F.octet_length(text), F.lit(0)) > 0).alias("some"), *rest)
+    trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("key")).distinct()
+    held_out = F.pmod(F.xxhash64("key"), F.lit(HELD_OUT)) == 0
     # Without the hint small label tables would be broadcast and larger ones sorted with the texts.
-    sample = docs.join(trusted.where(~held_out).hint("shuffle_hash"), key, "left_semi").select(F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.col(text).alias("_text"))
+    sample = rows.join(trusted.where(~held_out).hint("shuffle_hash"), "key", "left_semi").select(F.coalesce("lang", F.lit("")).alias("_lang"), F.col("text").alias("_text"))
     counts = stored(sample.mapInArrow(_counted, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")), f"grams-{ORDER}")
     model = train(counts)
-    scored = with_perplexity(docs, model, lang, text)
-    scored = stored(scored if carry else scored.drop(text), "scored")
+    scored = with_perplexity(rows, model)
+    scored = stored(scored if carry else scored.drop("text"), "scored")
     discard(counts, model)
-    name = F.coalesce(F.col(lang), F.lit("")).alias("_lang")
-    limits = scored.select(key, name, "ppl").join(trusted.where(held_out), key, "left_semi").groupBy("_lang").agg((F.percentile_approx("ppl", QUANTILE, 10_000) * MARGIN).alias("threshold"))
-    judged = scored.withColumn("_lang", name).join(stored(limits, "limits"), "_lang", "left").drop("_lang")
-    empty = F.length(F.coalesce(F.col(text), F.lit(""))) == 0 if carry else F.col("ppl").isNull() & F.col("threshold").isNotNull()
-    return judged.withColumn("keep", ~empty & F.coalesce(F.col("ppl") <= F.col("threshold"), F.lit(True)))
+    name = F.coalesce("lang", F.lit("")).alias("name")
+    limits = scored.select("key", name, "ppl").join(trusted.where(held_out), "key", "left_semi").groupBy("name").agg((F.percentile_approx("ppl", QUANTILE, 10_000) * MARGIN).alias("threshold"))
+    judged = scored.withColumn("name", name).join(stored(limits, "limits"), "name", "left")
+    keep = F.col("some") & F.coalesce(F.col("ppl") <= F.col("threshold"), F.lit(True))
+    place = {key: F.col("key"), lang: F.col("lang"), text: F.col("text")}
+    return judged.select(*(place[c].alias(c) if c in place else F.col(f"rest.`{c}`").alias(c) for c in names), "ppl", "threshold", keep.alias("keep"))

@@ -53,6 +53,22 @@ def test_stages(spark, tmp_path):
     assert whole.agg({"length": "sum"}).first()[0] == sum(r.length for r in pieces)
 
 
+def test_clashing_columns_pass_through(spark, tmp_path):
+    """Columns named like anything that a stage makes come out as they went in."""
+    names = ["target", "source_size", "copies", "taken", "size", "row", "rest", "keep", "ppl", "threshold", "_score", "_chars", "_lang", "_row", "place", "component_id", "kept", "key"]
+    rng = random.Random(2)
+    rows = [(k, words(rng, 40), "en", "ab"[k % 2], 1, *(f"{c} {k}" for c in names)) for k in range(30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    docs = spark.createDataFrame(rows, schema).repartition(2)
+    spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        left = out.collect()
+        assert left and all(r[c] == f"{c} {r.doc_id}" for r in left for c in names)
+    assert corpus_pipeline.packed(spark, docs, str(tmp_path)).agg({"doc_id": "max"}).first()[0] == 29
+
+
 def test_near_pairs_from_80(spark, tmp_path):
     """Pairs with 80 to 84.99 % of their shingles in common leave one document, pairs just below 80 % both."""
     rows, gone = [], set()

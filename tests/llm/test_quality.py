@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from groundloom.llm import quality
@@ -92,3 +93,36 @@ def test_odd_rows(spark):
     assert len(got) == 6 and all(r.keep for r in got if r.text and r.lang != "en")
     assert quality.classify(spark.createDataFrame([], schema), labels).count() == 0
     assert quality.classify(spark.createDataFrame(rows, schema), labels.limit(0), carry=False).count() == 6
+
+
+@pytest.mark.parametrize("carry", [True, False])
+def test_texts_without_characters_go(spark, carry):
+    """Also where their language has no threshold, and whether the text is carried or not."""
+    rows = [(1, "en", "some text"), (2, "en", None), (3, "en", ""), (4, None, ""), (5, "xx", None), (6, "xx", "text")]
+    names = ["_score", "_chars", "_lang", "_text", "name", "rest", "some", "threshold"]
+    schema = "doc_id long, lang string, text string, " + ", ".join(f"{c} string" for c in names)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = quality.classify(spark.createDataFrame([(*r, *names) for r in rows], schema), labels, carry=carry)
+    assert out.columns == ["doc_id", "lang", *(["text"] if carry else []), *names[:-1], "ppl", "threshold", "keep"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert {k: r.keep for k, r in got.items()} == {1: True, 2: False, 3: False, 4: False, 5: False, 6: True}
+    assert all(r[c] == c for r in got.values() for c in names[:-1])
+
+
+def test_threshold_and_keep(spark):
+    """Thresholds are the quantile of the held-out trusted documents of each language, and decide alone."""
+    rng = random.Random(4)
+    words = {"en": ["stone", "river", "light"], "de": ["Stein", "Fluss", "Licht"]}
+    docs = [(k, lang, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(3, 30)))) for k in range(300) for lang in [rng.choice(["en", "de"])]]
+    docs += [(1000 + k, "en", "".join(chr(rng.randrange(33, 126)) for _ in range(80))) for k in range(20)]
+    labels = [(k, 1, 0) for k in range(200)] + [(k, 0, 0) for k in range(1000, 1005)] + [(k, 1, 1) for k in range(200, 220)]
+    frame = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in quality.classify(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), carry=False).collect()}
+    held_out = {r.doc_id for r in frame.where(F.pmod(F.xxhash64("doc_id"), F.lit(quality.HELD_OUT)) == 0).collect() if r.doc_id < 200}
+    for lang in words:
+        ppl = sorted(got[k].ppl for k, l, _ in docs if l == lang and k in held_out)
+        limit = ppl[math.ceil(quality.QUANTILE * len(ppl)) - 1] * quality.MARGIN
+        for k, l, _ in docs:
+            if l == lang:
+                assert abs(got[k].threshold / limit - 1) < 1e-9 and got[k].keep == (got[k].ppl <= limit)
+    assert not any(got[1000 + k].keep for k in range(20))
