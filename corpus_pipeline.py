@@ -20,8 +20,11 @@ NEAR = 80
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the trusted ones among them, doesn't reject."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("keep").select(docs.columns)
+    """Documents that the classifier, trained on the trusted ones among them, doesn't reject; their other columns pass as they are."""
+    others = [c for c in docs.columns if c not in ("doc_id", "lang", "text")]
+    nested = docs.select("doc_id", "lang", "text", *([F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest")] if others else []))
+    kept = quality.classify(nested, table(spark, sf_dir, "labels")).where("keep")
+    return kept.select(*(F.col(f"rest.`{c}`").alias(c) if c in others else c for c in docs.columns))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +36,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of all sources by target weights, a document taken twice or three times as two or three rows."""
-    sized = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
-    return mixing.repeat(mixing.mix(sized, size="_words")).select(docs.columns)
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", words.alias("size"))
+    return mixing.repeat(mixing.mix(sized)).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
