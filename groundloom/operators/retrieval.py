@@ -6,19 +6,17 @@ sub-queries of a question from 0.
 
 from __future__ import annotations
 
-import os
-from dataclasses import dataclass
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import explode_once, lex_tokens, let, snippet
-from ..session import materialize
+from ..functions.text import let, snippet
+from ..session import materialize, shared_dir
+from .lexical import QUERY_KEYS, LexicalIndex, LexicalStore, bm25_topk, top_ranks
 
-QUERY_KEYS = ["query_id", "sub_id"]
+__all__ = ["LexicalIndex", "LexicalStore", "bm25_topk", "top_ranks"]
 
 # Sources in the order in which their hits first appear.
 SOURCES = ["vec", "bm25"]
@@ -32,107 +30,13 @@ def index_text(embedding_text: Column, text: Column) -> Column:
     return F.coalesce(F.nullif(embedding_text, F.lit("")), text)
 
 
-def term_counts(tokens: Column) -> Column:
-    """Array of (term, tf) of a token array, inside the row.
-
-    Sorted tokens put equal terms side by side; a back-reference then cuts one run per term, so counting
-    needs neither an explode nor a shuffle.
-    """
-    runs = F.regexp_extract_all(
-        F.concat(F.lit(" "), F.array_join(F.sort_array(tokens), " ")), F.lit(r" ([a-z0-9_]+)(?: \1(?![a-z0-9_]))*+"), F.lit(0)
-    )
-
-    def entry(run: Column) -> Column:
-        tf = F.length(run) - F.length(F.replace(run, F.lit(" ")))
-        return F.struct(F.substring_index(run, " ", -1).alias("term"), tf.cast("bigint").alias("tf"))
-
-    return F.transform(runs, entry)
-
-
-@dataclass(frozen=True)
-class LexicalIndex:
-    """Okapi statistics: one posting row per chunk, one row per term, and corpus totals."""
-
-    postings: DataFrame  # chunk_id, doc_len, entries array<struct<term, tf>>
-    terms: DataFrame  # term, df, idf
-    corpus: DataFrame  # n_docs, avgdl
-
-    def save(self, path: str) -> None:
-        for name in ("postings", "terms", "corpus"):
-            getattr(self, name).write.mode("overwrite").parquet(os.path.join(path, name))
-
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> LexicalIndex:
-        return LexicalIndex(*[spark.read.parquet(os.path.join(path, n)) for n in ("postings", "terms", "corpus")])
-
-
-def lexical_postings(chunks: DataFrame) -> DataFrame:
-    """Per chunk its length and term counts; a narrow transform of ``(chunk_id, text)``."""
-    tokens = chunks.select("chunk_id", lex_tokens(F.col("text")).alias("tokens"))
-    return tokens.select("chunk_id", F.size("tokens").cast("bigint").alias("doc_len"), term_counts(F.col("tokens")).alias("entries"))
-
-
 def bm25_index(chunks: DataFrame, epsilon: float = 0.25, store: str | None = None) -> LexicalIndex:
-    """Okapi index of ``(chunk_id, text)``.
+    """Okapi index of ``(chunk_id, text)``, stored by term in ``store`` (by default a fresh path of the shared folder).
 
-    Negative idf values are floored at ``epsilon`` times the mean idf of all terms. Document frequencies
-    are combined map-side, so frequent terms cost one row per task. With ``store`` the postings and terms
-    are written there and read back, and texts are tokenised once however often the index is used.
-    """
-    spark = chunks.sparkSession
-    postings = lexical_postings(chunks)
-    if store:
-        postings.write.mode("overwrite").parquet(os.path.join(store, "postings"))
-        postings = spark.read.parquet(os.path.join(store, "postings"))
-    corpus = postings.agg(F.count("*").alias("n_docs"), (F.sum("doc_len") / F.count("*")).alias("avgdl"))
-    n_docs = corpus.select("n_docs").scalar()
-    df = explode_once(postings, F.col("entries.term"), "term").groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw_idf", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean_idf = raw.agg(F.avg("raw_idf")).scalar()
-    idf = F.when(F.col("raw_idf") < 0, F.lit(epsilon) * mean_idf).otherwise(F.col("raw_idf"))
-    terms = raw.select("term", "df", idf.alias("idf"))
-    if store:
-        terms.write.mode("overwrite").parquet(os.path.join(store, "terms"))
-        terms = spark.read.parquet(os.path.join(store, "terms"))
-    return LexicalIndex(postings, terms, corpus)
-
-
-def top_ranks(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Best ``k`` per key with 1-based ``rank``, ties by chunk id.
-
-    The rank limit is applied inside each partition before the shuffle, so a query that matches most of
-    the corpus still ships only ``k`` rows per task.
+    Negative idf values are floored at ``epsilon`` times the mean idf of all terms. :class:`LexicalStore` opens the same folder to
+    change documents and to read its newest state.
     """
-    w = W.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def bm25_topk(queries: DataFrame, index: LexicalIndex, k: int = 50, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Okapi top-``k`` of ``(query_id, sub_id, q)``; repeated query tokens count again.
-
-    Only chunks that match are ranked; see :func:`pad_zero` for full lists. Postings are partitioned by
-    chunk first, so a chunk's matches meet in the task that holds it. The weighed query terms are written
-    before the join: Spark knows their size, sends them to the postings while they are below its broadcast
-    threshold, and joins by term, splitting skewed ones, where they are not.
-    """
-    avgdl = index.corpus.select("avgdl").scalar()
-    counted = (
-        queries.select(*QUERY_KEYS, F.explode(lex_tokens(F.col("q"))).alias("term"))
-        .groupBy(*QUERY_KEYS, "term")
-        .agg(F.count("*").alias("qtf"))
-    )
-    weights = index.terms.select("term", "idf").join(materialize(counted, "query-terms"), "term")
-    q_terms = materialize(weights.select("term", *QUERY_KEYS, (F.col("qtf") * F.col("idf")).alias("weight")), "query-weights")
-    normed = index.postings.repartition("chunk_id").withColumn("norm", k1 * (1 - b + b * F.col("doc_len") / avgdl))
-    postings = explode_once(normed, F.col("entries"), "e", keep=["chunk_id", "norm"])
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.col("norm"))
-    scored = (
-        postings.select("chunk_id", "norm", "e.term", "e.tf")
-        .join(q_terms, "term")
-        .groupBy("chunk_id", *QUERY_KEYS)
-        .agg(F.round(F.sum(part), 9).alias("score"))
-    )
-    return top_ranks(scored, QUERY_KEYS, k).select(*QUERY_KEYS, F.lit("bm25").alias("source"), "chunk_id", "rank", "score")
+    return LexicalStore(chunks.sparkSession, store or shared_dir(chunks.sparkSession, "lexical"), epsilon).add(chunks).index()
 
 
 def pad_zero(ranks: DataFrame, queries: DataFrame, chunk_ids: DataFrame, k: int = 50) -> DataFrame:

@@ -47,9 +47,20 @@ def corpus(spark, sf):
     )
 
 
-def lexical(spark, sf, store: bool = True):
-    chunks = corpus(spark, sf).select("chunk_id", "text")
-    return R.bm25_index(chunks, store=shared_dir(spark, "lexical") if store else None)
+#: Stores of this process by application, table and its files.
+_STORES: dict[tuple, str] = {}
+
+
+def lexical(spark, sf):
+    """The index of all documents, built once per session for the table's files as they are and read by every question after that."""
+    meta = F.col("_metadata")
+    files = table(spark, sf, "documents").select(meta["file_path"].alias("p"), meta["file_size"].alias("s"), meta["file_modification_time"].cast("string").alias("m")).distinct()
+    key = (spark.sparkContext.applicationId, *sorted(map(tuple, files.collect())))
+    if key not in _STORES or not R.LexicalStore(spark, _STORES[key]).state()["segments"]:
+        path = shared_dir(spark, "lexical")
+        R.bm25_index(corpus(spark, sf).select("chunk_id", "text"), store=path)
+        _STORES[key] = path
+    return R.LexicalStore(spark, _STORES[key]).index()
 
 
 def vectors(spark, sf):
@@ -61,14 +72,14 @@ def query_vectors(spark, sf):
     return subs.join(vectors(spark, sf).withColumnRenamed("chunk_id", "query_id"), "query_id")
 
 
-def rank_lists(spark, sf, store: bool = True):
+def rank_lists(spark, sf):
     by_vector = R.vector_topk(query_vectors(spark, sf), vectors(spark, sf))
-    by_terms = R.bm25_topk(view(spark, sf, "v_query"), lexical(spark, sf, store))
+    by_terms = R.bm25_topk(view(spark, sf, "v_query"), lexical(spark, sf))
     return by_vector.unionByName(by_terms)
 
 
-def pool(spark, sf, store: bool = True):
-    return R.hybrid_pool(rank_lists(spark, sf, store))
+def pool(spark, sf):
+    return R.hybrid_pool(rank_lists(spark, sf))
 
 
 def big(*names):
@@ -113,7 +124,8 @@ def vector_topk(spark, sf):
 
 @query(oracle("", "SELECT term, df, round(idf, 6) AS idf FROM idf", BM25))
 def bm25_index(spark, sf):
-    return lexical(spark, sf, store=False).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    """Built anew: the time of a whole index."""
+    return R.bm25_index(corpus(spark, sf).select("chunk_id", "text")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(oracle("v_query", "SELECT query_id, sub_id, chunk_id, rank, round(score, 6) AS score FROM br", BM25 + ",\n" + TOPK))

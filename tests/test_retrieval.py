@@ -1,6 +1,12 @@
+import math
+import random
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from groundloom.operators import lexical
 from groundloom.operators import questions as N
 from groundloom.operators import retrieval as R
 
@@ -47,12 +53,86 @@ def test_bm25_broadcast_and_shuffled_agree(spark):
     assert one == two and {r[0] for r in one} == {1, 2}
 
 
-def test_stored_index_gives_the_same_ranks(spark, tmp_path):
-    plain = R.bm25_index(corpus(spark))
-    plain.save(str(tmp_path / "saved"))
-    want = {tuple(r) for r in R.bm25_topk(queries(spark), plain).collect()}
-    for index in (R.LexicalIndex.load(spark, str(tmp_path / "saved")), R.bm25_index(corpus(spark), store=str(tmp_path / "built"))):
-        assert {tuple(r) for r in R.bm25_topk(queries(spark), index).collect()} == want
+def plain_bm25(texts, asked, k, k1=1.5, b=0.75, epsilon=0.25):
+    """Scores of a whole corpus by loops over dictionaries."""
+    tokens = {c: re.findall("[a-z0-9_]+", t.lower()) for c, t in texts.items()}
+    n, avgdl = len(tokens), sum(map(len, tokens.values())) / len(tokens)
+    df = Counter(t for ts in tokens.values() for t in set(ts))
+    raw = {t: math.log(n - d + 0.5) - math.log(d + 0.5) for t, d in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    out = set()
+    for key, q in asked.items():
+        scored = []
+        for c, ts in tokens.items():
+            tf, words = Counter(ts), re.findall("[a-z0-9_]+", q.lower())
+            if any(w in tf for w in words):
+                total = sum((raw[w] if raw[w] >= 0 else epsilon * mean) * tf[w] * (k1 + 1) / (tf[w] + k1 * (1 - b + b * len(ts) / avgdl)) for w in words if w in tf)
+                scored.append((-round(total, 9), c))
+        out |= {(key, 0, c, rank) for rank, (_, c) in enumerate(sorted(scored)[:k], 1)}
+    return out
+
+
+def zipf(rng, n, width=400):
+    words = [f"w{j}" for j in range(width)]
+    weights = [1 / (j + 1) for j in range(width)]
+    return {c: " ".join(rng.choices(words, weights, k=rng.randrange(0, 60))) for c in range(n)}
+
+
+def ranks_of(spark, store, asked, k):
+    q = spark.createDataFrame([(key, 0, text) for key, text in asked.items()], "query_id long, sub_id int, q string")
+    return {(r.query_id, r.sub_id, r.chunk_id, r["rank"]) for r in R.bm25_topk(q, store.index(), k=k).collect()}
+
+
+def test_bounds_change_no_rank(spark, tmp_path, monkeypatch):
+    """Lists shorter than the corpus, with common and rare terms, ties, and terms in most chunks."""
+    monkeypatch.setattr(lexical, "CELL", 16)
+    rng = random.Random(5)
+    texts = zipf(rng, 600) | {1000 + c: "same words here w0" for c in range(30)}
+    asked = {k: " ".join(rng.choices([f"w{j}" for j in range(60)] + ["same", "here", "absent"], k=rng.randrange(1, 12))) for k in range(40)}
+    store = R.LexicalStore(spark, str(tmp_path / "store")).add(spark.createDataFrame(list(texts.items()), "chunk_id long, text string").repartition(3))
+    for k in (1, 7, 50):
+        assert ranks_of(spark, store, asked, k) == plain_bm25(texts, asked, k)
+
+
+def test_negative_weights(spark, tmp_path):
+    """In a corpus where most terms are in most chunks the floor of the weights is itself negative."""
+    texts = {c: "a b c" + (" d" if c % 2 else "") + (" rare" if c == 3 else "") for c in range(12)}
+    store = R.LexicalStore(spark, str(tmp_path / "store")).add(spark.createDataFrame(list(texts.items()), "chunk_id long, text string"))
+    asked = {1: "a b", 2: "a d rare", 3: "c"}
+    for k in (2, 20):
+        assert ranks_of(spark, store, asked, k) == plain_bm25(texts, asked, k)
+
+
+def test_changes_equal_a_rebuild(spark, tmp_path):
+    """Segments, retired chunks and merges give the ranks of an index built from what is left."""
+    rng = random.Random(6)
+    texts, store = {}, R.LexicalStore(spark, str(tmp_path / "store"))
+    asked = {k: " ".join(rng.choices([f"w{j}" for j in range(80)], k=6)) for k in range(12)}
+    for step in range(7):
+        changed = {step * 100 + c: " ".join(t.split()) for c, t in zipf(rng, 40).items()} | {c: "new " + texts[c] for c in rng.sample(sorted(texts), len(texts) // 9)}
+        gone = set(rng.sample(sorted(texts), len(texts) // 11))
+        texts = {c: t for c, t in (texts | changed).items() if c not in gone}
+        new = spark.createDataFrame([(c, c, t) for c, t in changed.items() if c not in gone], "chunk_id long, doc_id long, text string")
+        store.replace(new, spark.createDataFrame([(c,) for c in set(changed) | gone], "doc_id long"))
+        if step in (3, 6):
+            before = store.index()
+            store.merge(fan=2)
+            assert len(store.state()["segments"]) < 4
+            assert before.terms.count() == store.index().terms.count()
+        assert ranks_of(spark, store, asked, 9) == plain_bm25(texts, asked, 9)
+    assert store.state()["n_docs"] == len(texts)
+
+
+def test_no_exchange_carries_postings(spark, tmp_path):
+    store = R.LexicalStore(spark, str(tmp_path / "store")).add(corpus(spark))
+    asked = spark.createDataFrame([(1, 0, "cat")], "query_id long, sub_id int, q string")
+    index = store.index()
+    assert {r.bucket for r in index.terms.select("bucket").collect()} != {index.terms.where("term = 'cat'").first()["bucket"]}
+    plan = R.bm25_topk(asked, index)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    # Blocks move once, for the cell that is scored, and only those that met the asked terms before.
+    moves = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "hashpartitioning(group" not in line]
+    assert plan.count("Exchange hashpartitioning(group") and not any("term" in line and "docs" in line for line in moves)
 
 
 def test_pad_zero_fills_lists(spark):
