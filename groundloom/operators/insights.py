@@ -2,7 +2,7 @@
 
 The vault is a flat frame, one row per answer: ``batch_id, batch_name, batch_active, batch_pos, insight_id,
 pos, question, is_multi, insight_active, answer_id, label, alias``. Only the answers of one insight are ever
-gathered into an array.
+gathered into an array. A batch may have a ``language``.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
+# Fixed value: label of the write-in option.
+OTHER_LABEL = "Other (write-in)"
 TAKE_AT = 0.75
 ASK_AT = 0.60
 BATCH = ["batch_id", "batch_name", "batch_pos"]
@@ -27,11 +29,12 @@ def flatten_batches(batches: DataFrame) -> DataFrame:
         F.col("name").alias("batch_name"),
         F.col("isActive").alias("batch_active"),
         F.col("position").alias("batch_pos"),
+        (F.col("language") if "language" in batches.columns else F.lit(None).cast("string")).alias("language"),
         F.posexplode("insights").alias("pos", "i"),
     )
     answers = ins.select("*", F.explode("i.answers").alias("answer_id", "a"))
     return answers.select(
-        "batch_id", "batch_name", "batch_active", "batch_pos",
+        "batch_id", "batch_name", "batch_active", "batch_pos", "language",
         F.col("i.insightId").alias("insight_id"), "pos", F.col("i.question").alias("question"),
         F.col("i.isMultiSelect").alias("is_multi"), F.col("i.isActive").alias("insight_active"),
         "answer_id", F.col("a.text").alias("label"), F.explode_outer("a.aliases").alias("alias"),
@@ -70,26 +73,30 @@ def insight_index(vault: DataFrame) -> DataFrame:
     """
     if "answers" in vault.columns:
         return vault
-    per_answer = active_answers(vault).groupBy(*BATCH, *INSIGHT, "answer_id").agg(
+    language = [c for c in ("language",) if c in vault.columns]
+    per_answer = active_answers(vault).groupBy(*BATCH, *language, *INSIGHT, "answer_id").agg(
         F.first("label").alias("label"), F.array_sort(F.collect_set("alias")).alias("aliases")
     )
-    return per_answer.groupBy(*BATCH, *INSIGHT).agg(
+    return per_answer.groupBy(*BATCH, *language, *INSIGHT).agg(
         F.array_sort(F.collect_list(F.struct("answer_id", "label", "aliases"))).alias("answers")
     )
 
 
-def vault_pack(vault: DataFrame) -> DataFrame:
-    """The vault for a prompt: one JSON row per batch and one per insight, in stored order.
+def vault_pack(vault: DataFrame, version: str | None = None) -> DataFrame:
+    """The vault for a prompt: one JSON row for its version, one per batch and one per insight, in stored order.
 
-    The pieces stay rows, so the pack may be larger than one record; a consumer concatenates them.
+    A batch without a language has no such field. The pieces stay rows, so the pack may be larger than one record; a consumer
+    concatenates them.
     """
     index = insight_index(vault)
-    batches = active_batches(vault).select(
-        F.lit("batches").alias("part"),
-        "batch_pos",
-        F.lit(-1).cast("bigint").alias("pos"),
-        F.to_json(F.struct(F.col("batch_id").alias("batchId"), F.col("batch_name").alias("name"))).alias("json"),
-    )
+    fields = [F.col("batch_id").alias("batchId"), F.col("batch_name").alias("name")]
+    kept = [*BATCH]
+    if "language" in vault.columns:
+        fields.append(F.nullif("language", F.lit("")).alias("language"))
+        kept.append("language")
+    none = F.lit(-1).cast("bigint")
+    batches = vault.filter("batch_active").select(*kept).distinct()
+    batches = batches.select(F.lit("batches").alias("part"), "batch_pos", none.alias("pos"), F.to_json(F.struct(*fields)).alias("json"))
     answers = F.map_from_entries(
         F.transform("answers", lambda a: F.struct(a.answer_id, F.struct(a.label.alias("text"), a.aliases.alias("aliases"))))
     )
@@ -108,7 +115,11 @@ def vault_pack(vault: DataFrame) -> DataFrame:
             )
         ).alias("json"),
     )
-    return batches.union(insights)
+    pack = batches.union(insights)
+    if version is None:
+        return pack
+    head = vault.sparkSession.range(1).select(F.lit("vault"), none, none, F.to_json(F.struct(F.lit(version).alias("vaultVersion"))))
+    return pack.union(head)
 
 
 def validate_insight_answer(claims: DataFrame, vault: DataFrame) -> DataFrame:
@@ -250,14 +261,20 @@ def fold_insight_state(applied: DataFrame, surveys: DataFrame | None = None) ->
     """One row per (chat, insight): the last write that counted.
 
     ``surveys``: chat_id, insight_id, batch_id, seq, event_id, ts, answer_id, answer_ids. The fold is a maximum
-    over write order, combined map-side, so a chat with very many events is no hot spot.
+    over write order, combined map-side, so a chat with very many events is no hot spot. Decisions and surveys may carry the
+    ``evidence`` and the ``vault_version`` that they rest on; the row has those of its last write.
     """
+
+    def meta(rows: DataFrame) -> list[Column]:
+        kinds = (("evidence", "array<string>"), ("vault_version", "string"))
+        return [F.col(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds]
+
     rows = applied.filter(F.col("status").isin("take", "question_only"))
     writes = rows.select(
         *STATE_KEY, "batch_id", F.col("pass_id").cast("double").alias("seq"), "event_id", "ts",
         F.when(F.col("status") == "take", True).alias("taken"), "answer_id", "answer_ids",
         F.when(F.col("status") == "question_only", "question_only").alias("pending_reason"),
-        F.lit("auto-inference").alias("source"), "mode", "confidence",
+        F.lit("auto-inference").alias("source"), "mode", "confidence", *meta(rows),
     )
     if surveys is not None:
         none = F.lit(None).cast("string")
@@ -265,16 +282,16 @@ def fold_insight_state(applied: DataFrame, surveys: DataFrame | None = None) ->
             surveys.select(
                 *STATE_KEY, "batch_id", F.col("seq").cast("double"), "event_id", "ts", F.lit(True).alias("taken"),
                 "answer_id", "answer_ids", none.alias("pending_reason"), F.lit("survey").alias("source"),
-                none.alias("mode"), F.lit(1.0).alias("confidence"),
+                none.alias("mode"), F.lit(1.0).alias("confidence"), *meta(surveys),
             )
         )
-    write = F.struct("seq", "event_id", "ts", "batch_id", "taken", "answer_id", "answer_ids", "pending_reason", "source", "mode", "confidence")
+    write = F.struct("seq", "event_id", "ts", "batch_id", "taken", "answer_id", "answer_ids", "pending_reason", "source", "mode", "confidence", "evidence", "vault_version")
     folded = writes.groupBy(*STATE_KEY).agg(
         F.max(write).alias("w"), F.min(F.struct("seq", "event_id", "ts")).alias("first")
     )
     return folded.select(
         *STATE_KEY, "w.batch_id", "w.taken", "w.answer_id", "w.answer_ids", "w.pending_reason", "w.source", "w.mode",
-        "w.confidence", F.col("first.ts").alias("created_at"), F.col("w.ts").alias("updated_at"),
+        "w.confidence", "w.evidence", "w.vault_version", F.col("first.ts").alias("created_at"), F.col("w.ts").alias("updated_at"),
     )
 
 
@@ -318,11 +335,13 @@ def build_surveys(state: DataFrame, touched: DataFrame, vault: DataFrame) -> Dat
     """Follow-up questions per touched batch, one row per question in asking order.
 
     Question-only items come first, then by confidence; ties keep vault order. The options of one question
-    are a JSON list.
+    are a JSON list; a write-in may always be given instead. A batch without a language is asked in English.
     """
     options = F.to_json(F.transform("answers", lambda a: F.struct(a.answer_id.alias("answerId"), a.label.alias("label"))))
-    defs = insight_index(vault).select(
-        "batch_id", "insight_id", "pos", F.concat("batch_name", F.lit(" (Follow-up)")).alias("title"), "question",
+    index = insight_index(vault)
+    language = F.col("language") if "language" in index.columns else F.lit(None).cast("string")
+    defs = index.select(
+        "batch_id", "insight_id", "pos", F.coalesce(F.nullif(language, F.lit("")), F.lit("en")).alias("language"), F.concat("batch_name", F.lit(" (Follow-up)")).alias("title"), "question",
         F.when(F.col("is_multi"), "multi").otherwise("single").alias("type"), options.alias("options"),
     )
     asked = (
@@ -332,7 +351,10 @@ def build_surveys(state: DataFrame, touched: DataFrame, vault: DataFrame) -> Dat
     )
     first = F.when(F.col("pending_reason") == "question_only", 0).otherwise(1)
     w = W.partitionBy("chat_id", "batch_id").orderBy(first, F.desc("confidence"), "pos")
-    return asked.select("chat_id", "batch_id", "title", "insight_id", "question", "type", "options", F.row_number().over(w).alias("question_no"))
+    return asked.select(
+        "chat_id", "batch_id", "title", "language", "insight_id", "question", "type", "options",
+        F.lit(True).alias("include_other"), F.lit(OTHER_LABEL).alias("other_label"), F.row_number().over(w).alias("question_no"),
+    )
 
 
 def submit_survey(responses: DataFrame, vault: DataFrame) -> DataFrame:

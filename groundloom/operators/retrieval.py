@@ -6,8 +6,10 @@ sub-queries of a question from 0.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,11 +183,30 @@ def hybrid_pool(ranks: DataFrame, k: int = 60) -> DataFrame:
     return pooled.withColumn("position", F.row_number().over(w)).drop("first_seen")
 
 
+def store_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """Chunk records written in buckets of ``chunk_id`` and opened as a table.
+
+    A selection too large to be sent to the texts is shuffled into the same buckets and meets them where they are stored, so no
+    text moves. A wide corpus takes more buckets: one should fit a task's memory a few times over.
+    """
+    name = "chunks_" + uuid.uuid4().hex
+    chunks.write.bucketBy(buckets, "chunk_id").sortBy("chunk_id").option("path", path).saveAsTable(name)
+    return chunks.sparkSession.table(name)
+
+
+def open_chunks(spark: SparkSession, path: str, buckets: int = 64) -> DataFrame:
+    """The table that :func:`store_chunks` wrote, for another session; ``buckets`` as there."""
+    name = "chunks_" + uuid.uuid4().hex
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (chunk_id) SORTED BY (chunk_id) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def with_chunks(selected: DataFrame, chunks: DataFrame) -> DataFrame:
     """Selected rows with their chunks' columns; unknown chunks drop out.
 
     The selection is written first, so its size is known when the join is planned: a small one goes to the chunks, and no text is
-    shuffled; only for one above Spark's broadcast threshold do both sides meet by chunk.
+    shuffled. One above Spark's broadcast threshold meets them by chunk; chunks of :func:`store_chunks` stay where they are then too.
     """
     return materialize(selected, "selected").join(chunks, "chunk_id")
 

@@ -20,12 +20,12 @@ _MD_CASE = """CASE {mod} WHEN 0 THEN '# '||l WHEN 1 THEN '## '||l WHEN 2 THEN '#
 _ANSWERS = [("A", "Reading", "the"), ("B", "Videos", "and"), ("C", "Hands-on practice", "que"), ("D", "Other", "zzz")]
 
 # One insight per supplier, one batch per nation: the vault grows with the data.
-_V_VAULT = """SELECT concat('b', s_nationkey) AS batch_id, n_name AS batch_name, s_nationkey % 5 <> 4 AS batch_active, CAST(s_nationkey AS BIGINT) AS batch_pos, concat('i', s_suppkey) AS insight_id, s_suppkey AS pos, concat('How do you work with ', s_name, '?') AS question, s_suppkey % 2 = 1 AS is_multi, s_suppkey % 7 <> 0 AS insight_active, a.answer_id, a.label, a.alias FROM supplier JOIN nation ON n_nationkey = s_nationkey {answers}"""
+_V_VAULT = """SELECT concat('b', s_nationkey) AS batch_id, n_name AS batch_name, s_nationkey % 5 <> 4 AS batch_active, CASE s_nationkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END AS language, CAST(s_nationkey AS BIGINT) AS batch_pos, concat('i', s_suppkey) AS insight_id, s_suppkey AS pos, concat('How do you work with ', s_name, '?') AS question, s_suppkey % 2 = 1 AS is_multi, s_suppkey % 7 <> 0 AS insight_active, a.answer_id, a.label, a.alias FROM supplier JOIN nation ON n_nationkey = s_nationkey {answers}"""
 
 # Two versions in one table: the second has the same ids, other texts, and the other half of its batches and insights open.
-_V_VAULTS = """SELECT 'v1' AS vault_version, batch_id, batch_name, batch_active, batch_pos, insight_id, pos, question, is_multi, insight_active, answer_id, label, alias FROM ({one}) UNION ALL SELECT 'v2', batch_id, concat('New ', batch_name), NOT batch_active, batch_pos + 1, insight_id, pos, concat('Now: ', question), NOT is_multi, NOT insight_active, answer_id, concat(label, ' 2'), alias FROM ({one})"""
+_V_VAULTS = """SELECT 'v1' AS vault_version, batch_id, batch_name, batch_active, language, batch_pos, insight_id, pos, question, is_multi, insight_active, answer_id, label, alias FROM ({one}) UNION ALL SELECT 'v2', batch_id, concat('New ', batch_name), NOT batch_active, language, batch_pos + 1, insight_id, pos, concat('Now: ', question), NOT is_multi, NOT insight_active, answer_id, concat(label, ' 2'), alias FROM ({one})"""
 
-_V_DEC = """SELECT e.event_id, e.user_id AS chat_id, e.ts, concat('i', s.s_suppkey) AS insight_id, concat('b', CASE WHEN e.event_id % 17 = 0 THEN 99 ELSE s.s_nationkey END) AS batch_id, CASE e.event_type WHEN 'purchase' THEN 'QUESTION_AND_ANSWER' WHEN 'click' THEN 'ANSWER_ONLY' WHEN 'signup' THEN 'ANSWER_ONLY' WHEN 'view' THEN 'QUESTION_ONLY' ELSE 'NO_MATCH' END AS match_type, CASE e.event_id % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'b|D' WHEN 2 THEN 'A, C' WHEN 3 THEN 'null' WHEN 4 THEN 'a' ELSE 'Z' END AS answer_raw, CAST(e.event_id % 101 AS DOUBLE) / 100 AS confidence, CAST(floor(e.event_id / 3) AS BIGINT) AS pass_id FROM (SELECT *, CAST({k} AS INT) AS k FROM events) e JOIN supplier s ON s.s_suppkey = (e.k * 37 + e.user_id) % (SELECT count(*) FROM supplier)"""
+_V_DEC = """SELECT e.event_id, e.user_id AS chat_id, e.ts, concat('i', s.s_suppkey) AS insight_id, concat('b', CASE WHEN e.event_id % 17 = 0 THEN 99 ELSE s.s_nationkey END) AS batch_id, CASE e.event_type WHEN 'purchase' THEN 'QUESTION_AND_ANSWER' WHEN 'click' THEN 'ANSWER_ONLY' WHEN 'signup' THEN 'ANSWER_ONLY' WHEN 'view' THEN 'QUESTION_ONLY' ELSE 'NO_MATCH' END AS match_type, CASE e.event_id % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'b|D' WHEN 2 THEN 'A, C' WHEN 3 THEN 'null' WHEN 4 THEN 'a' ELSE 'Z' END AS answer_raw, CAST(e.event_id % 101 AS DOUBLE) / 100 AS confidence, CAST(floor(e.event_id / 3) AS BIGINT) AS pass_id, {evidence} AS evidence, CASE WHEN e.event_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS vault_version FROM (SELECT *, CAST({k} AS INT) AS k FROM events) e JOIN supplier s ON s.s_suppkey = (e.k * 37 + e.user_id) % (SELECT count(*) FROM supplier)"""
 
 _V_SEG = """SELECT 'v1' AS vault_version, p_brand AS ec_id, concat('Role ', p_brand) AS ec_name, concat('sk', p_partkey) AS skill_id, p_name AS skill_name, p_type AS skill_alias, p_partkey AS pos FROM part"""
 
@@ -54,7 +54,7 @@ SPARK_VIEWS = {
         + ", ".join(f"named_struct('answer_id', '{i}', 'label', '{t}', 'alias', '{x}')" for i, t, x in _ANSWERS)
         + ")) a"
     ),
-    "v_dec": _V_DEC.format(k="get_json_object(props, '$.k')"),
+    "v_dec": _V_DEC.format(k="get_json_object(props, '$.k')", evidence="array(concat('event ', e.event_id), e.event_type)"),
     "v_seg": _V_SEG,
     "v_uia": _V_UIA,
     "v_msg": _V_MSG.format(at="TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(conv_id AS INT), CAST(turn AS INT), 0)"),
@@ -68,7 +68,7 @@ SPARK_VIEWS = {
 DUCK_VIEWS = {
     "v_md": "SELECT doc_id, array_to_string(list_transform(str_split(text, chr(10)), lambda l, i: " + _MD_CASE.format(mod="(doc_id + i - 1) % 13") + "), chr(10)) AS text FROM documents",
     "v_vault": "SELECT * EXCLUDE (vault_version) FROM (" + _V_VAULTS.format(one=_V_VAULT).format(answers=f"CROSS JOIN (VALUES {', '.join(map(str, _ANSWERS))}) AS a(answer_id, label, alias)") + ") WHERE vault_version = 'v1'",
-    "v_dec": _V_DEC.format(k="json_extract_string(props, '$.k')"),
+    "v_dec": _V_DEC.format(k="json_extract_string(props, '$.k')", evidence="[concat('event ', e.event_id), e.event_type]"),
     "v_seg": _V_SEG,
     "v_uia": _V_UIA,
     "v_msg": _V_MSG.format(at="TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id::INT) + to_minutes(turn::INT)"),

@@ -13,7 +13,7 @@ from .registry import query
 
 # --- check SQL ------------------------------------------------------------------------------------
 
-INDEX = """ix AS MATERIALIZED (SELECT batch_id, batch_name, batch_pos, insight_id, pos, question, is_multi, list(answer_id ORDER BY answer_id) AS ids, list(label ORDER BY answer_id) AS labels, to_json(list({'answerId': answer_id, 'label': label} ORDER BY answer_id)) AS options, list({'k': answer_id, 'v': {'text': label, 'aliases': [alias]}} ORDER BY answer_id) AS entries FROM v_vault WHERE batch_active AND insight_active GROUP BY ALL)"""
+INDEX = """ix AS MATERIALIZED (SELECT batch_id, batch_name, batch_pos, language, insight_id, pos, question, is_multi, list(answer_id ORDER BY answer_id) AS ids, list(label ORDER BY answer_id) AS labels, to_json(list({'answerId': answer_id, 'label': label} ORDER BY answer_id)) AS options, list({'k': answer_id, 'v': {'text': label, 'aliases': [alias]}} ORDER BY answer_id) AS entries FROM v_vault WHERE batch_active AND insight_active GROUP BY ALL)"""
 
 _PARSED = "list_filter(list_transform(regexp_split_to_array(trim({raw}), '[|,/\\s]+'), lambda p: upper(p)), lambda p: p <> '' AND p <> 'NULL' AND list_contains(ids, p))"
 # First occurrences in order.
@@ -41,8 +41,8 @@ APPLIED = applied_sql(False)
 FOLDED = (
     applied_sql(True)
     + """,
-wr AS (SELECT chat_id, insight_id, batch_id, CAST(pass_id AS DOUBLE) AS seq, event_id, ts, CASE WHEN status = 'take' THEN true END AS taken, CASE WHEN status = 'take' THEN coalesce(array_to_string(many, ','), '') ELSE '' END AS ids, CASE WHEN status = 'take' THEN coalesce(one, '') ELSE '' END AS one, CASE WHEN status = 'take' THEN '' ELSE 'question_only' END AS pending_reason, 'auto-inference' AS source, CASE WHEN status <> 'take' THEN '' WHEN match_type = 'QUESTION_AND_ANSWER' THEN 'qa' ELSE 'answer_only' END AS mode, confidence FROM ap WHERE status IN ('take', 'question_only')
-  UNION ALL SELECT chat_id, insight_id, batch_id, floor(submission_id / 3) + 0.5, submission_id, ts, true, coalesce(array_to_string(many, ','), ''), coalesce(one, ''), '', 'survey', '', 1.0 FROM sub WHERE status = 'ok'),
+wr AS (SELECT chat_id, insight_id, batch_id, CAST(pass_id AS DOUBLE) AS seq, event_id, ts, CASE WHEN status = 'take' THEN true END AS taken, CASE WHEN status = 'take' THEN coalesce(array_to_string(many, ','), '') ELSE '' END AS ids, CASE WHEN status = 'take' THEN coalesce(one, '') ELSE '' END AS one, CASE WHEN status = 'take' THEN '' ELSE 'question_only' END AS pending_reason, 'auto-inference' AS source, CASE WHEN status <> 'take' THEN '' WHEN match_type = 'QUESTION_AND_ANSWER' THEN 'qa' ELSE 'answer_only' END AS mode, confidence, array_to_string(evidence, ',') AS evidence, vault_version FROM ap WHERE status IN ('take', 'question_only')
+  UNION ALL SELECT chat_id, insight_id, batch_id, floor(submission_id / 3) + 0.5, submission_id, ts, true, coalesce(array_to_string(many, ','), ''), coalesce(one, ''), '', 'survey', '', 1.0, '', 'v1' FROM sub WHERE status = 'ok'),
 fs AS MATERIALIZED (SELECT *, first_value(ts) OVER (PARTITION BY chat_id, insight_id ORDER BY seq, event_id) AS created_at FROM wr QUALIFY row_number() OVER (PARTITION BY chat_id, insight_id ORDER BY seq DESC, event_id DESC) = 1),
 touched AS MATERIALIZED (SELECT DISTINCT chat_id, batch_id FROM ap WHERE status IN ('already_taken', 'take', 'question_only')),
 fill AS MATERIALIZED (SELECT t.chat_id, x.insight_id, t.batch_id FROM touched t JOIN ix x ON x.batch_id = t.batch_id WHERE NOT EXISTS (SELECT 1 FROM fs WHERE fs.chat_id = t.chat_id AND fs.insight_id = x.insight_id)),
@@ -74,7 +74,7 @@ def responses(spark, sf):
 
 def surveys(spark, sf, ix):
     ok = I.submit_survey(responses(spark, sf), ix).filter("accepted")
-    return ok.withColumn("seq", F.floor(F.col("submission_id") / 3) + 0.5).withColumnRenamed("submission_id", "event_id")
+    return ok.withColumns({"seq": F.floor(F.col("submission_id") / 3) + 0.5, "vault_version": F.lit("v1")}).withColumnRenamed("submission_id", "event_id")
 
 
 class ChatState:
@@ -112,12 +112,12 @@ def insight_index(spark, sf):
 @query(
     oracle(
         "v_vault",
-        "SELECT 'batches' AS part, batch_pos, -1 AS pos, to_json({'batchId': batch_id, 'name': batch_name}) AS json FROM (SELECT DISTINCT batch_id, batch_name, batch_pos FROM v_vault WHERE batch_active) UNION ALL SELECT 'insights', batch_pos, pos, to_json({'insightId': insight_id, 'batchId': batch_id, 'question': question, 'answers': map_from_entries(entries), 'isMultiSelect': is_multi, 'isActive': true}) FROM ix",
+        "SELECT 'vault' AS part, -1 AS batch_pos, -1 AS pos, '{\"vaultVersion\":\"v1\"}' AS json UNION ALL SELECT 'batches', batch_pos, -1, CASE WHEN language IS NULL THEN to_json({'batchId': batch_id, 'name': batch_name}) ELSE to_json({'batchId': batch_id, 'name': batch_name, 'language': language}) END FROM (SELECT DISTINCT batch_id, batch_name, batch_pos, language FROM v_vault WHERE batch_active) UNION ALL SELECT 'insights', batch_pos, pos, to_json({'insightId': insight_id, 'batchId': batch_id, 'question': question, 'answers': map_from_entries(entries), 'isMultiSelect': is_multi, 'isActive': true}) FROM ix",
         INDEX,
     )
 )
 def vault_pack(spark, sf):
-    return I.vault_pack(vault(spark, sf))
+    return I.vault_pack(vault(spark, sf), "v1")
 
 
 @query(
@@ -173,7 +173,7 @@ def decision_counts(spark, sf):
 _V = "v_dec v_vault v_sub"
 
 
-@query(oracle(_V, "SELECT chat_id, insight_id, batch_id, coalesce(taken, false) AS taken, one AS answer_id, ids AS answer_ids, pending_reason, source, mode, confidence, created_at, ts AS updated_at FROM fs", FOLDED))
+@query(oracle(_V, "SELECT chat_id, insight_id, batch_id, coalesce(taken, false) AS taken, one AS answer_id, ids AS answer_ids, pending_reason, source, mode, confidence, evidence, vault_version, created_at, ts AS updated_at FROM fs", FOLDED))
 def fold_insight_state(spark, sf):
     folded = ChatState(spark, sf).folded
     blank = F.lit("")
@@ -184,6 +184,7 @@ def fold_insight_state(spark, sf):
             "answer_ids": F.coalesce(F.array_join("answer_ids", ","), blank),
             "pending_reason": F.coalesce("pending_reason", blank),
             "mode": F.coalesce("mode", blank),
+            "evidence": F.coalesce(F.array_join("evidence", ","), blank),
         }
     )
 
@@ -211,7 +212,7 @@ def touched_batches(spark, sf):
 
 
 SURVEYS = f"""{FOLDED},
-sv AS MATERIALIZED (SELECT s.chat_id, s.batch_id, x.batch_name || ' (Follow-up)' AS title, s.insight_id, x.question, CASE WHEN x.is_multi THEN 'multi' ELSE 'single' END AS type, x.options, row_number() OVER (PARTITION BY s.chat_id, s.batch_id ORDER BY CASE WHEN pending_reason = 'question_only' THEN 0 ELSE 1 END, confidence DESC, pos) AS question_no FROM ss s JOIN touched t ON t.chat_id = s.chat_id AND t.batch_id = s.batch_id JOIN ix x ON x.insight_id = s.insight_id AND x.batch_id = s.batch_id WHERE taken IS NULL)"""
+sv AS MATERIALIZED (SELECT s.chat_id, s.batch_id, x.batch_name || ' (Follow-up)' AS title, coalesce(x.language, 'en') AS language, s.insight_id, x.question, CASE WHEN x.is_multi THEN 'multi' ELSE 'single' END AS type, x.options, true AS include_other, 'Other (write-in)' AS other_label, row_number() OVER (PARTITION BY s.chat_id, s.batch_id ORDER BY CASE WHEN pending_reason = 'question_only' THEN 0 ELSE 1 END, confidence DESC, pos) AS question_no FROM ss s JOIN touched t ON t.chat_id = s.chat_id AND t.batch_id = s.batch_id JOIN ix x ON x.insight_id = s.insight_id AND x.batch_id = s.batch_id WHERE taken IS NULL)"""
 
 
 def survey_rows(chats):

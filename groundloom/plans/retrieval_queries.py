@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
-from ..session import shared_dir
+from ..session import materialize, shared_dir
+from .block_queries import CHUNKS
+from .block_queries import CFG as CHUNK_CFG
+from ..operators import blocks as B
+from ..operators import chunks as C
 from .fixtures import oracle, sql, table, view
 from .registry import query
 from .text_queries import SP
@@ -205,3 +209,53 @@ def pack_context(spark, sf):
 @query(oracle("v_query", "SELECT query_id, sources FROM packed", PACKED))
 def answer_sources(spark, sf):
     return packed(spark, sf).select("query_id", F.to_json("sources").alias("sources"))
+
+
+# --- from markdown to context, with documents that change ------------------------------------------
+
+_EDITED = "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN concat(text, chr(10), chr(10), 'Edited document ', doc_id) ELSE text END AS text FROM v_md WHERE doc_id % 25 <> 3"
+
+REFRESHED = f"""v_new AS MATERIALIZED ({_EDITED}),
+{CHUNKS.replace("v_md", "v_new")},
+idx AS MATERIALIZED (SELECT chunk_id AS doc_id, embedding_text AS text FROM ch),
+{BM25.replace("documents", "idx")},
+{TOPK},
+lexpool AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min({{'a': sub_id, 'c': rank}}) AS seen FROM br GROUP BY ALL),
+placed AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS position FROM lexpool),
+blocked AS (SELECT query_id, position, '[' || chunk_id || '] ' || CASE WHEN breadcrumb <> '' THEN breadcrumb ELSE array_to_string(path, ' > ') END || chr(10) || ch.text || chr(10) AS block FROM placed JOIN ch USING (chunk_id)),
+fitting AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY position) AS used FROM blocked)"""
+
+
+def refreshed(spark, sf):
+    """A store of all markdown documents, then of its changes: every tenth document edited, every twenty-fifth gone."""
+    def built(docs):
+        return C.build_chunks(B.with_blocks(docs.withColumn("version", F.lit("v1"))), CHUNK_CFG)
+
+    def indexed(chunks):
+        return chunks.select("chunk_id", "doc_id", R.index_text(F.col("embedding_text"), F.col("text")).alias("text"))
+
+    docs = view(spark, sf, "v_md")
+    edited = sql(spark, sf, _EDITED.replace("chr(10)", "'\\n'"))
+    changed = docs.where("doc_id % 10 = 0 OR doc_id % 25 = 3").select("doc_id")
+    before = materialize(built(docs), "chunks")
+    after = materialize(built(edited.join(changed, "doc_id", "left_semi")), "chunks")
+    store = R.LexicalStore(spark, shared_dir(spark, "lexical")).add(indexed(before))
+    store.replace(indexed(after), changed).merge(fan=2)
+    records = before.join(changed, "doc_id", "left_anti").unionByName(after)
+    return store, R.store_chunks(records, shared_dir(spark, "chunks"), buckets=8)
+
+
+@query(oracle("v_md v_query", "SELECT query_id, md5(string_agg(block, chr(10) || '---' || chr(10) ORDER BY position)) AS context, count(*) AS included, CAST(max(used) AS BIGINT) AS chars FROM fitting WHERE used <= 24000 GROUP BY query_id", REFRESHED))
+def refreshed_context(spark, sf):
+    """Markdown to blocks, chunks, index, ranks and context, over a store whose documents changed; the SQL starts from the changed ones."""
+    store, records = refreshed(spark, sf)
+    pool = R.hybrid_pool(R.bm25_topk(view(spark, sf, "v_query"), store.index()))
+    return R.pack_context(pool, records).select("query_id", F.md5("context").alias("context"), "included", "chars")
+
+
+@query(oracle("v_query", "SELECT query_id, sub_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, sub_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, sub_id, chunk_id, score FROM br UNION ALL SELECT query_id, sub_id, doc_id, 0.0 FROM (SELECT DISTINCT query_id, sub_id FROM v_query), (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50) WHERE (query_id, sub_id, doc_id) NOT IN (SELECT (query_id, sub_id, chunk_id) FROM br))) WHERE rank <= 50", BM25 + ",\n" + TOPK))
+def bm25_padded(spark, sf):
+    """Lists of fifty for every question, filled up with chunks that match nothing."""
+    asked = view(spark, sf, "v_query")
+    padded = R.pad_zero(R.bm25_topk(asked, lexical(spark, sf)), asked, corpus(spark, sf))
+    return padded.select("query_id", *big("sub_id"), "chunk_id", *big("rank"), F.round("score", 6).alias("score"))

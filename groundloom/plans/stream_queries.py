@@ -40,10 +40,9 @@ def recent_events(spark, sf):
     return newest.select("chat_id", "event_id", "ts", F.col("rank").cast("bigint").alias("rank"))
 
 
-SESSIONS = """g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS new FROM events)),
-sess AS (SELECT user_id AS request_id, min(ts) AS started_at, max(ts) + INTERVAL 5 MINUTE AS expires_at, count(*) AS events, arg_max(event_type, ts) AS last_label, bool_or(event_type IN ('error', 'purchase')) AS closed FROM g GROUP BY user_id, s)"""
-# A batch also begins a session after each closing event.
-CLOSED_SESSIONS = SESSIONS.replace("CASE WHEN ts - lag", "CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) NOT IN ('error', 'purchase') AND ts - lag")
+# A session ends after five minutes of silence, or with an event that closes its request.
+SESSIONS = """g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN lag(event_type) OVER w NOT IN ('error', 'purchase') AND ts - lag(ts) OVER w <= INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))),
+sess AS (SELECT user_id AS request_id, min(ts) AS started_at, max(ts) + INTERVAL 5 MINUTE AS expires_at, count(*) AS events, arg_max(event_type, (ts, event_id)) AS last_label, bool_or(event_type IN ('error', 'purchase')) AS closed FROM g GROUP BY user_id, s)"""
 
 
 def progress(raw):
@@ -54,25 +53,35 @@ def shown(sessions):
     return sessions.withColumns({c: K.as_ntz(F.col(c)) for c in ("started_at", "expires_at")})
 
 
-@query(oracle("", "SELECT * FROM sess", CLOSED_SESSIONS))
+@query(oracle("", "SELECT * FROM sess", SESSIONS))
 def progress_sessions(spark, sf):
     """Sessions of all users as a batch."""
     return shown(K.progress_sessions(progress(table(spark, sf, "events")), closing=["error", "purchase"]))
 
 
-@query(oracle("", "SELECT * FROM sess WHERE expires_at <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE", SESSIONS))
+_PASSED = "epoch_ms((SELECT max(ts) FROM events)) - 60000"
+
+
+@query(oracle("", f"SELECT * FROM sess WHERE epoch_ms(expires_at - CASE WHEN closed THEN INTERVAL 5 MINUTE ELSE INTERVAL 0 MINUTE END) < {_PASSED}", SESSIONS))
 def progress_session_stream(spark, sf):
-    """The same as a stream: a session appears once the watermark has passed its end."""
+    """The same as a stream: a session appears once the watermark has passed its closing event, or its last event by five minutes."""
     timed = progress(stream(spark, sf, "events")).withWatermark("ts", "1 minute")
     return shown(drained(spark, K.progress_sessions(timed, closing=["error", "purchase"]), "sessions"))
 
 
 @query("SELECT event_id, ts, event_type AS type, user_id AS chat_id, props AS payload FROM events")
 def event_dedupe(spark, sf):
-    """Every event arrives twice and is kept once."""
-    twice = stream(spark, sf, "events").union(stream(spark, sf, "events"))
-    kept = K.event_dedupe(K.event_stream(log_records(twice), delay="60 days"), ["event_id"])
-    return drained(spark, kept, "dedupe").withColumn("ts", K.as_ntz(F.col("ts")))
+    """Every event arrives twice, the second time in a later run, and is kept once."""
+    path, kept = shared_dir(spark, "dedupe"), shared_dir(spark, "deduped")
+
+    def sink(rows, epoch):
+        rows.write.mode("overwrite").parquet(f"{kept}/epoch={epoch}")
+
+    for _ in range(2):
+        events = log_records(stream(spark, sf, "events"))
+        twice = events.union(log_records(stream(spark, sf, "events")))
+        K.dedupe_forever(twice, path, "event_id", sink).start().awaitTermination()
+    return spark.read.parquet(kept).drop("epoch")
 
 
 @query(oracle("v_uia", "SELECT chat_id, employment_category_id, skills, let_system_decide, vault_version, recorded_at, updated_at FROM st", STATE))
@@ -90,7 +99,7 @@ def uia_state_upsert_stream(spark, sf):
 _FOLD = (
     APPLIED
     + """,
-wr AS (SELECT chat_id, insight_id, batch_id, status = 'take' AS taken, CASE WHEN status = 'take' THEN coalesce(array_to_string(many, ','), '') ELSE '' END AS answer_ids, CASE WHEN status = 'take' THEN coalesce(one, '') ELSE '' END AS answer_id, confidence FROM ap WHERE status IN ('take', 'question_only') QUALIFY row_number() OVER (PARTITION BY chat_id, insight_id ORDER BY pass_id DESC, event_id DESC) = 1)"""
+wr AS (SELECT chat_id, insight_id, batch_id, status = 'take' AS taken, CASE WHEN status = 'take' THEN coalesce(array_to_string(many, ','), '') ELSE '' END AS answer_ids, CASE WHEN status = 'take' THEN coalesce(one, '') ELSE '' END AS answer_id, confidence, array_to_string(evidence, ',') AS evidence, vault_version, min_by(ts, (pass_id, event_id)) OVER (PARTITION BY chat_id, insight_id) AS created_at, ts AS updated_at FROM ap WHERE status IN ('take', 'question_only') QUALIFY row_number() OVER (PARTITION BY chat_id, insight_id ORDER BY pass_id DESC, event_id DESC) = 1)"""
 )
 
 
@@ -106,5 +115,6 @@ def insight_state_upsert_stream(spark, sf):
     state = K.read_insight_state(spark, path)
     blank = F.lit("")
     return state.select(
-        "chat_id", "insight_id", "batch_id", F.coalesce("taken", F.lit(False)).alias("taken"), F.coalesce(F.array_join("answer_ids", ","), blank).alias("answer_ids"), F.coalesce("answer_id", blank).alias("answer_id"), "confidence"
+        "chat_id", "insight_id", "batch_id", F.coalesce("taken", F.lit(False)).alias("taken"), F.coalesce(F.array_join("answer_ids", ","), blank).alias("answer_ids"), F.coalesce("answer_id", blank).alias("answer_id"), "confidence",
+        F.array_join("evidence", ",").alias("evidence"), "vault_version", K.as_ntz(F.col("created_at")).alias("created_at"), K.as_ntz(F.col("updated_at")).alias("updated_at")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,11 +13,14 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import insights as I
 from ..operators.intake import fold_uia_state
+from .keyed import ChangeLog, dedupe_forever, insight_changes, stream_sessions
+
+__all__ = ["dedupe_forever"]
 
 # Events of the intake log, and events that end a request.
 UIA_EVENT_TYPES = ["IntentDetectedLLM", "IntentDetectedFallback", "ECSurveyShown", "SkillsSurveyShown"]
 CLOSING = ["done", "error"]
-SESSION_GAP = "5 minutes"
+SESSION_GAP = timedelta(minutes=5)
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -36,26 +40,22 @@ def recent_events(events: DataFrame, n: int, key: str = "chat_id", tie: str = "e
     return events.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def progress_sessions(events: DataFrame, gap: str = SESSION_GAP, closing: list[str] | None = None) -> DataFrame:
+def progress_sessions(events: DataFrame, gap: timedelta = SESSION_GAP, closing: list[str] | None = None) -> DataFrame:
     """Sessions of a request: each event renews the time to live; silence ends it, and so does a closing event.
 
-    A batch counts the closing events before each event of its request, so what follows one is a session of its own. A stream has
-    no such order before its watermark and ends sessions by silence; they carry whether a closing event was among them.
-
-    ``events``: request_id, ts, type, label; batch or stream (with a watermark). With
-    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` set, a stream also merges sessions
-    in each partition before the shuffle, which pays off for requests with very many events.
+    ``events``: request_id, ts, event_id, type, label; batch or stream (with a watermark). Events are taken by time, those of one time
+    by id, and what follows a closing event is a session of its own. A stream gives the sessions that its watermark has passed, the
+    same as the batch.
     """
     closing = closing or CLOSING
-    keys = ["request_id"]
-    if not events.isStreaming:
-        before = W.partitionBy("request_id").orderBy("ts", *[c for c in ("event_id",) if c in events.columns]).rowsBetween(W.unboundedPreceding, -1)
-        events = events.withColumn("_closes", F.coalesce(F.sum(F.col("type").isin(closing).cast("int")).over(before), F.lit(0)))
-        keys.append("_closes")
-    grouped = events.groupBy(*keys, F.session_window("ts", gap).alias("session"))
+    if events.isStreaming:
+        return stream_sessions(events, gap, closing)
+    before = W.partitionBy("request_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
+    numbered = events.withColumn("_closes", F.coalesce(F.sum(F.col("type").isin(closing).cast("int")).over(before), F.lit(0)))
+    grouped = numbered.groupBy("request_id", "_closes", F.session_window("ts", f"{gap.total_seconds():.0f} seconds").alias("session"))
     return grouped.agg(
         F.count("*").alias("events"),
-        F.max_by("label", "ts").alias("last_label"),
+        F.max_by("label", F.struct("ts", "event_id")).alias("last_label"),
         F.max(F.col("type").isin(closing)).alias("closed"),
     ).select("request_id", F.col("session.start").alias("started_at"), F.col("session.end").alias("expires_at"), "events", "last_label", "closed")
 
@@ -79,63 +79,48 @@ def write_files(stream: DataFrame, path: str, mode: str = "append") -> DataStrea
 # --- state upserts --------------------------------------------------------------------------------
 
 
-def _latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest version of each key in a change log written per micro-batch."""
-    log = spark.read.parquet(path)
-    newest = log.groupBy(*keys).agg(F.max("epoch").alias("epoch"))
-    return log.join(newest, [*keys, "epoch"], "left_semi")
-
-
 def upsert_uia_state(events: DataFrame, path: str) -> DataStreamWriter:
     """Keep the intake state of every chat from a stream of its events.
 
     The fold is made of maxima and minima, so it is an ordinary streaming aggregate in update mode: Spark keeps
     one row of state per chat. Changed rows are logged per micro-batch under the batch's own number, which makes
-    a retried batch overwrite itself.
+    a retried batch overwrite itself, and compacted now and then.
     """
 
-    def log_changes(changed: DataFrame, epoch: int) -> None:
-        changed.write.mode("overwrite").parquet(os.path.join(path, f"epoch={epoch}"))
-
     return (
         fold_uia_state(events)
         .writeStream.outputMode("update")
         .option("checkpointLocation", path + "-checkpoint")
         .trigger(availableNow=True)
-        .foreachBatch(log_changes)
+        .foreachBatch(ChangeLog(path, ["chat_id"]).write)
     )
 
 
 def read_uia_state(spark: SparkSession, path: str) -> DataFrame:
-    return _latest(spark, path, ["chat_id"]).drop("epoch")
+    return ChangeLog(path, ["chat_id"]).read(spark)
 
 
-def upsert_insight_state(decisions: DataFrame, vault: DataFrame, path: str) -> DataStreamWriter:
-    """Keep the insight state from a stream of decisions.
+def insight_log(path: str, every: int = 10) -> ChangeLog:
+    return ChangeLog(path, I.STATE_KEY, every)
 
-    Each micro-batch is appended to a decision log, and the chats it mentions are folded again from the log; all
-    other chats stay untouched.
-    """
-    log_path, state_path = os.path.join(path, "log"), os.path.join(path, "state")
 
-    def refold(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(os.path.join(log_path, f"epoch={epoch}"))
-        log = spark.read.parquet(log_path).filter(F.col("epoch") <= epoch).drop("epoch")
-        chats = spark.read.parquet(os.path.join(log_path, f"epoch={epoch}")).select("chat_id").distinct()
-        applied = I.apply_decisions(log.join(chats, "chat_id", "left_semi"), vault)
-        I.fold_insight_state(applied).write.mode("overwrite").parquet(os.path.join(state_path, f"epoch={epoch}"))
+def upsert_insight_state(decisions: DataFrame, vault: DataFrame, path: str, every: int = 10) -> DataStreamWriter:
+    """Keep the insight state from a stream of decisions.
 
+    Decisions are judged by themselves; the state of each (chat, insight) is kept by key, so a micro-batch costs what it mentions and
+    no history is read. Changed rows go to a change log that is compacted every so many micro-batches.
+    """
+    changes = insight_changes(I.judge_decisions(decisions, vault))
     return (
-        decisions.writeStream.outputMode("append")
+        changes.writeStream.outputMode("update")
         .option("checkpointLocation", path + "-checkpoint")
         .trigger(availableNow=True)
-        .foreachBatch(refold)
+        .foreachBatch(insight_log(path, every).write)
     )
 
 
 def read_insight_state(spark: SparkSession, path: str) -> DataFrame:
-    return _latest(spark, os.path.join(path, "state"), I.STATE_KEY).drop("epoch")
+    return insight_log(path).read(spark)
 
 
 def as_ntz(ts: Column) -> Column:

@@ -162,3 +162,19 @@ def test_many_phrases_with_one_head(spark):
     found = {tuple(r) for r in N.phrase_hits(asks, spark.createDataFrame([(w,) for w in words], "phrase string")).collect()}
     text = "the " + " ".join(words[:50])
     assert found == {(1, 0, w) for w in words if w in text}
+
+
+def test_texts_stay_in_their_buckets(spark, tmp_path):
+    """A selection above the broadcast threshold is shuffled to the texts, which have no exchange of their own."""
+    chunks = corpus(spark).withColumn("breadcrumb", F.lit("b"))
+    stored = R.store_chunks(chunks, str(tmp_path / "chunks"), buckets=4)
+    again = R.open_chunks(spark, str(tmp_path / "chunks"), buckets=4)
+    selected = spark.createDataFrame([(1, 3), (1, 0), (2, 3), (2, 77)], "query_id long, chunk_id long")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for texts in (stored, again):
+        joined = R.with_chunks(selected, texts)
+        assert {(r.query_id, r.text) for r in joined.collect()} == {(1, "the the the cat dog"), (1, "the cat sat"), (2, "the the the cat dog")}
+        plan = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
