@@ -107,15 +107,19 @@ ALL_GATHERED = "All the insights have been gathered. No further questions at thi
 def assemble_reply(turns: DataFrame) -> DataFrame:
     """The assistant message of each turn.
 
-    ``turns``: intake_action, surveys_prepared, stage, question, answer_used, answer_md. An intake survey wins
-    over an insight survey.
+    ``turns``: intake_action, surveys_prepared, stage, question, answer_used, answer_md and, where answers have them, sources. An
+    intake survey wins over an insight survey. An answer that is not used leaves no sources either.
     """
     intake = F.when(F.col("intake_action") == "show_ec_survey", "ec_survey").when(F.col("intake_action") == "show_skills_survey", "skills_survey")
     insight = F.when(F.coalesce("surveys_prepared", F.lit(0)) > 0, "insight_survey")
     enc = F.when(F.col("stage") == "none", ALL_GATHERED).otherwise(F.coalesce("question", F.lit("")))
     used = F.coalesce("answer_used", F.lit(False)) & (F.coalesce("answer_md", F.lit("")) != "")
+    given = {}
+    if "sources" in turns.columns:
+        given["sources"] = F.coalesce(F.when(used, F.col("sources")), F.array().cast(turns.schema["sources"].dataType))
     return turns.withColumns(
         {
+            **given,
             "survey_type": F.coalesce(intake, insight),
             "enc_question": enc,
             "content": F.when(used, F.col("answer_md")).otherwise(""),

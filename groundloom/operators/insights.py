@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import materialize
 
 # Fixed value: label of the write-in option.
 OTHER_LABEL = "Other (write-in)"
@@ -402,15 +403,47 @@ def state_quality(state: DataFrame) -> DataFrame:
     return totals.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(n, F.lit(0)).alias("violations")) for n in names])))
 
 
-def batch_completion(state: DataFrame, vault: DataFrame) -> DataFrame:
-    """Totals per (chat, batch) for the batches a chat has rows in; others have taken nothing.
+def batch_ranks(vault: DataFrame) -> DataFrame:
+    """Batches with active insights and the number of these, ranked from 1 in stored order.
 
-    Only active insights count, and batches without any do not appear.
+    One row per batch passes through the ranking task, an id and two numbers each.
+    """
+    places = insight_index(vault).groupBy("batch_id").agg(F.min("batch_pos").alias("batch_pos"), F.count("*").alias("total"))
+    return places.withColumn("rank", F.row_number().over(W.orderBy("batch_pos", "batch_id")))
+
+
+def untouched_ranks(state: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Per chat the batches in which it has no row, as intervals ``(chat_id, first_rank, last_rank)``: the gaps between its ranks.
+
+    ``state`` has the chats and their batches, ``ranks`` is :func:`batch_ranks`.
+    """
+    last = ranks.agg(F.max("rank")).first()[0] or 0
+    seen = state.select("chat_id", "batch_id").distinct().join(ranks.select("batch_id", "rank"), "batch_id").select("chat_id", "rank")
+    ends = state.select("chat_id").distinct().withColumn("rank", F.lit(0))
+    following = F.lead("rank", 1, last + 1).over(W.partitionBy("chat_id").orderBy("rank"))
+    gaps = seen.unionByName(ends).select("chat_id", (F.col("rank") + 1).alias("first_rank"), (following - 1).alias("last_rank"))
+    return gaps.where("first_rank <= last_rank")
+
+
+def batch_completion(state: DataFrame, vault: DataFrame, dense: bool = False) -> DataFrame:
+    """Totals per (chat, batch) for the batches a chat has rows in; with ``dense`` also for all others, where it has taken nothing.
+
+    Only active insights count, and batches without any do not appear. The others are the gaps between a chat's batches, expanded in
+    place; chats and batches are not paired.
     """
     index = insight_index(vault).select("batch_id", "insight_id")
-    totals = index.groupBy("batch_id").agg(F.count("*").alias("total"))
-    counted = state.select(*STATE_KEY, "taken").join(index, "insight_id").groupBy("chat_id", "batch_id").agg(F.count_if(F.coalesce("taken", F.lit(False))).alias("taken"))
-    return counted.join(totals, "batch_id").withColumn("is_complete", F.col("taken") == F.col("total"))
+    ranks = materialize(batch_ranks(vault), "batch-ranks")
+    taken = F.count_if(F.coalesce("taken", F.lit(False))).alias("taken")
+    counted = state.select(*STATE_KEY, "taken").join(index, "insight_id").groupBy("chat_id", "batch_id").agg(taken)
+    done = counted.join(ranks.select("batch_id", "total"), "batch_id").withColumn("is_complete", F.col("taken") == F.col("total"))
+    if not dense:
+        return done
+    counted = materialize(done, "completion")
+    chats = state.select("chat_id").distinct().withColumn("batch_id", F.lit(None).cast("string"))
+    gaps = untouched_ranks(counted.select("chat_id", "batch_id").unionByName(chats), ranks)
+    open_ranks = gaps.select("chat_id", F.explode(F.sequence("first_rank", "last_rank")).alias("rank"))
+    none = open_ranks.join(ranks.select("rank", "batch_id", "total"), "rank")
+    return counted.unionByName(none.select("chat_id", "batch_id", F.lit(0).cast("bigint").alias("taken"), "total", F.lit(False).alias("is_complete")))
 
 
 def fully_taken_batches(state: DataFrame, vault: DataFrame) -> DataFrame:

@@ -173,8 +173,8 @@ class LexicalStore:
         return tokens.select("chunk_id", "doc_id", F.size("tokens").cast("bigint").alias("doc_len"), term_counts(F.col("tokens")).alias("entries"))
 
     def _segment(self, state: dict, forward: DataFrame) -> None:
-        """Write one segment. The chunks of a cell stand in one task, so a term's postings in a cell are gathered before the shuffle
-        that sorts blocks by term; ranges split a term of very many blocks."""
+        """Write one segment. The chunks of a cell stand in one task, so a term's postings in a cell are gathered before the one shuffle,
+        which deals blocks out by term and cell: the blocks of a very common term spread over all tasks."""
         name = f"segment-{uuid.uuid4().hex}"
         cell = F.shiftright(F.monotonically_increasing_id(), CELL.bit_length() - 1)
         forward.withColumn("cell", cell).withColumn("segment", F.lit(name)).write.parquet(self._at(name, "forward"))
@@ -186,8 +186,7 @@ class LexicalStore:
         blocks = postings.groupBy(bucket(F.col("e.term")), F.col("e.term").alias("term"), "cell").agg(
             F.max(share).alias("top"), F.collect_list(F.struct("chunk_id", "e.tf", "doc_len")).alias("docs")
         )
-        order = ["bucket", "term", "cell"]
-        blocks = blocks.withColumn("segment", F.lit(name)).repartitionByRange(*order).sortWithinPartitions(*order)
+        blocks = blocks.withColumn("segment", F.lit(name)).sortWithinPartitions("bucket", "term", "cell")
         blocks.write.partitionBy("bucket").parquet(self._at(name, "blocks"))
         written = self.spark.read.schema(blocks.schema).parquet(self._at(name, "blocks"))
         written.groupBy("bucket", "term").agg(F.sum(F.size("docs")).alias("df")).write.parquet(self._at(name, "terms"))

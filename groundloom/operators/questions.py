@@ -6,6 +6,7 @@ Text is matched against labels and aliases as lower-case substrings. Texts and p
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,26 +14,54 @@ from pyspark.sql import functions as F
 from ..functions.modeljson import extract_json_object, field
 from ..functions.text import is_generic_answer, let, oxford_join, strip
 from ..session import materialize
-from .insights import active_answers, insight_index
+from .insights import active_answers, batch_ranks, insight_index
 
 ASK = ["chat_id", "turn"]
+#: Characters of the phrases that one automaton holds, about.
+SHARD_CHARS = 1 << 21
 
 
 def phrase_hits(texts: DataFrame, phrases: DataFrame, keys: list[str] = ASK) -> DataFrame:
     """(keys, phrase) for every distinct ``phrase`` that occurs in the lower-cased ``text``.
 
-    Phrases join on their first three characters with the character runs present in the text; the candidates of a text are
-    verified against it, so the work follows the number of near matches. The phrases are written first, so
-    Spark knows whether they are small enough to go to the texts.
+    Phrases are cut by hash into shards of about ``SHARD_CHARS`` characters, each small enough to be sent to every task. A task
+    builds an Aho-Corasick automaton of a shard and runs over each of its texts once, whatever phrases share their beginnings. Texts
+    are not shuffled; they are read once per shard.
     """
     wanted = materialize(phrases.select(F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct(), "phrases")
-    lowered = texts.select(*keys, F.lower("text").alias("_text"))
-    # A zero-width look-ahead yields the up to three characters at every position in one linear scan.
-    runs = F.regexp_extract_all("_text", F.lit("(?s)(?=(.{1,3}))"), F.lit(1))
-    heads = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.array(r, F.substring(r, 1, 2), F.substring(r, 1, 1)))))
-    present = lowered.select(*keys, F.explode(heads).alias("_head"))
-    near = present.join(wanted.withColumn("_head", F.substring("phrase", 1, 3)), "_head").select(*keys, "phrase")
-    return near.join(lowered, keys).filter(F.col("_text").contains(F.col("phrase"))).select(*keys, "phrase")
+    total = wanted.agg(F.sum(F.char_length("phrase"))).first()[0] or 0
+    shards = max(1, -(-total // SHARD_CHARS))
+    lowered = texts.select(*keys, F.lower("text").alias("_text")).where("_text <> ''")
+    kinds = ", ".join(f"`{c}` {lowered.schema[c].dataType.simpleString()}" for c in keys)
+    found = None
+    for shard in range(shards):
+        own = wanted if shards == 1 else wanted.where(F.pmod(F.xxhash64("phrase"), F.lit(shards)) == shard)
+        sent = texts.sparkSession.sparkContext.broadcast([r["phrase"] for r in own.collect()])
+        hits = lowered.mapInArrow(_occurrences(sent, len(keys)), f"{kinds}, phrase string")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _occurrences(sent, width: int):
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for phrase in sent.value:
+            automaton.add_word(phrase, phrase)
+        if not len(automaton):
+            return
+        automaton.make_automaton()
+        for batch in batches:
+            rows, phrases = [], []
+            for row, text in enumerate(batch.column(width).to_pylist()):
+                for phrase in {p for _, p in automaton.iter(text)}:
+                    rows.append(row)
+                    phrases.append(phrase)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(width)), pa.array(phrases, pa.string())], names=[*batch.schema.names[:width], "phrase"])
+
+    return run
 
 
 def label_tokens(label: Column) -> Column:
@@ -84,6 +113,18 @@ def insight_relevance(asks: DataFrame, vault: DataFrame) -> DataFrame:
     return answer_relevance(asks, vault).groupBy(*ASK, "batch_id", "insight_id", "pos").agg(F.sum("score").alias("score"))
 
 
+def with_unmentioned(scores: DataFrame, asks: DataFrame, vault: DataFrame) -> DataFrame:
+    """Scores of all answers (or, from :func:`insight_relevance`, all insights) of each ask's batch, 0 where nothing is mentioned.
+
+    An ask meets the answers of its own batch only; one of a closed batch has none.
+    """
+    level = [c for c in ("answer_id",) if c in scores.columns]
+    known = active_answers(vault).select("batch_id", "insight_id", "pos", *level).distinct()
+    every = asks.select(*ASK, "batch_id").join(known, "batch_id")
+    keys = [*ASK, "batch_id", "insight_id", "pos", *level]
+    return every.join(scores, keys, "left").withColumn("score", F.coalesce("score", F.lit(0)))
+
+
 def best_insight(asks: DataFrame, vault: DataFrame) -> DataFrame:
     """The most relevant insight of the ask's batch, the earliest of equals, the first where none is mentioned.
 
@@ -178,14 +219,15 @@ def context_hook(text: Column, answers: Column) -> Column:
 def first_open_batch(chats: DataFrame, touched: DataFrame, complete: DataFrame, vault: DataFrame) -> DataFrame:
     """First batch in stored order that a chat has neither touched nor completed.
 
-    What is gathered per chat, and the list compared with it, are bounded by the number of batches.
+    Batches have ranks from 1 without gaps. As long as a chat's closed ranks, sorted, equal their own places, all before them are
+    closed; the first open one follows the last of these. No list of batches is compared with a chat.
     """
-    places = insight_index(vault).groupBy("batch_id").agg(F.min("batch_pos").alias("p"))
-    ordered = places.agg(F.array_sort(F.collect_list(F.struct("p", "batch_id"))).alias("l")).select("l.batch_id").scalar()
-    closed = touched.select("chat_id", "batch_id").union(complete.select("chat_id", "batch_id")).groupBy("chat_id").agg(F.collect_set("batch_id").alias("_closed"))
-    joined = chats.join(closed, "chat_id", "left").withColumn("_all", ordered)
-    free = F.filter("_all", lambda b: ~F.array_contains(F.coalesce("_closed", F.array().cast("array<string>")), b))
-    return joined.withColumn("batch_id", F.get(free, F.lit(0))).drop("_all", "_closed")
+    ranks = materialize(batch_ranks(vault).select("batch_id", "rank"), "batch-ranks")
+    closed = touched.select("chat_id", "batch_id").union(complete.select("chat_id", "batch_id")).distinct().join(ranks, "batch_id")
+    place = F.row_number().over(W.partitionBy("chat_id").orderBy("rank"))
+    gap = closed.withColumn("_place", place).where("rank = _place").groupBy("chat_id").agg((F.max("_place") + 1).alias("rank"))
+    joined = chats.join(gap, "chat_id", "left").withColumn("rank", F.coalesce("rank", F.lit(1)))
+    return joined.join(ranks, "rank", "left").drop("rank")
 
 
 def stage(ec: Column, done: Column, action: Column, open_batch: Column) -> Column:

@@ -6,15 +6,18 @@ sub-queries of a question from 0.
 
 from __future__ import annotations
 
+import math
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import let, snippet
+from ..functions.text import html_unescape, let, snippet
 from ..session import materialize, shared_dir
 from .lexical import QUERY_KEYS, LexicalIndex, LexicalStore, bm25_topk, top_ranks
 
@@ -23,6 +26,9 @@ __all__ = ["LexicalIndex", "LexicalStore", "bm25_topk", "top_ranks"]
 # Sources in the order in which their hits first appear.
 SOURCES = ["vec", "bm25"]
 
+#: Clusters of a vector search at most.
+PIVOTS = 256
+
 
 # --- lexical index --------------------------------------------------------------------------------
 
@@ -107,18 +113,88 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm > 0, norm, 1.0)
 
 
+@dataclass(frozen=True)
+class _Clusters:
+    """Unit vectors by the nearest of a few of them, the pivots, with the widest angle in each cluster."""
+
+    vectors: DataFrame  # chunk_id, unit, cluster, slot
+    pivots: np.ndarray
+    radii: np.ndarray
+    slots: int
+
+
+def _near_pivots(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(matrix @ pivots.T, -1.0, 1.0))
+
+
+def _clustered(vectors: DataFrame, slot_vectors: int) -> _Clusters:
+    """Pivots are a fixed choice by hash, ``PIVOTS`` at most, so what is sent to tasks is bounded; clusters that are large are cut
+    into slots. A zero vector has no angle: its cluster gets the widest."""
+    held = vectors.select("chunk_id", "embedding").where("embedding IS NOT NULL")
+    count = held.count()
+    some = held.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(max(1, min(PIVOTS, math.isqrt(count)))).select("embedding").toPandas()
+    pivots = _unit(np.stack(some["embedding"].to_numpy())) if len(some) else np.zeros((1, 1))
+    slots = max(1, -(-count // slot_vectors))
+
+    def assign(batches):
+        for pdf in batches:
+            if len(pdf):
+                unit = _unit(np.stack(pdf["embedding"].to_numpy()))
+                angles = _near_pivots(unit, pivots)
+                cluster = angles.argmin(axis=1)
+                angle = np.where(unit.any(axis=1), angles[np.arange(len(unit)), cluster], np.pi)
+                yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "unit": list(unit), "cluster": cluster.astype(np.int32), "angle": angle})
+
+    kind = vectors.schema["chunk_id"].dataType.simpleString()
+    cut = F.pmod(F.xxhash64("chunk_id"), F.lit(slots)).cast("int")
+    placed = materialize(held.mapInPandas(assign, f"chunk_id {kind}, unit array<double>, cluster int, angle double").withColumn("slot", cut), "clusters")
+    radii = np.zeros(len(pivots))
+    for row in placed.groupBy("cluster").agg(F.max("angle").alias("angle")).collect():
+        radii[row["cluster"]] = row["angle"]
+    return _Clusters(placed, pivots, radii, slots)
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 50, block_queries: int = 20_000, slot_vectors: int = 50_000) -> DataFrame:
     """Exact inner-product top-``k`` on unit vectors for ``(query_id, sub_id, embedding)``.
 
-    Queries are dealt out to blocks and vectors to slots of bounded size; every block meets every slot in one task, which multiplies
-    the two matrices and hands on ``k`` rows per query.
+    By the triangle inequality no vector of a cluster is nearer to a question than the pivot's angle less the cluster's radius. Each
+    question first meets the cluster that may be nearest; its ``k``-th best score there is a floor, and only clusters that may reach
+    it follow. Cells of a block of questions and a slot of a cluster have bounded size: one task multiplies the two matrices and
+    hands on ``k`` rows per question.
     """
     fields = {f.name: f.dataType for f in queries.schema} | {f.name: f.dataType for f in vectors.schema}
-    out = T.StructType(
-        [T.StructField(c, fields[c]) for c in (*QUERY_KEYS, "chunk_id")] + [T.StructField("score", T.DoubleType())]
-    )
-    partial = _meet_in_blocks(queries.select(*QUERY_KEYS, "embedding"), vectors.select("chunk_id", "embedding"), k, out, block_queries, slot_vectors)
-    return top_ranks(partial, QUERY_KEYS, k).select(*QUERY_KEYS, F.lit("vec").alias("source"), "chunk_id", "rank", "score")
+    out = T.StructType([T.StructField(c, fields[c]) for c in (*QUERY_KEYS, "chunk_id")] + [T.StructField("score", T.DoubleType())])
+    clusters = _clustered(vectors, slot_vectors)
+    pivots, radii = clusters.pivots, clusters.radii
+    asked = queries.select(*QUERY_KEYS, "embedding").where("embedding IS NOT NULL")
+    blocks = max(1, -(-asked.count() // block_queries))
+    schema = ", ".join(f"{c} {fields[c].simpleString()}" for c in QUERY_KEYS) + ", unit array<double>, cluster int"
+
+    def reach(batches):
+        """Clusters that a question may find something in: the nearest where it has no floor yet, else all others that reach it."""
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            unit = _unit(np.stack(pdf["embedding"].to_numpy()))
+            angles = _near_pivots(unit, pivots) * unit.any(axis=1, keepdims=True)
+            bound = np.cos(np.clip(angles - radii, 0.0, np.pi))
+            nearest = angles.argmin(axis=1)
+            if "floor" in pdf:
+                wanted = bound >= pdf["floor"].fillna(-2.0).to_numpy()[:, None] - 1e-6
+                wanted[np.arange(len(unit)), nearest] = False
+            else:
+                wanted = np.arange(len(pivots)) == nearest[:, None]
+            row, cluster = np.nonzero(wanted)
+            yield pd.DataFrame({c: pdf[c].to_numpy()[row] for c in QUERY_KEYS} | {"unit": list(unit[row]), "cluster": cluster.astype(np.int32)})
+
+    def met(pairs: DataFrame) -> DataFrame:
+        return _meet_in_cells(pairs, clusters, k, out, blocks)
+
+    first = materialize(top_ranks(met(asked.mapInPandas(reach, schema)), QUERY_KEYS, k).select(*out.fieldNames()), "nearest-clusters")
+    floor = first.groupBy(*QUERY_KEYS).agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
+    others = asked.join(floor, QUERY_KEYS, "left").select(*QUERY_KEYS, "embedding", "floor").mapInPandas(reach, schema)
+    both = first.unionByName(met(others))
+    return top_ranks(both, QUERY_KEYS, k).select(*QUERY_KEYS, F.lit("vec").alias("source"), "chunk_id", "rank", "score")
 
 
 def _result(keys: list[np.ndarray], best: _BestK, out: T.StructType) -> dict:
@@ -128,39 +204,37 @@ def _result(keys: list[np.ndarray], best: _BestK, out: T.StructType) -> dict:
 
 
 def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    return F.sequence(F.lit(0), F.lit(n - 1))
 
 
-def _meet_in_blocks(queries: DataFrame, vectors: DataFrame, k: int, out: T.StructType, per_block: int, per_slot: int) -> DataFrame:
-    """Both sides keyed by (slot of vectors, block of queries); every pair of cells has bounded size."""
-    import pandas as pd
-
-    blocks = max(1, -(-queries.count() // per_block))
-    slots = max(1, -(-vectors.count() // per_slot))
-    q = queries.withColumn("_block", F.pmod(F.xxhash64(*QUERY_KEYS), F.lit(blocks))).withColumn("_slot", F.explode(_numbers(slots)))
-    v = vectors.withColumn("_slot", F.pmod(F.xxhash64("chunk_id"), F.lit(slots))).withColumn("_block", F.explode(_numbers(blocks)))
+def _meet_in_cells(pairs: DataFrame, clusters: _Clusters, k: int, out: T.StructType, blocks: int) -> DataFrame:
+    """Questions with the clusters that they ask: cells of (cluster, slot of its vectors, block of questions)."""
+    q = pairs.withColumn("block", F.pmod(F.xxhash64(*QUERY_KEYS), F.lit(blocks)).cast("int")).withColumn("slot", F.explode(_numbers(clusters.slots)))
+    v = clusters.vectors.withColumn("block", F.explode(_numbers(blocks)))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({c: [] for c in out.fieldNames()})
-        best = _BestK(np.stack(left["embedding"].to_numpy()), k)
-        best.add(right["chunk_id"].to_numpy(), np.stack(right["embedding"].to_numpy()))
+        best = _BestK(np.stack(left["unit"].to_numpy()), k)
+        best.add(right["chunk_id"].to_numpy(), np.stack(right["unit"].to_numpy()))
         return pd.DataFrame(_result([left[c].to_numpy() for c in QUERY_KEYS], best, out))
 
-    return q.groupBy("_slot", "_block").cogroup(v.groupBy("_slot", "_block")).applyInPandas(meet, out)
+    cell = ["cluster", "slot", "block"]
+    return q.groupBy(cell).cogroup(v.select(*cell, "chunk_id", "unit").groupBy(cell)).applyInPandas(meet, out)
 
 
 # --- filters, fusion, results ---------------------------------------------------------------------
 
 
-def doc_filter(ranks: DataFrame, allow: DataFrame) -> DataFrame:
+def doc_filter(ranks: DataFrame, allow: DataFrame, by: str = "doc_id") -> DataFrame:
     """Keep allowed documents of each query; ranks keep their gaps.
 
-    ``allow`` is (query_id, doc_id); a query without entries is not filtered. ``ranks`` carries doc_id.
+    ``allow`` is (query_id, ``by``), ids or an attribute of documents that the ranked rows carry; a query without entries is not
+    filtered.
     """
-    allowed = allow.select("query_id", "doc_id").distinct().withColumn("_hit", F.lit(True))
+    allowed = allow.select("query_id", by).distinct().withColumn("_hit", F.lit(True))
     limited = allow.select("query_id").distinct().withColumn("_limited", F.lit(True))
-    joined = ranks.join(limited, "query_id", "left").join(allowed, ["query_id", "doc_id"], "left")
+    joined = ranks.join(limited, "query_id", "left").join(allowed, ["query_id", by], "left")
     return joined.filter(F.col("_limited").isNull() | F.col("_hit")).drop("_hit", "_limited")
 
 
@@ -284,3 +358,10 @@ def pack_context(selected: DataFrame, chunks: DataFrame, token_limit: int = 6000
         F.size("l").cast("bigint").alias("included"),
         F.col("chars").cast("bigint").alias("chars"),
     )
+
+
+def capped_sources(packed: DataFrame, top: int = 10) -> DataFrame:
+    """``(query_id, sources)`` of packed contexts: the first ones, six more than ``top``, titles without character references."""
+    rows = packed.select("query_id", F.posexplode(F.slice("sources", 1, top + 6)).alias("place", "s"))
+    plain = rows.select("query_id", "place", F.struct(F.col("s.chunk_id").alias("chunk_id"), html_unescape(F.col("s.breadcrumb")).alias("breadcrumb")).alias("s"))
+    return plain.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "s"))), lambda x: x.s).alias("sources"))

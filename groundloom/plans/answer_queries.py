@@ -57,6 +57,13 @@ def dedupe_keep_order(spark, sf):
     return replies(spark, sf).select("event_id", F.array_join(A.dedupe_keep_order(F.col("ids")), ",").alias("ids"))
 
 
+@query(duck(f"SELECT event_id, array_to_string(coalesce(CASE WHEN json_valid(raw) THEN {_STRINGS.format(f='selected')} END, []), ',') AS missing, CAST(len(coalesce(CASE WHEN json_valid(raw) THEN {_STRINGS.format(f='selected')} END, [])) AS BIGINT) AS n FROM rep"))
+def missing_aspects(spark, sf):
+    """What a sufficiency reply still misses; nothing where the reply cannot be read."""
+    aspects = A.missing_aspects(F.replace(F.col("raw"), F.lit("selected"), F.lit("missing_aspects")))
+    return replies(spark, sf).select("event_id", F.array_join(aspects, ",").alias("missing"), F.size(aspects).cast("bigint").alias("n"))
+
+
 _SUFF = "CASE WHEN json_valid(raw) THEN coalesce(CAST(json_extract_string(raw, '$.sufficiency') AS DOUBLE), 0.5) ELSE 0.4 + least(event_id % 14, 10) * 0.05 END"
 
 

@@ -240,8 +240,21 @@ def state_quality(spark, sf):
     return I.state_quality(ChatState(spark, sf).state)
 
 
-@query(oracle(_V, "SELECT chat_id, batch_id, taken, total, is_complete FROM done", FOLDED))
+@query(
+    oracle(
+        _V,
+        "SELECT c.chat_id, t.batch_id, coalesce(d.taken, 0) AS taken, t.total, coalesce(d.is_complete, false) AS is_complete FROM (SELECT DISTINCT chat_id FROM ss) c CROSS JOIN (SELECT batch_id, count(*) AS total FROM ix GROUP BY batch_id) t LEFT JOIN done d ON d.chat_id = c.chat_id AND d.batch_id = t.batch_id",
+        FOLDED,
+    )
+)
 def batch_completion(spark, sf):
+    """Every active batch of every chat that has a row."""
+    chats = ChatState(spark, sf)
+    return I.batch_completion(chats.state, chats.index, dense=True)
+
+
+@query(oracle(_V, "SELECT chat_id, batch_id, taken, total, is_complete FROM done", FOLDED))
+def batch_completion_touched(spark, sf):
     chats = ChatState(spark, sf)
     return I.batch_completion(chats.state, chats.index)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import snippet
+from ..operators import chat as M
 from ..operators import retrieval as R
 from ..session import materialize, shared_dir
 from .block_queries import CHUNKS
@@ -147,12 +149,10 @@ def bm25_topk(spark, sf):
 )
 def doc_filter(spark, sf):
     """Longer questions name two sources each; the others name none and are not filtered."""
-    docs = table(spark, sf, "documents").select("doc_id", "source")
-    wanted = sql(spark, sf, "SELECT item_id AS query_id, explode(array(concat('src', item_id % 20), concat('src', (item_id + 1) % 20))) AS source FROM benchmark WHERE length(text) > 200")
-    allow = wanted.join(docs, "source").select("query_id", "doc_id")
-    known = docs.select("doc_id")
-    ranks = rank_lists(spark, sf).withColumn("doc_id", F.col("chunk_id")).join(known, "doc_id", "left_semi")
-    kept = R.doc_filter(ranks, allow)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_source"))
+    allow = sql(spark, sf, "SELECT item_id AS query_id, explode(array(concat('src', item_id % 20), concat('src', (item_id + 1) % 20))) AS doc_source FROM benchmark WHERE length(text) > 200")
+    ranks = materialize(rank_lists(spark, sf).select(*R.QUERY_KEYS, "source", "chunk_id", "rank"), "ranks").join(docs, "chunk_id")
+    kept = R.doc_filter(ranks, allow, by="doc_source")
     source_no = F.when(F.col("source") == "vec", 1).otherwise(2)
     return kept.select("query_id", *big("sub_id"), source_no.cast("bigint").alias("source_no"), "chunk_id", *big("rank"))
 
@@ -259,3 +259,31 @@ def bm25_padded(spark, sf):
     asked = view(spark, sf, "v_query")
     padded = R.pad_zero(R.bm25_topk(asked, lexical(spark, sf)), asked, corpus(spark, sf))
     return padded.select("query_id", *big("sub_id"), "chunk_id", *big("rank"), F.round("score", 6).alias("score"))
+
+
+@query(oracle("v_query", "SELECT query_id, to_json(list({'chunk_id': CAST(chunk_id AS VARCHAR), 'breadcrumb': source} ORDER BY position)) AS sources FROM sized WHERE used <= 24000 AND position <= 8 GROUP BY query_id", PACKED))
+def answer_sources_capped(spark, sf):
+    return R.capped_sources(packed(spark, sf), top=2).select("query_id", F.to_json("sources").alias("sources"))
+
+
+_PROMPTS = "SELECT conv_id AS query_id, CAST(turn AS INT) AS sub_id, text AS q FROM conversations WHERE role = 'user'"
+
+ANSWERED = f"""v_query AS MATERIALIZED ({_PROMPTS}),
+{BM25},
+{TOPK},
+found AS (SELECT query_id, sub_id, list({{'chunk_id': CAST(chunk_id AS VARCHAR), 'breadcrumb': d.source}} ORDER BY rank) AS sources, arg_min(substr(replace(trim(d.text, {SP}), chr(13), ''), 1, 280), rank) AS answer FROM br JOIN documents d ON d.doc_id = br.chunk_id WHERE rank <= 3 GROUP BY ALL)"""
+
+
+@query(oracle("", "SELECT p.query_id AS chat_id, p.sub_id AS turn, CASE WHEN p.sub_id % 4 <> 2 THEN coalesce(answer, '') ELSE '' END AS content, CASE WHEN p.sub_id % 4 <> 2 AND coalesce(answer, '') <> '' THEN CAST(to_json(sources) AS VARCHAR) ELSE '[]' END AS sources, 'text' AS type FROM v_query p LEFT JOIN found f ON f.query_id = p.query_id AND f.sub_id = p.sub_id", ANSWERED))
+def reply_with_sources(spark, sf):
+    """Replies to all prompts: the beginning of the best document and the three best as sources; some answers are not used."""
+    asked = sql(spark, sf, _PROMPTS)
+    ranks = R.bm25_topk(asked, lexical(spark, sf), k=3)
+    texts = R.with_chunks(ranks.select(*R.QUERY_KEYS, "chunk_id", "rank"), corpus(spark, sf).select("chunk_id", "breadcrumb", "text"))
+    entry = F.struct("rank", F.struct(F.col("chunk_id").cast("string").alias("chunk_id"), "breadcrumb").alias("source"))
+    found = texts.groupBy(*R.QUERY_KEYS).agg(F.array_sort(F.collect_list(entry)).alias("l"), F.min_by(snippet(F.col("text"), 280), "rank").alias("answer_md"))
+    rows = asked.select(*R.QUERY_KEYS).join(found, R.QUERY_KEYS, "left").select(
+        "*", F.col("l.source").alias("sources"), (F.col("sub_id") % 4 != 2).alias("answer_used"), F.lit("none").alias("intake_action"), F.lit(0).alias("surveys_prepared"), F.lit("insights").alias("stage"), F.lit("").alias("question")
+    )
+    made = M.assemble_reply(rows)
+    return made.select(F.col("query_id").alias("chat_id"), F.col("sub_id").alias("turn"), "content", F.to_json("sources").alias("sources"), "type")

@@ -178,3 +178,45 @@ def test_texts_stay_in_their_buckets(spark, tmp_path):
         plan = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
         assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_clusters_out_of_reach_are_skipped(spark, monkeypatch):
+    """Tight groups of vectors: ranks equal those of the whole table, and most clusters are never met."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(8, 16))
+    base = np.concatenate([centres[i % 8] + 0.02 * rng.normal(size=(1, 16)) for i in range(1200)] + [np.zeros((2, 16))])
+    v = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(base)], "chunk_id long, embedding array<double>").repartition(4)
+    q = v.filter("chunk_id % 50 = 0 OR chunk_id = 1200").select(F.col("chunk_id").alias("query_id"), F.lit(0).alias("sub_id"), "embedding")
+    met = []
+    monkeypatch.setattr(R, "_meet_in_cells", lambda pairs, *rest, inner=R._meet_in_cells: (met.append(pairs.count()), inner(pairs, *rest))[1])
+    got = {(r.query_id, r.chunk_id, r["rank"]) for r in R.vector_topk(q, v, k=9, slot_vectors=300).collect()}
+    norm = np.linalg.norm(base, axis=1, keepdims=True)
+    unit = base / np.where(norm > 0, norm, 1)
+    want = set()
+    for i in [*range(0, 1200, 50), 1200]:
+        scores = np.round(unit @ unit[i], 9)
+        want |= {(i, int(j), rank) for rank, j in enumerate(np.lexsort((np.arange(len(base)), -scores))[:9], 1)}
+    assert got == want
+    # Of 34 clusters each question meets its nearest one, and few others reach its floor.
+    assert met[0] == 25 and met[1] < 25 * 34 / 4, met
+
+
+def test_phrase_shards_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abé ") for _ in range(rng.randrange(1, 6))) for _ in range(300)]
+    texts = [(k, 0, "".join(rng.choice("abéÉ A") for _ in range(rng.randrange(120)))) for k in range(50)]
+    asks = spark.createDataFrame(texts, "chat_id long, turn int, text string").repartition(3)
+    phrases = spark.createDataFrame([(w,) for w in words], "phrase string")
+    want = {(k, 0, w) for k, _, t in texts for w in words if w.lower() in t.lower()}
+    for size in (1 << 21, 200):
+        monkeypatch.setattr(N, "SHARD_CHARS", size)
+        assert {tuple(r) for r in N.phrase_hits(asks, phrases).collect()} == want
+
+
+def test_a_hundred_thousand_phrases_with_one_head(spark):
+    words = [f"the {k:06}" for k in range(100_000)]
+    text = " ".join(words[::2500])
+    asks = spark.createDataFrame([(1, 0, text), (2, 0, "the")], "chat_id long, turn int, text string")
+    found = N.phrase_hits(asks, spark.createDataFrame([(w,) for w in words], "phrase string"))
+    assert {tuple(r) for r in found.collect()} == {(1, 0, w) for w in words[::2500]}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()

@@ -2,8 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from groundloom.operators import insights as I
 from groundloom.operators import intake as U
+from groundloom.operators import questions as N
 
 VAULT = "batch_id string, batch_name string, batch_active boolean, batch_pos long, insight_id string, pos long, question string, is_multi boolean, insight_active boolean, answer_id string, label string, alias string"
 DECISIONS = "event_id long, chat_id long, ts long, pass_id long, insight_id string, batch_id string, match_type string, answer_raw string, confidence double"
@@ -93,3 +96,30 @@ def test_nested_vaults_flatten(spark):
     flat = U.flatten_vault(nested)
     index = {(r.type, r.target_id, r.alias_norm, r.alias) for r in U.build_alias_index(flat).collect()}
     assert index == {("ec", "e", "data", "Data"), ("ec", "e", "ds", "DS"), ("skill", "s", "sql", "SQL"), ("skill", "s", "structured", "Structured")}
+
+
+def many_batches(spark, n):
+    index = spark.range(n).selectExpr("concat('b', id) AS batch_id", "id * 2 AS batch_pos", "concat('i', id) AS insight_id", "'n' AS batch_name", "0L AS pos", "'q' AS question", "false AS is_multi")
+    return index.withColumn("answers", F.array().cast("array<struct<answer_id:string,label:string,aliases:array<string>>>"))
+
+
+def test_first_gap_of_100000_batches(spark):
+    """Chats with nothing closed, a closed beginning, a gap in the middle, and everything closed."""
+    n = 100_000
+    closed = spark.range(n).selectExpr("5L AS chat_id", "concat('b', id) AS batch_id").unionByName(spark.createDataFrame([(2, "b0"), (2, "b1"), (3, "b1"), (4, "b0"), (4, "b2"), (2, "unknown"), (2, "b1")], "chat_id long, batch_id string"))
+    chats = spark.createDataFrame([(k,) for k in range(1, 6)], "chat_id long")
+    none = spark.createDataFrame([], "chat_id long, batch_id string")
+    for touched, complete in ((closed, none), (none, closed)):
+        got = {r.chat_id: r.batch_id for r in N.first_open_batch(chats, touched, complete, many_batches(spark, n)).collect()}
+        assert got == {1: "b0", 2: "b2", 3: "b0", 4: "b1", 5: None}
+
+
+def test_completion_of_every_batch(spark):
+    rng = random.Random(9)
+    rows = {(rng.randrange(6), f"i{rng.randrange(40)}"): rng.choice([True, None]) for _ in range(60)} | {(9, "closed"): True}
+    state = spark.createDataFrame([(c, i, "b" + i[1:], t) for (c, i), t in rows.items()], "chat_id long, insight_id string, batch_id string, taken boolean")
+    dense = {(r.chat_id, r.batch_id): (r.taken, r.total, r.is_complete) for r in I.batch_completion(state, many_batches(spark, 40), dense=True).collect()}
+    want = {(c, f"b{b}"): (int(rows.get((c, f"i{b}")) is True), 1, rows.get((c, f"i{b}")) is True) for c in {c for c, _ in rows} for b in range(40)}
+    assert dense == want
+    sparse = I.batch_completion(state, many_batches(spark, 40)).count()
+    assert sparse == len([1 for _, i in rows if i != "closed"])
