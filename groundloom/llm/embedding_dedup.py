@@ -9,14 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .components import components
 from .hnsw import Graph
 
-#: Vectors per shard at most, and shards at least; vectors per block of queries.
-SHARD_VECTORS, LEAST_SHARDS, BLOCK_VECTORS = 1 << 18, 8, 1 << 14
-#: First beam; queries per block and shard whose links are also found by comparing with the whole shard; share of them to be found.
-BEAM, AUDIT, RECALL = 16, 256, 0.99
+#: Bytes of a shard's vectors at most, shards at least and the vectors that each of these should have; vectors per block of queries.
+SHARD_BYTES, LEAST_SHARDS, LEAST_VECTORS, BLOCK_VECTORS = 1 << 26, 8, 128, 1 << 14
+#: Beams to choose from, and the share of the audited links that the chosen one has to find.
+BEAMS, RECALL = (16, 32, 64, 128, 256), 0.99
+#: Queries that are audited at first, and links that an audit has to hold; with fewer, four times as many queries are audited.
+AUDIT, AUDIT_LINKS = 2048, 200
 
 #: Similarities that a slice of queries compares or finds at once, so that memory follows vectors and not pairs.
 CELLS = 1 << 22
@@ -65,24 +67,13 @@ def _walked(graph: Graph, queries: np.ndarray, vectors: np.ndarray, threshold: f
         yield todo[q], p
 
 
-def _slices(graph: Graph, queries: np.ndarray, vectors: np.ndarray, threshold: float):
-    """Slices of the pairs (query, point) that reach the threshold, with the first beam that passes the audit. The audit counts the
-    links of its queries only, as what is found is verified, so no pairs are held."""
-    audit = queries[np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)]
-
-    def counts(slices) -> np.ndarray:
-        return sum((np.bincount(q, minlength=len(audit)) for q, _ in slices), np.zeros(len(audit), np.int64))
-
-    truth, beam = counts(_exact(audit, vectors, threshold)), BEAM
-    while beam * 4 <= len(vectors) and np.minimum(counts(_walked(graph, audit, vectors, threshold, beam)), truth).sum() < RECALL * truth.sum():
-        beam *= 2
-    yield from _walked(graph, queries, vectors, threshold, beam)
-
-
-def _searched(graph: Graph, queries: np.ndarray, vectors: np.ndarray, threshold: float):
-    """The pairs of all slices at once."""
-    parts = list(_slices(graph, queries, vectors, threshold))
-    return tuple(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in parts)]) for i in (0, 1))
+def _links(slices, own: np.ndarray, reps: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Links per query, without a query's hit on itself."""
+    total = np.zeros(len(own), np.int64)
+    for q, p in slices:
+        other = own[q] != reps[p]
+        total += np.bincount(q[other], weights[p[other]], len(own)).astype(np.int64)
+    return total
 
 
 class _Forest:
@@ -107,20 +98,44 @@ class _Forest:
                     self.edges.append((x, y))
 
 
-def _search(threshold: float):
+def _cell(queries: pd.DataFrame, shard: pd.Series):
+    """The graph, its vectors, classes and weights, and the queries' classes and units."""
+    reps, weights = np.frombuffer(shard["reps"], np.int64), np.frombuffer(shard["weights"], np.int64)
+    vectors = np.frombuffer(shard["vectors"]).reshape(len(reps), -1)
+    graph = Graph(vectors, [np.frombuffer(x, np.int32).reshape(-1, 32) for x in shard["links"]])
+    units = np.stack(queries["vec"].to_numpy()).astype(np.float64)
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    return graph, vectors, reps, weights, queries["rep"].to_numpy(np.int64), units
+
+
+def _audit(threshold: float):
+    def run(queries: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
+        """Links of audited queries to one shard by comparing with all of it, and how many of them each beam finds. Wider beams than the
+        first that finds enough are not tried; they find no fewer."""
+        if queries.empty or shards.empty:
+            return pd.DataFrame({"beam": [], "found": [], "links": []})
+        graph, vectors, reps, weights, own, units = _cell(queries, shards.iloc[0])
+        ones = np.ones_like(weights)
+        truth = _links(_exact(units, vectors, threshold), own, reps, ones)
+        some, found = np.flatnonzero(truth), []
+        for beam in BEAMS:
+            if not found or found[-1] < RECALL * truth.sum():
+                found.append(int(np.minimum(_links(_walked(graph, units[some], vectors, threshold, beam), own[some], reps, ones), truth[some]).sum()))
+            else:
+                found.append(found[-1])
+        return pd.DataFrame({"beam": BEAMS, "found": found, "links": [int(truth.sum())] * len(BEAMS)})
+
+    return run
+
+
+def _search(threshold: float, beam: int):
     def run(queries: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
         """Links from one block of queries to one shard: their number per query, and edges that connect what the links connect."""
         if queries.empty or shards.empty:
             return pd.DataFrame({"rep": [], "links": [], "other": []})
-        shard = shards.iloc[0]
-        reps, weights = np.frombuffer(shard["reps"], np.int64), np.frombuffer(shard["weights"], np.int64)
-        vectors = np.frombuffer(shard["vectors"]).reshape(len(reps), -1)
-        graph = Graph(vectors, [np.frombuffer(x, np.int32).reshape(-1, 32) for x in shard["links"]])
-        own = queries["rep"].to_numpy(np.int64)
-        units = np.stack(queries["vec"].to_numpy()).astype(np.float64)
-        units /= np.linalg.norm(units, axis=1)[:, None]
+        graph, vectors, reps, weights, own, units = _cell(queries, shards.iloc[0])
         links, forest = np.zeros(len(own), np.int64), _Forest()
-        for q, p in _slices(graph, units, vectors, threshold):
+        for q, p in _walked(graph, units, vectors, threshold, beam):
             other = own[q] != reps[p]
             q, p = q[other], p[other]
             links += np.bincount(q, weights[p], len(own)).astype(np.int64)
@@ -132,13 +147,39 @@ def _search(threshold: float):
     return run
 
 
+def _met(queries: DataFrame, graphs: DataFrame, shards: int, blocks: int, fn, schema: str) -> DataFrame:
+    """Every block of queries with every shard of its length."""
+    keys = ["dim", "block", "shard"]
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return asked.select(*keys, "rep", "vec").groupBy(keys).cogroup(spread.groupBy(keys)).applyInPandas(fn, schema)
+
+
+def audited_beam(queries: DataFrame, graphs: DataFrame, shards: int, count: int, threshold: float) -> int:
+    """The narrowest beam that finds enough of the links of a sample of queries, all shards taken together.
+
+    The sample is drawn by hash and grows until it holds ``AUDIT_LINKS`` links or all queries. A query's hit on itself is no link. A
+    beam that no query has links for is the narrowest; where none is wide enough, the widest is taken, and what it leaves in doubt
+    is compared in full by the search itself.
+    """
+    size = AUDIT
+    while True:
+        part = max(1, count // size)
+        sample = queries.where(F.pmod(F.xxhash64("place", F.lit(5)), F.lit(part)) == 0)
+        cells = _met(sample, graphs, shards, max(1, math.ceil(min(size, count) / BLOCK_VECTORS)), _audit(threshold), "beam int, found long, links long")
+        rows = cells.groupBy("beam").agg(F.sum("found").alias("found"), F.sum("links").alias("links")).orderBy("beam").collect()
+        if part == 1 or (rows and rows[0]["links"] >= AUDIT_LINKS):
+            return next((r["beam"] for r in rows if r["found"] >= RECALL * r["links"]), BEAMS[-1])
+        size *= 4
+
+
 def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row: other vectors with a cosine of ``threshold`` or more, the smallest
     key that links lead to, and whether that is the row's own.
 
     Equal vectors form one class, so a vector with any number of copies is searched once and counts by its copies. Classes are
-    dealt out to shards by hash, more shards for more vectors, and each shard gets one graph. Each block of classes searches every
-    shard; what is found is verified in double precision. Within a block and shard, links are only counted, and a spanning forest of
+    dealt out to shards by hash, more shards for more or longer vectors, and each shard gets one graph of bounded size. An audit over
+    all shards chooses the beam. Each block of classes searches every shard; what is found is verified in double precision. Within a block and shard, links are only counted, and a spanning forest of
     them goes on to the components, so a large group of near copies makes rows in proportion to its members.
 
     Null vectors, zero vectors, and vectors with null or non-finite components link with nothing; neither do rows with a null key
@@ -151,18 +192,19 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = base.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0)).withColumn("place", F.xxhash64("vec"))
     classes = stored(sound.groupBy("place", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    count = classes.count()
-    shards = max(LEAST_SHARDS, math.ceil(count / SHARD_VECTORS))
-    blocks = max(1, math.ceil(count / BLOCK_VECTORS))
+    count, dim = classes.agg(F.count("*"), F.max(F.size("vec"))).first()
+    per_shard = max(LEAST_VECTORS, SHARD_BYTES // (8 * (dim or 1)))
+    shards = max(1, math.ceil(count / per_shard), min(LEAST_SHARDS, count // LEAST_VECTORS))
     dealt = classes.withColumn("dim", F.size("vec")).withColumn("shard", F.pmod(F.xxhash64("rep", "place"), F.lit(shards)).cast("int"))
     graphs = stored(dealt.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, reps binary, weights binary, vectors binary, links array<binary>"), "graphs")
-    queries = dealt.drop("shard").withColumn("block", F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("dim", "block", "shard", "rep", "vec")
-    spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["dim", "block", "shard"]
-    links = stored(queries.groupBy(keys).cogroup(spread.groupBy(keys)).applyInPandas(_search(threshold), "rep long, links long, other long"), "links")
+    queries = dealt.drop("shard")
+    beam = audited_beam(queries, graphs, shards, count, threshold)
+    links = stored(_met(queries, graphs, shards, max(1, math.ceil(count / BLOCK_VECTORS)), _search(threshold, beam), "rep long, links long, other long"), "links")
+    discard(graphs)
     linked = links.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(links.where("other is not null"), "rep", "other").withColumnRenamed("node", "rep")
     result = stored(classes.join(linked, "rep", "left").join(groups, "rep", "left"), "classes-linked")
+    discard(links, classes)
     found = base.withColumn("place", F.xxhash64("vec")).join(result, ["place", "vec"], "left")
     one = F.coalesce("component", "rep")
     return found.select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNull(), None).otherwise(F.coalesce(one, F.col("vec_id"))).cast("long").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -41,6 +41,8 @@ def brute(data):
 def test_links(spark, monkeypatch):
     monkeypatch.setattr(ed, "BLOCK_VECTORS", 100)
     monkeypatch.setattr(ed, "LEAST_SHARDS", 3)
+    walks = []
+    monkeypatch.setattr(ed, "audited_beam", lambda *a, inner=ed.audited_beam: (walks.append(inner(*a)), walks[-1])[1])
     rng = np.random.default_rng(3)
     vectors = [rng.normal(size=16) for _ in range(300)]
     center = rng.normal(size=16)
@@ -52,6 +54,44 @@ def test_links(spark, monkeypatch):
     rows = spark.createDataFrame([(k, v, "clash", 1) for k, v in data], "vec_id long, embedding array<double>, n_links string, kept int").repartition(4)
     got = sorted((tuple(r) for r in ed.near_vectors(rows).collect()), key=str)
     assert got == brute(data)
+    assert walks and walks[0] in ed.BEAMS
+
+
+def sparse(n, dim=24, every=100):
+    """One vector in ``every`` has one partner, all others none."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(n, dim))
+    for i in range(0, n, every):
+        vectors[i + 1] = vectors[i] + 0.03 * rng.normal(size=dim)
+    return vectors
+
+
+def test_recall_where_links_are_rare(spark, monkeypatch):
+    """Graphs are walked, the audit counts links of other vectors only, and goes on until it holds enough of them."""
+    monkeypatch.setattr(ed, "AUDIT", 256)
+    monkeypatch.setattr(ed, "AUDIT_LINKS", 60)
+    sizes, shards = [], []
+    monkeypatch.setattr(ed, "_met", lambda q, g, s, b, fn, schema, inner=ed._met: (sizes.append(q.count()), shards.append(s), inner(q, g, s, b, fn, schema))[2])
+    vectors = sparse(6000)
+    rows = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    found = {r.vec_id for r in ed.near_vectors(rows).collect() if r.n_links}
+    truth = {k for i in range(0, 6000, 100) for k in (i, i + 1)}
+    assert found <= truth and len(found) >= 0.99 * len(truth)
+    # Each shard is larger than four of the widest beams' quarter, so it is walked; the audit grew from 256 queries.
+    assert 6000 / shards[0] > 4 * ed.BEAMS[0] and sizes[0] < 400 and sizes[-2] > 1000
+
+
+def test_self_hits_are_no_links():
+    own = np.array([5, 6, 7])
+    slices = [(np.array([0, 0, 1]), np.array([0, 1, 1])), (np.array([2]), np.array([2]))]
+    assert ed._links(slices, own, np.array([5, 6, 7]), np.array([1, 3, 1])).tolist() == [3, 0, 0]
+
+
+def test_small_tables_walk_graphs():
+    """The smallest test tables give shards of more vectors than four of the narrowest beam."""
+    for count in (500, 1000, 2000, 60_000):
+        shards = max(1, min(ed.LEAST_SHARDS, count // ed.LEAST_VECTORS))
+        assert count / shards >= 8 * ed.BEAMS[0] - 1
 
 
 def test_empty(spark):
@@ -70,7 +110,7 @@ def test_recall():
     truth = queries @ every[order].T >= 0.95
     ids, sims = graph.search(queries, 32)
     assert (sims >= 0.95).sum() >= 0.99 * truth.sum()
-    q, p = ed._searched(graph, queries, every[order], 0.95)
+    q, p = (np.concatenate(x) for x in zip(*ed._walked(graph, queries, every[order], 0.95, 32), strict=True))
     assert len(q) >= 0.99 * truth.sum() and truth[q, p].all()
 
 
@@ -83,7 +123,7 @@ def test_memory_of_a_large_group(monkeypatch):
     queries = pd.DataFrame({"rep": np.arange(n), "vec": list(vectors)})
     shard = ed._build(queries.assign(place=rng.permutation(n), n=1, shard=0))
     tracemalloc.start()
-    got = ed._search(0.95)(queries, shard)
+    got = ed._search(0.95, ed.BEAMS[0])(queries, shard)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     counts = got[got["other"].isna()]

@@ -50,5 +50,25 @@ def test_scan(spark):
     assert by[len(texts) - 1].labels == "gpl-3" and by[len(texts) - 2].labels == "gpl-3"
 
 
+def test_every_template_gives_its_label(spark):
+    """Each wording, cut at its ends and with a word lost inside, is found, whichever paragraph of a license it is."""
+    data = []
+    for n, (_, text) in enumerate(licenses.TEMPLATES):
+        w = text.split()
+        data += [(3 * n, "x y z " + text + " and more"), (3 * n + 1, " ".join(w[len(w) // 8 :])), (3 * n + 2, " ".join(w[: len(w) // 2] + w[len(w) // 2 + 1 :]) if len(w) > 24 else text)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for n, (label, _) in enumerate(licenses.TEMPLATES):
+        assert all(label in got[3 * n + k].labels.split(",") and got[3 * n + k].score >= licenses.LEAST_COVERAGE for k in range(3)), label
+    plain = spark.createDataFrame([(1, "The river is provided with stones, and any person may use it without fee.")], "doc_id long, text string")
+    assert licenses.scan_licenses(plain).first().labels == ""
+
+
+def test_templates_of_a_table(spark):
+    own = spark.createDataFrame([("house", "You may use this house for one night, and leave the key."), ("house", None), (None, "x"), ("empty", " ;")], "label string, text string")
+    docs = spark.createDataFrame([(1, "Guests: you may use this house for one night and leave the KEY!"), (2, "released under the mit license"), (3, "by house rules")], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.n_base) for r in licenses.scan_licenses(docs, templates=licenses.templates_of(own), phrases={"House rules": "rules"}).collect()}
+    assert got == {1: ("house", 0), 2: ("", 0), 3: ("rules", 1)}
+
+
 def test_empty(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
