@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_counted, stored
+from .common import discard, stored
+
+#: Rounds whose maps are joined before the result is written.
+TOGETHER = 6
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, component)`` for every node of an edge; the component is its smallest node.
 
-    Each round orders the nodes by a hash that differs from round to round, maps every node to the first of its closed neighbourhood
-    and replaces the edges by those between these first nodes. As the order is random whatever the ids, a graph of any shape loses a
-    constant share of its nodes a round (about half on a path), so rounds follow the logarithm of the number of nodes. The rounds'
-    maps are put together from the last, smallest one back, and the smallest node of each component is taken at the end. Minima
-    combine before shuffles, and joins take hubs by themselves. Null ends, self loops and repeated edges are ignored. Empty edges
-    give no rows.
+    Each round maps every node to the first of its closed neighbourhood and replaces the edges by those between these first nodes.
+    The first round orders nodes by themselves, which collapses stars around a smallest node; every later one by a hash that differs
+    from round to round. That order is random whatever the ids, so a graph of any shape loses a constant share of its nodes a round
+    (about half on a path), and rounds follow the logarithm of the number of nodes. The rounds' maps are put together from the last,
+    smallest one back, and the smallest node of each component is taken at the end. A hub costs one row per edge; minima combine
+    before shuffles. Null ends, self loops and repeated edges are ignored. Empty edges give no rows.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     rounds, edges_before = [], []
@@ -24,29 +27,27 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         both = stored(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
         discard(*edges_before)
         edges_before = [both]
-        # The hash of one long is a permutation, so no two nodes tie.
-        turn = F.lit(len(rounds))
-        place = F.xxhash64("v", turn)
-        near = both.groupBy("u").agg(F.min(place).alias("p"), F.min_by("v", place).alias("near"), F.count("*").alias("n"))
-        first = stored(near.select("u", F.when(F.col("p") < F.xxhash64("u", turn), F.col("near")).otherwise(F.col("u")).alias("m"), "n"), "first")
-        total = first.agg(F.sum("n")).first()[0]
-        if total is None:
-            discard(both, first)
+        if both.isEmpty():
+            discard(both)
             break
+        # The hash of one long is a permutation, so no two nodes tie.
+        own, other = ((F.xxhash64(c, F.lit(len(rounds))) if rounds else F.col(c)) for c in ("u", "v"))
+        near = both.groupBy("u").agg(F.min(other).alias("p"), F.min_by("v", other).alias("near"))
+        first = stored(near.select("u", F.when(F.col("p") < own, F.col("near")).otherwise(F.col("u")).alias("m")), "first")
         rounds.append(first)
-        moved = join_counted(both.where("u < v"), first.select("u", F.col("m").alias("x"), "n"), ["u"], "n", total).select("x", "v")
-        moved = join_counted(moved, first.select(F.col("u").alias("v"), F.col("m").alias("y"), "n"), ["v"], "n", total)
-        pairs = moved.select(F.col("x").alias("u"), F.col("y").alias("v")).where("u <> v")
+        moved = both.where("u < v").join(first, "u").select(F.col("m").alias("x"), "v")
+        pairs = moved.join(first.withColumnRenamed("u", "v"), "v").select(F.col("x").alias("u"), F.col("m").alias("v")).where("u <> v")
     if not rounds:
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     labels = rounds[-1].select(F.col("u").alias("node"), F.col("m").alias("top"))
     scratch = [*rounds]
-    for first in rounds[-2::-1]:
-        known = first.groupBy("m").agg(F.count("*").alias("n")).join(labels.withColumnRenamed("node", "m"), "m", "left")
-        tops = stored(known.select("m", F.coalesce("top", "m").alias("top"), "n"), "tops")
-        labels = stored(join_counted(first.select(F.col("u").alias("node"), "m"), tops, ["m"], "n").select("node", "top"), "labels")
-        scratch += [tops, labels]
-    least = labels.groupBy("top").agg(F.min("node").alias("component"), F.count("*").alias("n"))
-    result = stored(join_counted(labels, stored(least, "least"), ["top"], "n").select("node", "component"), "components")
+    for n, first in enumerate(rounds[-2::-1], 1):
+        above = labels.select(F.col("node").alias("m"), "top")
+        labels = first.join(above, "m", "left").select(F.col("u").alias("node"), F.coalesce("top", "m").alias("top"))
+        if n % TOGETHER == 0:
+            labels = stored(labels, "labels")
+            scratch.append(labels)
+    labels = stored(labels, "labels")
     discard(*scratch)
-    return result
+    least = labels.groupBy("top").agg(F.min("node").alias("component"))
+    return labels.join(least, "top").select("node", "component")
