@@ -261,7 +261,7 @@ def bm25_padded(spark, sf):
     return padded.select("query_id", *big("sub_id"), "chunk_id", *big("rank"), F.round("score", 6).alias("score"))
 
 
-@query(oracle("v_query", "SELECT query_id, to_json(list({'chunk_id': CAST(chunk_id AS VARCHAR), 'breadcrumb': source} ORDER BY position)) AS sources FROM sized WHERE used <= 24000 AND position <= 8 GROUP BY query_id", PACKED))
+@query(oracle("v_query", "SELECT query_id, to_json(list({'chunk_id': CAST(chunk_id AS VARCHAR), 'breadcrumb': source} ORDER BY position)[1:8]) AS sources FROM sized WHERE used <= 24000 GROUP BY query_id", PACKED))
 def answer_sources_capped(spark, sf):
     return R.capped_sources(packed(spark, sf), top=2).select("query_id", F.to_json("sources").alias("sources"))
 
