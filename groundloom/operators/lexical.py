@@ -1,7 +1,8 @@
 """Lexical index by term, kept in immutable segments that are added, retired and merged.
 
 A store is a folder. Each segment holds some chunks twice: as forward rows (one per chunk, with its term counts) and as blocks of
-postings by term (one per term and cell of ``CELL`` chunks, with a bound of what it can add to a score). Changes write new
+postings by term (one per term and cell of ``CELL`` chunks, with a bound of what it can add to a score). Blocks are sorted by a
+hash of their terms, the bucket, so that a reader of few terms skips the pages of others by their statistics. Changes write new
 segments and lists of retired chunks; what is there is never rewritten, so readers of an older state go on undisturbed. The state is
 a numbered row: the live segments and the totals that scores need.
 
@@ -30,12 +31,13 @@ from ..functions.text import explode_once, lex_tokens
 from ..session import materialize
 
 QUERY_KEYS = ["query_id", "sub_id"]
-#: Chunks per cell; directories of terms; segments of one size that are merged into one.
-CELL, BUCKETS, FAN = 1024, 16, 4
+#: Chunks per cell; buckets of terms; segments of one size that are merged into one.
+CELL, BUCKETS, FAN = 1024, 256, 4
 #: Questions that one task scores against a cell, and terms that it multiplies at once.
 QUESTIONS, TERMS = 512, 1024
 #: Scores are rounded to nine digits; bounds leave room for that.
 SLACK = 1e-8
+TERMS_SCHEMA = "bucket int, term string, df long"
 
 
 def term_counts(tokens: Column) -> Column:
@@ -102,7 +104,9 @@ class LexicalStore:
         state["n_docs"] = sum(s["n"] for s in segments.values())
         state["total_len"] = sum(s["length"] for s in segments.values())
         terms = self._read("terms", segments)
-        if terms is not None:
+        if len(segments) == 1 and dead is None:
+            state["terms"] = os.path.join(*segments, "terms")
+        elif terms is not None:
             if dead is not None:
                 gone = dead.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("length")).first()
                 state["n_docs"] -= gone["n"]
@@ -112,7 +116,8 @@ class LexicalStore:
             merged = terms.groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df > 0")
             state["terms"] = f"terms-{uuid.uuid4().hex}"
             merged.write.parquet(self._at(state["terms"]))
-            kept = self.spark.read.parquet(self._at(state["terms"]))
+        if terms is not None:
+            kept = self.spark.read.schema(TERMS_SCHEMA).parquet(self._at(state["terms"]))
             state["mean_idf"] = kept.agg(F.avg(raw_idf(F.col("df"), state["n_docs"]))).first()[0] or 0.0
         row = self.spark.createDataFrame([(state["number"], json.dumps(state))], "number long, state string")
         row.coalesce(1).write.mode("append").parquet(self._at("states"))
@@ -177,8 +182,9 @@ class LexicalStore:
         which deals blocks out by term and cell: the blocks of a very common term spread over all tasks."""
         name = f"segment-{uuid.uuid4().hex}"
         cell = F.shiftright(F.monotonically_increasing_id(), CELL.bit_length() - 1)
-        forward.withColumn("cell", cell).withColumn("segment", F.lit(name)).write.parquet(self._at(name, "forward"))
-        rows = self.spark.read.parquet(self._at(name, "forward"))
+        forward = forward.withColumn("cell", cell).withColumn("segment", F.lit(name))
+        forward.write.parquet(self._at(name, "forward"))
+        rows = self.spark.read.schema(forward.schema).parquet(self._at(name, "forward"))
         totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("length")).first()
         avgdl = totals["length"] / totals["n"] if totals["length"] else 1.0
         postings = explode_once(rows, F.col("entries"), "e", keep=["chunk_id", "doc_len", "cell"])
@@ -186,11 +192,12 @@ class LexicalStore:
         blocks = postings.groupBy(bucket(F.col("e.term")), F.col("e.term").alias("term"), "cell").agg(
             F.max(share).alias("top"), F.collect_list(F.struct("chunk_id", "e.tf", "doc_len")).alias("docs")
         )
-        blocks = blocks.withColumn("segment", F.lit(name)).sortWithinPartitions("bucket", "term", "cell")
-        blocks.write.partitionBy("bucket").parquet(self._at(name, "blocks"))
-        written = self.spark.read.schema(blocks.schema).parquet(self._at(name, "blocks"))
-        written.groupBy("bucket", "term").agg(F.sum(F.size("docs")).alias("df")).write.parquet(self._at(name, "terms"))
-        state["segments"][name] = {"n": totals["n"], "length": totals["length"], "avgdl": avgdl}
+        blocks = blocks.withColumn("segment", F.lit(name)).withColumn("n", F.size("docs")).sortWithinPartitions("bucket", "term", "cell")
+        blocks.write.parquet(self._at(name, "blocks"))
+        written = self.spark.read.schema("bucket int, term string, n int").parquet(self._at(name, "blocks"))
+        written.groupBy("bucket", "term").agg(F.sum("n").alias("df")).write.parquet(self._at(name, "terms"))
+        kind = forward.schema["chunk_id"].dataType.simpleString()
+        state["segments"][name] = {"n": totals["n"], "length": totals["length"], "avgdl": avgdl, "kind": kind}
 
     # --- reads ----------------------------------------------------------------------------------
 
@@ -200,13 +207,12 @@ class LexicalStore:
         dead = self._dead(state)
         raw = raw_idf(F.col("df"), n)
         idf = F.when(raw < 0, F.lit(self.epsilon * state["mean_idf"])).otherwise(raw)
-        terms = self.spark.read.parquet(self._at(state["terms"])).withColumn("idf", idf)
+        terms = self.spark.read.schema(TERMS_SCHEMA).parquet(self._at(state["terms"])).withColumn("idf", idf)
         avgdl = state["total_len"] / n if n else 0.0
-        kind = self._read("forward", state["segments"]).schema["chunk_id"].dataType.simpleString()
-        schema = f"term string, cell long, top double, docs array<struct<chunk_id:{kind},tf:long,doc_len:long>>, segment string, bucket int"
+        schema = "term string, cell long, top double, docs array<struct<chunk_id:{},tf:long,doc_len:long>>, segment string, bucket int"
         parts = []
         for name, segment in state["segments"].items():
-            part = self.spark.read.schema(schema).parquet(self._at(name, "blocks"))
+            part = self.spark.read.schema(schema.format(segment["kind"])).parquet(self._at(name, "blocks"))
             parts.append(part.withColumn("top", F.col("top") * max(1.0, avgdl / segment["avgdl"])))
         whole = parts[0]
         for part in parts[1:]:
@@ -287,8 +293,8 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex, k: int = 50) -> DataFrame
 
     The order is exact, yet not every cell is scored. What a question can reach in a cell is bounded by its weights and its blocks'
     ``top``, columns that are read without the postings. Each question is scored in the cell with the highest bound first; its
-    ``k``-th best score there is a floor, and only cells that reach the floor follow. Only directories of asked terms are read, and
-    of their postings only the blocks of a question's cells move, to the task that scores that cell for up to ``QUESTIONS`` questions
+    ``k``-th best score there is a floor, and only cells that reach the floor follow. Pages without buckets of asked terms are skipped, and
+    of the postings only the blocks of a question's cells move, to the task that scores that cell for up to ``QUESTIONS`` questions
     and hands on ``k`` chunks for each.
     """
     keys, cell = QUERY_KEYS, ["segment", "cell"]

@@ -82,31 +82,6 @@ def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.select("chunk_id").join(vectors, "chunk_id", "left_anti")
 
 
-class _BestK:
-    """Running best ``k`` ids per query over blocks of vectors (numpy, inside one task)."""
-
-    def __init__(self, matrix: np.ndarray, k: int, block: int = 256):
-        self.q, self.k, self.block = _unit(matrix), k, block
-        self.best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(matrix)
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        vectors = _unit(vectors)
-        for lo in range(0, len(self.q), self.block):
-            scores = np.round(self.q[lo : lo + self.block] @ vectors.T, 9)
-            for j, row in enumerate(scores, start=lo):
-                held = self.best[j]
-                if len(row) > self.k:
-                    # Everything at or above the k-th score is kept, so ties are settled by id below.
-                    keep = row >= np.partition(row, len(row) - self.k)[len(row) - self.k]
-                    s, i = row[keep], ids[keep]
-                else:
-                    s, i = row, ids
-                if held is not None:
-                    s, i = np.concatenate([held[0], s]), np.concatenate([held[1], i])
-                order = np.lexsort((i, -s))[: self.k]
-                self.best[j] = (s[order], i[order])
-
-
 def _unit(m: np.ndarray) -> np.ndarray:
     m = np.asarray(m, dtype=np.float64)
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
@@ -115,26 +90,45 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class _Clusters:
-    """Unit vectors by the nearest of a few of them, the pivots, with the widest angle in each cluster."""
+    """Unit vectors by the nearest of a few of them, the pivots, with the widest angle in each cluster.
+
+    Neighbouring small clusters share a group, a cluster above ``slot_vectors`` is a group of its own in several slots; a cell is a
+    slot of a group.
+    """
 
-    vectors: DataFrame  # chunk_id, unit, cluster, slot
+    vectors: DataFrame  # chunk_id, unit, cluster, group, slot
     pivots: np.ndarray
     radii: np.ndarray
-    slots: int
+    group: np.ndarray  # of each cluster
+    slots: list[int]  # of each group
 
 
 def _near_pivots(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(matrix @ pivots.T, -1.0, 1.0))
 
 
+def _groups(sizes: np.ndarray, pivots: np.ndarray, slot_vectors: int) -> tuple[np.ndarray, list[int]]:
+    """The group of each cluster and the slots of each group: clusters are walked from neighbour to neighbour and fill up groups."""
+    angles = _near_pivots(pivots, pivots)
+    left, at = set(range(len(pivots))), 0
+    group, slots, held = np.zeros(len(pivots), np.int64), [], None
+    while left:
+        at = min(left, key=lambda c: (angles[at, c], c))
+        left.remove(at)
+        if held is None or held + sizes[at] > slot_vectors:
+            slots.append(0)
+            held = 0
+        held += int(sizes[at])
+        group[at], slots[-1] = len(slots) - 1, max(1, -(-held // slot_vectors))
+    return group, slots
+
+
 def _clustered(vectors: DataFrame, slot_vectors: int) -> _Clusters:
-    """Pivots are a fixed choice by hash, ``PIVOTS`` at most, so what is sent to tasks is bounded; clusters that are large are cut
-    into slots. A zero vector has no angle: its cluster gets the widest."""
+    """Pivots are a fixed choice by hash, ``PIVOTS`` at most, so what is sent to tasks is bounded. A zero vector has no angle: its
+    cluster gets the widest."""
     held = vectors.select("chunk_id", "embedding").where("embedding IS NOT NULL")
-    count = held.count()
-    some = held.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(max(1, min(PIVOTS, math.isqrt(count)))).select("embedding").toPandas()
+    some = held.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(max(1, min(PIVOTS, math.isqrt(held.count())))).select("embedding").toPandas()
     pivots = _unit(np.stack(some["embedding"].to_numpy())) if len(some) else np.zeros((1, 1))
-    slots = max(1, -(-count // slot_vectors))
 
     def assign(batches):
         for pdf in batches:
@@ -146,46 +140,56 @@ def _clustered(vectors: DataFrame, slot_vectors: int) -> _Clusters:
                 yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "unit": list(unit), "cluster": cluster.astype(np.int32), "angle": angle})
 
     kind = vectors.schema["chunk_id"].dataType.simpleString()
-    cut = F.pmod(F.xxhash64("chunk_id"), F.lit(slots)).cast("int")
-    placed = materialize(held.mapInPandas(assign, f"chunk_id {kind}, unit array<double>, cluster int, angle double").withColumn("slot", cut), "clusters")
-    radii = np.zeros(len(pivots))
-    for row in placed.groupBy("cluster").agg(F.max("angle").alias("angle")).collect():
-        radii[row["cluster"]] = row["angle"]
-    return _Clusters(placed, pivots, radii, slots)
+    placed = materialize(held.mapInPandas(assign, f"chunk_id {kind}, unit array<double>, cluster int, angle double"), "clusters")
+    radii, sizes = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    for row in placed.groupBy("cluster").agg(F.max("angle").alias("angle"), F.count("*").alias("n")).collect():
+        radii[row["cluster"]], sizes[row["cluster"]] = row["angle"], row["n"]
+    group, slots = _groups(sizes, pivots, slot_vectors)
+    grouped = placed.withColumn("group", F.lit(group.tolist())[F.col("cluster")].cast("int"))
+    slot = F.pmod(F.xxhash64("chunk_id"), F.lit(slots)[F.col("group")]).cast("int")
+    return _Clusters(grouped.withColumn("slot", slot).drop("angle"), pivots, radii, group, slots)
+
+
+def _bounds(unit: np.ndarray, clusters: _Clusters) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest cluster of each question, and the highest score that each cluster can hold for it."""
+    angles = _near_pivots(unit, clusters.pivots) * unit.any(axis=1, keepdims=True)
+    return angles.argmin(axis=1), np.cos(np.clip(angles - clusters.radii, 0.0, np.pi))
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 50, block_queries: int = 20_000, slot_vectors: int = 50_000) -> DataFrame:
     """Exact inner-product top-``k`` on unit vectors for ``(query_id, sub_id, embedding)``.
 
     By the triangle inequality no vector of a cluster is nearer to a question than the pivot's angle less the cluster's radius. Each
-    question first meets the cluster that may be nearest; its ``k``-th best score there is a floor, and only clusters that may reach
-    it follow. Cells of a block of questions and a slot of a cluster have bounded size: one task multiplies the two matrices and
-    hands on ``k`` rows per question.
+    question first meets the group of the cluster that may be nearest; its ``k``-th best score there is a floor, and only groups
+    with a cluster that may reach it follow. Cells of a block of questions and a slot of a group have bounded size: one task
+    multiplies the questions with the clusters that they may find something in and hands on ``k`` rows per question.
     """
     fields = {f.name: f.dataType for f in queries.schema} | {f.name: f.dataType for f in vectors.schema}
     out = T.StructType([T.StructField(c, fields[c]) for c in (*QUERY_KEYS, "chunk_id")] + [T.StructField("score", T.DoubleType())])
     clusters = _clustered(vectors, slot_vectors)
-    pivots, radii = clusters.pivots, clusters.radii
-    asked = queries.select(*QUERY_KEYS, "embedding").where("embedding IS NOT NULL")
+    shape = _Clusters(None, clusters.pivots, clusters.radii, clusters.group, clusters.slots)
+    asked = materialize(queries.select(*QUERY_KEYS, "embedding").where("embedding IS NOT NULL"), "questions")
     blocks = max(1, -(-asked.count() // block_queries))
-    schema = ", ".join(f"{c} {fields[c].simpleString()}" for c in QUERY_KEYS) + ", unit array<double>, cluster int"
+    schema = ", ".join(f"{c} {fields[c].simpleString()}" for c in QUERY_KEYS) + ", unit array<double>, floor double, group int"
 
     def reach(batches):
-        """Clusters that a question may find something in: the nearest where it has no floor yet, else all others that reach it."""
+        """Groups that a question may find something in: that of the nearest cluster where it has no floor yet, else all others that reach it."""
         for pdf in batches:
             if not len(pdf):
                 continue
             unit = _unit(np.stack(pdf["embedding"].to_numpy()))
-            angles = _near_pivots(unit, pivots) * unit.any(axis=1, keepdims=True)
-            bound = np.cos(np.clip(angles - radii, 0.0, np.pi))
-            nearest = angles.argmin(axis=1)
+            nearest, bound = _bounds(unit, shape)
+            groups, floor = np.arange(len(shape.slots)), np.full(len(unit), -2.0)
+            first = shape.group[nearest][:, None] == groups
+            wanted = first
             if "floor" in pdf:
-                wanted = bound >= pdf["floor"].fillna(-2.0).to_numpy()[:, None] - 1e-6
-                wanted[np.arange(len(unit)), nearest] = False
-            else:
-                wanted = np.arange(len(pivots)) == nearest[:, None]
-            row, cluster = np.nonzero(wanted)
-            yield pd.DataFrame({c: pdf[c].to_numpy()[row] for c in QUERY_KEYS} | {"unit": list(unit[row]), "cluster": cluster.astype(np.int32)})
+                floor = pdf["floor"].fillna(-2.0).to_numpy()
+                member = (shape.group[:, None] == groups).astype(np.float32)
+                wanted = ((bound >= floor[:, None] - 1e-6).astype(np.float32) @ member > 0) & ~first
+            row, group = np.nonzero(wanted)
+            if not len(row):
+                continue
+            yield pd.DataFrame({c: pdf[c].to_numpy()[row] for c in QUERY_KEYS} | {"unit": list(unit[row]), "floor": floor[row], "group": group.astype(np.int32)})
 
     def met(pairs: DataFrame) -> DataFrame:
         return _meet_in_cells(pairs, clusters, k, out, blocks)
@@ -197,30 +201,51 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 50, block_queri
     return top_ranks(both, QUERY_KEYS, k).select(*QUERY_KEYS, F.lit("vec").alias("source"), "chunk_id", "rank", "score")
 
 
-def _result(keys: list[np.ndarray], best: _BestK, out: T.StructType) -> dict:
-    rows = [(j, s, i) for j, held in enumerate(best.best) if held is not None for s, i in zip(*held)]
-    cols = [[key[j] for j, _, _ in rows] for key in keys]
-    return dict(zip(out.fieldNames(), [*cols, [i for _, _, i in rows], [s for _, s, _ in rows]]))
+def _numbers(n: Column) -> Column:
+    return F.sequence(F.lit(0), n - 1)
 
 
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0), F.lit(n - 1))
+def _best(questions: np.ndarray, floor: np.ndarray, vectors: np.ndarray, ids: np.ndarray, cluster: np.ndarray, k: int, shape: _Clusters, block: int = 256):
+    """Rows of the best ``k`` vectors of each question, ties by id, and their scores.
+
+    A question meets the clusters that may reach its floor only; vectors come in order of clusters, then ids.
+    """
+    cuts = np.flatnonzero(np.diff(cluster, prepend=-1, append=-1))
+    rows, places, values = [], [], []
+    for lo in range(0, len(questions), block):
+        q = questions[lo : lo + block]
+        reached = _bounds(q, shape)[1] >= floor[lo : lo + block, None] - 1e-6
+        scores = np.full((len(q), len(ids)), -np.inf)
+        for begin, end in zip(cuts[:-1], cuts[1:]):
+            own = np.flatnonzero(reached[:, cluster[begin]])
+            scores[own, begin:end] = np.round(q[own] @ vectors[begin:end].T, 9)
+        least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q), -np.inf)
+        for j, limit in enumerate(least):
+            # Everything at or above the k-th score is kept, so ties are settled by id below.
+            held = np.flatnonzero((scores[j] >= limit) & (scores[j] > -np.inf))
+            held = held[np.lexsort((ids[held], -scores[j, held]))[:k]]
+            rows.append(np.full(len(held), lo + j))
+            places.append(held)
+            values.append(scores[j, held])
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(values)
 
 
 def _meet_in_cells(pairs: DataFrame, clusters: _Clusters, k: int, out: T.StructType, blocks: int) -> DataFrame:
-    """Questions with the clusters that they ask: cells of (cluster, slot of its vectors, block of questions)."""
-    q = pairs.withColumn("block", F.pmod(F.xxhash64(*QUERY_KEYS), F.lit(blocks)).cast("int")).withColumn("slot", F.explode(_numbers(clusters.slots)))
-    v = clusters.vectors.withColumn("block", F.explode(_numbers(blocks)))
+    """Questions with the groups that they ask: cells of (group, slot of its vectors, block of questions)."""
+    q = pairs.withColumn("block", F.pmod(F.xxhash64(*QUERY_KEYS), F.lit(blocks)).cast("int")).withColumn("slot", F.explode(_numbers(F.lit(clusters.slots)[F.col("group")])))
+    v = clusters.vectors.withColumn("block", F.explode(_numbers(F.lit(blocks))))
+    shape = _Clusters(None, clusters.pivots, clusters.radii, clusters.group, clusters.slots)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({c: [] for c in out.fieldNames()})
-        best = _BestK(np.stack(left["unit"].to_numpy()), k)
-        best.add(right["chunk_id"].to_numpy(), np.stack(right["unit"].to_numpy()))
-        return pd.DataFrame(_result([left[c].to_numpy() for c in QUERY_KEYS], best, out))
+        right = right.sort_values(["cluster", "chunk_id"], kind="stable")
+        ids = right["chunk_id"].to_numpy()
+        question, place, score = _best(np.stack(left["unit"].to_numpy()), left["floor"].to_numpy(), np.stack(right["unit"].to_numpy()), ids, right["cluster"].to_numpy(), k, shape)
+        return pd.DataFrame({c: left[c].to_numpy()[question] for c in QUERY_KEYS} | {"chunk_id": ids[place], "score": score})
 
-    cell = ["cluster", "slot", "block"]
-    return q.groupBy(cell).cogroup(v.select(*cell, "chunk_id", "unit").groupBy(cell)).applyInPandas(meet, out)
+    cell = ["group", "slot", "block"]
+    return q.groupBy(cell).cogroup(v.select(*cell, "chunk_id", "cluster", "unit").groupBy(cell)).applyInPandas(meet, out)
 
 
 # --- filters, fusion, results ---------------------------------------------------------------------

@@ -62,7 +62,7 @@ def lexical(spark, sf):
     meta = F.col("_metadata")
     files = table(spark, sf, "documents").select(meta["file_path"].alias("p"), meta["file_size"].alias("s"), meta["file_modification_time"].cast("string").alias("m")).distinct()
     key = (spark.sparkContext.applicationId, *sorted(map(tuple, files.collect())))
-    if key not in _STORES or not R.LexicalStore(spark, _STORES[key]).state()["segments"]:
+    if key not in _STORES:
         path = shared_dir(spark, "lexical")
         R.bm25_index(corpus(spark, sf).select("chunk_id", "text"), store=path)
         _STORES[key] = path

@@ -9,6 +9,8 @@ QUERIES, ORACLES = load()
 SF = f"{DATA}/sf0.001"
 #: At this scale every document has a vector of its number, and no chat has touched half a batch.
 MAY_BE_EMPTY = ["missing_vectors", "batch_expand"]
+#: The vault here has one version, a constant, so Spark turns the join by version into a comparison with that single row.
+ONE_ROW_SIDE = ["resolve_version"]
 
 
 @pytest.fixture(scope="module")
@@ -18,21 +20,18 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    difference = compare(spark, con, SF, name, QUERIES[name], ORACLES[name])
+    df = QUERIES[name](spark, SF)
+    difference = compare(spark, con, SF, name, lambda *_: df, ORACLES[name])
     assert difference is None or name in MAY_BE_EMPTY and difference.startswith("EMPTY"), difference
+    # No query pairs all rows of one side with all of the other.
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert name in ONE_ROW_SIDE or not [line for line in plan.split("\n") if "CartesianProduct" in line or "NestedLoopJoin" in line]
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", ["hybrid_pool", "intake_action", "apply_decisions", "shortlist", "best_insight", "build_blocks", "batch_mentions"])
-def test_no_pairwise_join(spark, name):
-    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
-    assert "NestedLoopJoin" not in plan
-
-
 def test_document_work_needs_no_shuffle_of_its_own(spark):
     from pyspark.sql import functions as F
 
