@@ -178,8 +178,8 @@ class LexicalStore:
         return tokens.select("chunk_id", "doc_id", F.size("tokens").cast("bigint").alias("doc_len"), term_counts(F.col("tokens")).alias("entries"))
 
     def _segment(self, state: dict, forward: DataFrame) -> None:
-        """Write one segment. The chunks of a cell stand in one task, so a term's postings in a cell are gathered before the one shuffle,
-        which deals blocks out by term and cell: the blocks of a very common term spread over all tasks."""
+        """Write one segment. The one shuffle deals forward rows out by cell, ``CELL`` of them each; a cell's postings are sorted by term in
+        its task, so the blocks of a very common term are made side by side, one in each cell."""
         name = f"segment-{uuid.uuid4().hex}"
         cell = F.shiftright(F.monotonically_increasing_id(), CELL.bit_length() - 1)
         forward = forward.withColumn("cell", cell).withColumn("segment", F.lit(name))
@@ -187,16 +187,14 @@ class LexicalStore:
         rows = self.spark.read.schema(forward.schema).parquet(self._at(name, "forward"))
         totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("length")).first()
         avgdl = totals["length"] / totals["n"] if totals["length"] else 1.0
-        postings = explode_once(rows, F.col("entries"), "e", keep=["chunk_id", "doc_len", "cell"])
-        share = F.col("e.tf") * (self.k1 + 1) / (F.col("e.tf") + self.k1 * (1 - self.b + self.b * F.col("doc_len") / avgdl))
-        blocks = postings.groupBy(bucket(F.col("e.term")), F.col("e.term").alias("term"), "cell").agg(
-            F.max(share).alias("top"), F.collect_list(F.struct("chunk_id", "e.tf", "doc_len")).alias("docs")
-        )
-        blocks = blocks.withColumn("segment", F.lit(name)).withColumn("n", F.size("docs")).sortWithinPartitions("bucket", "term", "cell")
+        kind = forward.schema["chunk_id"].dataType.simpleString()
+        schema = T.StructType.fromDDL(f"cell long, term string, top double, n int, docs array<struct<chunk_id:{kind},tf:long,doc_len:long>>")
+        by_cell = rows.select("cell", "chunk_id", "doc_len", "entries").groupBy("cell")
+        blocks = by_cell.applyInArrow(_blocks_of_cell(self.k1, self.b, avgdl, to_arrow_schema(schema)), schema)
+        blocks = blocks.withColumn("bucket", bucket(F.col("term"))).withColumn("segment", F.lit(name)).sortWithinPartitions("bucket", "term", "cell")
         blocks.write.parquet(self._at(name, "blocks"))
         written = self.spark.read.schema("bucket int, term string, n int").parquet(self._at(name, "blocks"))
         written.groupBy("bucket", "term").agg(F.sum("n").alias("df")).write.parquet(self._at(name, "terms"))
-        kind = forward.schema["chunk_id"].dataType.simpleString()
         state["segments"][name] = {"n": totals["n"], "length": totals["length"], "avgdl": avgdl, "kind": kind}
 
     # --- reads ----------------------------------------------------------------------------------
@@ -238,6 +236,29 @@ def top_ranks(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _blocks_of_cell(k1: float, b: float, avgdl: float, schema: pa.Schema):
+    """Blocks of postings by term of the forward rows of one cell."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        entries = pa.concat_arrays(rows["entries"].chunks)
+        flat, row = entries.flatten(), np.array(pc.list_parent_indices(entries))
+        if not len(flat):
+            return schema.empty_table()
+        terms = flat.field("term").dictionary_encode()
+        order = np.argsort(np.array(terms.indices), kind="stable")
+        starts = np.flatnonzero(np.diff(np.array(terms.indices)[order], prepend=-1))
+        tf, length = np.array(flat.field("tf"))[order], np.array(rows["doc_len"])[row[order]]
+        share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
+        posting = [pa.concat_arrays(rows["chunk_id"].chunks).take(pa.array(row[order])), pa.array(tf), pa.array(length)]
+        offsets = np.append(starts, len(order)).astype(np.int32)
+        docs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(posting, fields=list(schema.field("docs").type.value_type)))
+        cell = pa.array(np.full(len(starts), rows["cell"][0].as_py()))
+        return pa.Table.from_arrays([cell, terms.dictionary, pa.array(np.maximum.reduceat(share, starts)), pa.array(np.diff(offsets)), docs], schema=schema)
+
+    return run
+
+
 def _scorer(index: LexicalIndex, k: int, schema: pa.Schema):
     """Scores of some questions against one cell: weights by term times shares by term and chunk, two matrices."""
     k1, b, avgdl, terms_at_once = index.k1, index.b, index.avgdl, TERMS

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet
@@ -79,9 +82,12 @@ def query_vectors(spark, sf):
 
 
 def rank_lists(spark, sf):
-    by_vector = R.vector_topk(query_vectors(spark, sf), vectors(spark, sf))
-    by_terms = R.bm25_topk(view(spark, sf, "v_query"), lexical(spark, sf))
-    return by_vector.unionByName(by_terms)
+    """Both searches write steps of their own, so their jobs are submitted side by side."""
+    asked = view(spark, sf, "v_query"), query_vectors(spark, sf)
+    with ThreadPoolExecutor(1) as other:
+        by_vector = other.submit(inheritable_thread_target(spark)(lambda: R.vector_topk(asked[1], vectors(spark, sf))))
+        by_terms = R.bm25_topk(asked[0], lexical(spark, sf))
+        return by_vector.result().unionByName(by_terms)
 
 
 def pool(spark, sf):
