@@ -86,7 +86,7 @@ def op6_packing(spark, sf_dir):
 def op10_token_file(spark, sf_dir):
     path = shared_path(spark, "token-file")
     rans.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-    return rans.read_ids(spark, path).drop("ids")
+    return rans.read_ids(spark, path, with_ids=False)
 
 
 @query()

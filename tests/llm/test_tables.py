@@ -6,6 +6,8 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -105,9 +107,12 @@ def test_packing(spark):
 def test_token_file(spark, monkeypatch):
     monkeypatch.setattr(rans, "BLOCK_IDS", 500)
     path = shared_path(spark, "token-file")
-    rans.write_ids(docs(spark, ROWS), path, public_tokenizers.path("word_bpe_49k.json"))
+    rows = [*ROWS, (5, "x y " * 170_000, "b"), (6, "after a long one", "b")]
+    rans.write_ids(docs(spark, rows), path, public_tokenizers.path("word_bpe_49k.json"))
     got = rans.read_ids(spark, path).orderBy("start").collect()
-    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    assert rans.read_ids(spark, path, with_ids=False).orderBy("start").collect() == [r[:4] for r in got]
+    assert max(len(r.check_words) for r in spark.read.parquet(f"{path}/blocks").collect()) >= 2
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     at = 0
     for r, (k, ids) in zip(got, ids_of("word_bpe_49k.json", order), strict=True):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.ids) == (k, at, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes())
@@ -122,6 +127,24 @@ def test_empty(spark):
     assert sharding.assign_shards(docs(spark, []).withColumn("size", F.lit(1)), "doc_id", "size", 9).count() == 0
 
 
+def test_damaged_range(spark, monkeypatch):
+    path, broken = shared_path(spark, "token-file"), shared_path(spark, "token-file")
+    monkeypatch.setattr(rans, "BLOCK_IDS", 500)
+    rans.write_ids(docs(spark, [(1, "x y " * 170_000, "a")]), path, public_tokenizers.path("word_bpe_49k.json"))
+    spark.read.parquet(f"{path}/table").write.parquet(f"{broken}/table")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    turned = F.transform("check_crc32", lambda c, i: F.when(i == 1, c.bitwiseXOR(1)).otherwise(c))
+    blocks.withColumn("check_crc32", turned).write.parquet(f"{broken}/blocks")
+    assert rans.read_ids(spark, path).count() == 1
+    with pytest.raises(Exception, match="is damaged"):
+        rans.read_ids(spark, broken).collect()
+
+
+@given(st.binary(), st.binary())
+def test_joined_checksums(first, second):
+    assert rans.joined_crc32(zlib.crc32(first), zlib.crc32(second), len(second)) == zlib.crc32(first + second)
+
+
 def test_coder():
     rng = np.random.default_rng(2)
     ids = np.minimum(rng.zipf(1.3, 300_000), 40_000).astype(np.uint16)
