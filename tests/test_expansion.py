@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from groundloom.operators import insights as I
+from groundloom.operators import questions as N
 from groundloom.operators.expansion import expand
 
 INDEX = "batch_id string, batch_name string, batch_pos long, language string, insight_id string, pos long, question string, is_multi boolean, answers array<struct<answer_id:string,label:string,aliases:array<string>>>"
@@ -85,3 +86,44 @@ def test_expand(spark):
     left = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, "b"), (4, None), (5, "c")], "n int, k string")
     right = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), ("b", 1), (None, 7)], "k string, v int")
     assert rows_of(expand(left, right, ["k"], block_rows=8).select("n", "k", "v")) == rows_of(left.join(right, "k").select("n", "k", "v"))
+
+
+def vault(spark):
+    rows = [(f"b{i % 2}", i % 5 != 4, f"i{i}", i, a, label, alias) for i in range(12) for a, label, alias in [("A", "Red", "x1"), ("B", f"Blue {i % 3}", "red"), ("C", "", "zz")]]
+    return spark.createDataFrame(rows, "batch_id string, insight_active boolean, insight_id string, pos long, answer_id string, label string, alias string").withColumn("batch_active", F.lit(True))
+
+
+def test_scores_equal_a_loop(spark):
+    """Also for prompts that come twice, whose hits meet one another, and for those without a number or a batch."""
+    asks = [(1, 0, "b0", "RED and blue 1"), (2, 0, "b1", "blue 0 blue 2"), (3, 1, "b1", "none"), (3, 2, "b1", None), (4, 0, "b0", "x1"), (4, 0, "b0", "x1"), (None, 0, "b0", "red"), (5, 0, None, "red"), (6, 0, "b9", "red")]
+    df, rows = spark.createDataFrame(asks, "chat_id long, turn int, batch_id string, text string"), vault(spark)
+    score = Counter()
+    for chat, turn, batch, _ in asks:
+        for chat2, turn2, _, text in asks:
+            if (chat, turn) == (chat2, turn2) and chat is not None:
+                for r in rows.where("insight_active").collect():
+                    if r.batch_id == batch and text:
+                        points = 2 * (r.label != "" and r.label.lower() in text.lower()) + (r.alias in text.lower())
+                        score[chat, turn, batch, r.insight_id, r.pos, r.answer_id] += points
+    want = {k: v for k, v in score.items() if v}
+    answers = N.answer_relevance(df, rows)
+    assert {tuple(r)[:-1]: r.score for r in answers.collect()} == want and answers.count() == len(want)
+    by_insight = Counter()
+    for key, v in want.items():
+        by_insight[key[:-1]] += v
+    insights = N.insight_relevance(df, rows)
+    assert {tuple(r)[:-1]: r.score for r in insights.collect()} == by_insight
+    for shared, plain in ((N.answer_relevance(df, rows, shared=True), answers), (N.insight_relevance(df, rows, shared=True), insights)):
+        assert rows_of(N.with_unmentioned(shared, df, rows)) == rows_of(N.with_unmentioned(plain, df, rows))
+    best = {(r.chat_id, r.turn): (r.insight_id, r.score) for r in N.best_insight(df, rows).collect()}
+    for ask in {a[:3] for a in asks}:
+        own = sorted((-v, k[4], k[3]) for k, v in by_insight.items() if k[:2] == ask[:2])
+        first = {"b0": ("i0", 0), "b1": ("i1", 0)}.get(ask[2], (None, 0))
+        assert best[ask[:2]] == ((own[0][2], -own[0][0]) if own else first)
+
+
+def test_best_of_a_thousand_million_equal_scores(spark):
+    rows = spark.range(50_000).selectExpr("'b' AS batch_id", "true AS batch_active", "true AS insight_active", "concat('i', id) AS insight_id", "id AS pos", "'A' AS answer_id", "'yes' AS label", "concat('w', id) AS alias")
+    asks = spark.range(20_000).selectExpr("id AS chat_id", "0 AS turn", "'b' AS batch_id", "CASE WHEN id % 2 = 0 THEN 'yes' ELSE 'yes, w777 ' END AS text")
+    got = N.best_insight(asks, rows).groupBy("insight_id", "score").count().collect()
+    assert {tuple(r) for r in got} == {("i0", 2, 10_000), ("i7", 3, 10_000)}
