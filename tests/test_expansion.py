@@ -127,3 +127,20 @@ def test_best_of_a_thousand_million_equal_scores(spark):
     asks = spark.range(20_000).selectExpr("id AS chat_id", "0 AS turn", "'b' AS batch_id", "CASE WHEN id % 2 = 0 THEN 'yes' ELSE 'yes, w777 ' END AS text")
     got = N.best_insight(asks, rows).groupBy("insight_id", "score").count().collect()
     assert {tuple(r) for r in got} == {("i0", 2, 10_000), ("i7", 3, 10_000)}
+
+
+def test_shortlist_equals_a_loop(spark):
+    rng = random.Random(3)
+    words = ["red", "blue", "bolt", "nut", "gear"]
+    options = [(f"l{i % 2}", i, " ".join(rng.choices(words, k=3)), rng.randrange(10_000)) for i in range(60)] + [("l0", 0, "gear gear", 10_001), ("l1", 98, None, 10_002)]
+    asks = [(c, 0, f"l{c % 3}", " ".join(rng.choices([*words, "other"], k=rng.randrange(4)))) for c in range(30)]
+    got = {(r.chat_id, r["rank"]): (r.id, r.label, r.score) for r in N.shortlist(spark.createDataFrame(asks, "chat_id long, turn int, list_id string, text string"), spark.createDataFrame(options, "list_id string, id long, label string, pos long")).collect()}
+    want = {}
+    for chat, _, list_id, text in asks:
+        scores = Counter()
+        for own, key, label, _ in options:
+            if own == list_id and label:
+                scores[key] += sum(t in text for t in label.split())
+        ranked = sorted((-scores[key], pos, key, label) for own, key, label, pos in options if own == list_id)[:4]
+        want |= {(chat, n): (key, label, -s) for n, (s, _, key, label) in enumerate(ranked, 1)}
+    assert got == want
