@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import sys
 
 import numpy as np
@@ -29,16 +30,24 @@ class _Known(dict):
         super().__init__()
         self.tokenizer, self.dtype, self.lead = tokenizer, dtype, lead
         self.model, self.marks, self.tails, self.older = tokenizer.model, _byte_marks(), {}, {}
+        self.space, self.code = self.marks[32], "H" if dtype.itemsize == 2 else "I"
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def word(self, word: str, lead: str) -> bytes:
         """Ids of a chunk without its end marks. Latin letters alone are one word of either tokenizer, so its model takes them at once."""
-        if word.isalpha() and max(word) < "\u0130":
+        if not word.isalpha():
+            return self.ids(lead + word)
+        if word.isascii():
+            # Each letter stands for itself.
+            form = (self.space + word if lead else word) if self.lead else word.lower()
+        elif max(word) < "\u0130":
             form = (lead + word if self.lead else word.lower()).encode().decode("latin-1").translate(self.marks)
-            return np.array([t.id for t in self.model.tokenize(form)], self.dtype).tobytes()
-        return self.ids(lead + word)
+        else:
+            return self.ids(lead + word)
+        ids = [t.id for t in self.model.tokenize(form)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def tail(self, marks: str) -> bytes:
         return self.tails.get(marks) or self.tails.setdefault(marks, self.ids(marks)) if len(marks) < 4 else self.ids(marks)
