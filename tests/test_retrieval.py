@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from groundloom.operators import lexical
@@ -234,3 +235,40 @@ def test_a_hundred_thousand_phrases_with_one_head(spark):
     found = N.phrase_hits(asks, spark.createDataFrame([(w,) for w in words], "phrase string"))
     assert {tuple(r) for r in found.collect()} == {(1, 0, w) for w in words[::2500]}
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_writes_no_rows_by_cell(spark, tmp_path, monkeypatch):
+    """What a search writes grows with the questions' terms, not with cells times questions or cells times terms."""
+    monkeypatch.setattr(lexical, "CELL", 4)
+    rng = random.Random(9)
+    texts = {c: t + " w0 w1" for c, t in zipf(rng, 300).items()}
+    asked = {k: " ".join(f"w{j}" for j in rng.sample(range(30), 6)) for k in range(20)}
+    store = R.LexicalStore(spark, str(tmp_path / "store")).add(spark.createDataFrame(list(texts.items()), "chunk_id long, text string").repartition(3))
+    written = []
+
+    def counting(df, purpose, inner=lexical.materialize):
+        out = inner(df, purpose)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(lexical, "materialize", counting)
+    assert ranks_of(spark, store, asked, 5) == plain_bm25(texts, asked, 5)
+    assert 0 < sum(written) <= 20 * 6
+
+
+@pytest.mark.parametrize("slab", [8, 64])
+def test_slabs_and_groups_change_no_rank(spark, tmp_path, monkeypatch, slab):
+    """Many slabs of few cells and many groups of few questions, after changes; a text is null."""
+    monkeypatch.setattr(lexical, "CELL", 8)
+    rng = random.Random(slab)
+    texts = zipf(rng, 200, 60)
+    asked = {k: " ".join(rng.choices([f"w{j}" for j in range(60)], k=rng.randrange(1, 9))) for k in range(25)}
+    store = R.LexicalStore(spark, str(tmp_path / "store"))
+    store.add(spark.createDataFrame([(c, c, t or None) for c, t in texts.items()], "chunk_id long, doc_id long, text string").repartition(3))
+    gone, changed = set(range(0, 200, 7)), {c: "w1 w2 " + texts[c] for c in range(0, 200, 14)}
+    store.replace(spark.createDataFrame([(c, c, t) for c, t in changed.items()], "chunk_id long, doc_id long, text string"), spark.createDataFrame([(c,) for c in gone], "doc_id long"))
+    texts = {c: t for c, t in texts.items() if c not in gone} | changed
+    monkeypatch.setattr(lexical, "SLAB", slab)
+    monkeypatch.setattr(lexical, "QUESTIONS", 4)
+    for k in (1, 6, 300):
+        assert ranks_of(spark, store, asked, k) == plain_bm25(texts, asked, k)
