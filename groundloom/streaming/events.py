@@ -13,7 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import insights as I
 from ..operators.intake import fold_uia_state
-from .keyed import ChangeLog, dedupe_forever, insight_changes, stream_sessions
+from .keyed import PASS_KEY, ChangeLog, dedupe_forever, insight_changes, insight_rows, stream_sessions
 
 __all__ = ["dedupe_forever"]
 
@@ -101,14 +101,14 @@ def read_uia_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def insight_log(path: str, every: int = 10) -> ChangeLog:
-    return ChangeLog(path, I.STATE_KEY, every)
+    return ChangeLog(path, PASS_KEY, every)
 
 
 def upsert_insight_state(decisions: DataFrame, vault: DataFrame, path: str, every: int = 10) -> DataStreamWriter:
     """Keep the insight state from a stream of decisions.
 
-    Decisions are judged by themselves; the state of each (chat, insight) is kept by key, so a micro-batch costs what it mentions and
-    no history is read. Changed rows go to a change log that is compacted every so many micro-batches.
+    Decisions are judged by themselves; what stands in each pass is kept by key, so a micro-batch costs what it mentions and no history
+    is read. Changed passes go to a change log that is compacted every so many micro-batches; readers fold the passes.
     """
     changes = insight_changes(I.judge_decisions(decisions, vault))
     return (
@@ -120,7 +120,7 @@ def upsert_insight_state(decisions: DataFrame, vault: DataFrame, path: str, ever
 
 
 def read_insight_state(spark: SparkSession, path: str) -> DataFrame:
-    return insight_log(path).read(spark)
+    return insight_rows(insight_log(path).read(spark))
 
 
 def as_ntz(ts: Column) -> Column:

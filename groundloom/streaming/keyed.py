@@ -27,55 +27,36 @@ def keep_state(spark: SparkSession) -> None:
 # --- insight state --------------------------------------------------------------------------------
 
 #: What stands in a pass: the fields of its last accepted decision.
-STANDING = "event_id long, ts timestamp, batch_id string, status string, answer_id string, answer_ids array<string>, mode string, confidence double, evidence array<string>, vault_version string"
-STANDING_FIELDS = [f.strip().split()[0] for f in STANDING.split(",")]
-INSIGHT_ROW = "chat_id long, insight_id string, batch_id string, taken boolean, answer_id string, answer_ids array<string>, pending_reason string, source string, mode string, confidence double, evidence array<string>, vault_version string, created_at timestamp, updated_at timestamp"
+STANDING_FIELDS = ["event_id", "ts", "batch_id", "status", "answer_id", "answer_ids", "mode", "confidence", "evidence", "vault_version"]
+#: Per pass what stands in it and its first accepted decision.
+PASS_KEY = ["chat_id", "insight_id", "pass_id"]
 
 
-class InsightKeeper(StatefulProcessor):
-    """Per (chat, insight) the last accepted decision of each pass, whatever the order of arrival.
+def insight_changes(judged: DataFrame) -> DataFrame:
+    """Changed passes from a stream of judged decisions, in update mode: per (chat, insight, pass) the last accepted decision and the
+    first, whatever the order of arrival.
 
-    The row that stands is that of the first pass that took the insight, or of the last pass where none did. A key holds one entry
-    per pass that decided on it, not its events, so an event that comes twice or late gives the same row as a batch over all events.
+    A maximum and a minimum, so an ordinary streaming aggregate: Spark keeps one row of state for a pass, not its events, and an event
+    that comes twice or late gives the same row as a batch over all events.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.passes = handle.getMapState("passes", "pass_id long", STANDING)
-        self.first = handle.getValueState("first", "pass_id long, event_id long, ts timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        first = tuple(self.first.get()) if self.first.exists() else None
-        for r in rows:
-            at = (r["pass_id"],)
-            held = self.passes.getValue(at) if self.passes.containsKey(at) else None
-            if held is None or r["event_id"] >= held[0]:
-                self.passes.updateValue(at, tuple(r[c] for c in STANDING_FIELDS))
-            first = min(filter(None, [first, (r["pass_id"], r["event_id"], r["ts"])]), key=lambda f: f[:2])
-        self.first.update(first)
-        stands, by_pass = None, sorted((number[0], held) for number, held in self.passes.iterator())
-        for _, held in by_pass:
-            stands = held
-            if held[3] == "take":
-                break
-        w = dict(zip(STANDING_FIELDS, stands, strict=True))
-        taken = w["status"] == "take"
-        yield Row(
-            chat_id=key[0], insight_id=key[1], batch_id=w["batch_id"], taken=True if taken else None, answer_id=w["answer_id"],
-            answer_ids=w["answer_ids"], pending_reason=None if taken else "question_only", source="auto-inference", mode=w["mode"],
-            confidence=w["confidence"], evidence=w["evidence"], vault_version=w["vault_version"], created_at=first[2], updated_at=w["ts"],
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def insight_changes(judged: DataFrame) -> DataFrame:
-    """Changed rows of the insight state from a stream of judged decisions, in update mode."""
     keep_state(judged.sparkSession)
     missing = {c: F.lit(None).cast(t) for c, t in (("evidence", "array<string>"), ("vault_version", "string")) if c not in judged.columns}
     accepted = judged.filter(F.col("status").isin("take", "question_only")).withColumns(missing).withColumn("ts", F.col("ts").cast("timestamp"))
-    keyed = accepted.select("chat_id", "insight_id", "pass_id", *STANDING_FIELDS).groupBy("chat_id", "insight_id")
-    return keyed.transformWithState(InsightKeeper(), INSIGHT_ROW, "Update", "None")
+    return accepted.groupBy(*PASS_KEY).agg(F.max(F.struct(*STANDING_FIELDS)).alias("stands"), F.min(F.struct("event_id", "ts")).alias("first"))
+
+
+def insight_rows(passes: DataFrame) -> DataFrame:
+    """The insight state of the newest rows of all passes: that of the first pass that took the insight, or of the last pass where none did."""
+    taking = F.when(F.col("stands.status") == "take", F.col("pass_id"))
+    folded = passes.groupBy("chat_id", "insight_id").agg(
+        F.coalesce(F.min_by("stands", taking), F.max_by("stands", "pass_id")).alias("w"), F.min(F.struct("pass_id", "first")).alias("f")
+    )
+    taken = F.col("w.status") == "take"
+    return folded.select(
+        "chat_id", "insight_id", "w.batch_id", F.when(taken, True).alias("taken"), "w.answer_id", "w.answer_ids",
+        F.when(~taken, "question_only").alias("pending_reason"), F.lit("auto-inference").alias("source"), "w.mode", "w.confidence",
+        "w.evidence", "w.vault_version", F.col("f.first.ts").alias("created_at"), F.col("w.ts").alias("updated_at"),
+    )
 
 
 # --- sessions -------------------------------------------------------------------------------------
@@ -198,6 +179,9 @@ class ChangeLog:
         done = snapshots[-1] if snapshots else -1
         parts = [("snapshots", done)] if snapshots else []
         parts += [("changes", n) for n in self._listed(spark, "changes", True) if n > done]
+        if len(parts) == 1:
+            # A micro-batch gives one row per key.
+            return spark.read.parquet(self._at(*parts[0])).dropna(subset=self.keys)
         rows = None
         for part, number in parts:
             one = spark.read.parquet(self._at(part, number)).withColumn("_number", F.lit(number).cast("long"))

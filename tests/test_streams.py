@@ -100,3 +100,20 @@ def test_replays_after_any_delay(spark, tmp_path, monkeypatch, fan):
             assert len(got) == len(set(got)) and set(got) == fresh
         seen, null_seen = seen | set(keys), True
     assert len(log.files()) <= (4 if fan == 2 else 7)
+
+
+def test_insight_state_is_kept_by_plain_aggregates(spark, tmp_path):
+    """No Python per key: the stream's state is a maximum and a minimum per pass. A decision of an earlier pass that comes later takes over."""
+    schema = DECISIONS.replace("ts long", "ts timestamp")
+    row = [
+        (5, 1, START + timedelta(seconds=5), 2, "i0", "b0", "QUESTION_AND_ANSWER", "B", 0.9),
+        (3, 1, START + timedelta(seconds=3), 1, "i0", "b0", "QUESTION_AND_ANSWER", "A", 0.9),
+        (1, 1, START + timedelta(seconds=1), 0, "i0", "b0", "QUESTION_ONLY", "", 0.9),
+    ]
+    stream = one_by_one(spark, files(spark, f"{tmp_path}/in", [[r] for r in row], schema), schema)
+    changes = keyed.insight_changes(I.judge_decisions(stream, vault(spark)))
+    plan = changes._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "TransformWithState" not in plan
+    K.upsert_insight_state(stream, vault(spark), f"{tmp_path}/state").start().awaitTermination()
+    got = K.read_insight_state(spark, f"{tmp_path}/state").collect()
+    assert [(r.answer_id, r.taken, r.updated_at, r.created_at) for r in got] == [("A", True, row[1][2], row[2][2])]
