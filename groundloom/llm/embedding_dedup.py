@@ -13,8 +13,14 @@ from .common import discard, stored
 from .components import components
 from .hnsw import Graph
 
-#: Bytes of a shard's vectors at most, shards at least and the vectors that each of these should have; vectors per block of queries.
-SHARD_BYTES, LEAST_SHARDS, LEAST_VECTORS, BLOCK_VECTORS = 1 << 26, 8, 128, 1 << 14
+#: Bytes of a shard's vectors at most, shards at least and the vectors that each of these should have.
+SHARD_BYTES, LEAST_SHARDS, LEAST_VECTORS = 1 << 26, 8, 128
+#: Vectors per block of queries; from this number of blocks on, blocks grow up to so many times that before more are made, as every block
+#: meets a copy of every graph.
+BLOCK_VECTORS, BLOCKS, BLOCK_GROWTH = 1 << 14, 8, 4
+#: Bytes of one row of a graph at most.
+PIECE_BYTES = 1 << 19
+GRAPH_SCHEMA = "dim int, shard int, kind int, piece int, data binary"
 #: Beams to choose from, and the share of the audited links that the chosen one has to find.
 BEAMS, RECALL = (16, 32, 64, 128, 256), 0.99
 #: Queries that are audited at first, and links that an audit has to hold; with fewer, four times as many queries are audited.
@@ -24,17 +30,31 @@ AUDIT, AUDIT_LINKS = 2048, 200
 CELLS = 1 << 22
 
 
-def _blob(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a).tobytes()
+def _pieces(arrays: list[np.ndarray]) -> pd.DataFrame:
+    """Arrays as rows of bounded size, by kind (the array's number) and piece."""
+    rows = []
+    for kind, a in enumerate(arrays):
+        data = memoryview(np.ascontiguousarray(a).reshape(-1).view(np.uint8))
+        rows += [(kind, piece, bytes(data[at : at + PIECE_BYTES])) for piece, at in enumerate(range(0, len(data), PIECE_BYTES))]
+    return pd.DataFrame(rows, columns=["kind", "piece", "data"])
+
+
+def _whole(pieces: pd.DataFrame) -> list[bytes]:
+    """The arrays' bytes, by kind."""
+    held = pieces.sort_values(["kind", "piece"])
+    return [b"".join(own) for _, own in held.groupby("kind")["data"]]
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The graph of one shard, in an order of insertion given by the vectors' hashes."""
+    """The graph of one shard, in an order of insertion given by the vectors' hashes: classes, their weights, unit vectors, and links by layer."""
     pdf = pdf.sort_values(["place", "rep"])
     vectors = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
     vectors /= np.linalg.norm(vectors, axis=1)[:, None]
     graph = Graph(vectors)
-    return pd.DataFrame({"dim": [vectors.shape[1]], "shard": [pdf["shard"].iloc[0]], "reps": [_blob(pdf["rep"].to_numpy(np.int64))], "weights": [_blob(pdf["n"].to_numpy(np.int64))], "vectors": [_blob(vectors)], "links": [[_blob(layer.links) for layer in graph.layers]]})
+    rows = _pieces([pdf["rep"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), vectors, *(layer.links for layer in graph.layers)])
+    rows.insert(0, "dim", vectors.shape[1])
+    rows.insert(1, "shard", pdf["shard"].iloc[0])
+    return rows
 
 
 def _exact(queries: np.ndarray, vectors: np.ndarray, threshold: float):
@@ -98,11 +118,12 @@ class _Forest:
                     self.edges.append((x, y))
 
 
-def _cell(queries: pd.DataFrame, shard: pd.Series):
+def _cell(queries: pd.DataFrame, pieces: pd.DataFrame):
     """The graph, its vectors, classes and weights, and the queries' classes and units."""
-    reps, weights = np.frombuffer(shard["reps"], np.int64), np.frombuffer(shard["weights"], np.int64)
-    vectors = np.frombuffer(shard["vectors"]).reshape(len(reps), -1)
-    graph = Graph(vectors, [np.frombuffer(x, np.int32).reshape(-1, 32) for x in shard["links"]])
+    reps, weights, vectors, *links = _whole(pieces)
+    reps, weights = np.frombuffer(reps, np.int64), np.frombuffer(weights, np.int64)
+    vectors = np.frombuffer(vectors).reshape(len(reps), -1)
+    graph = Graph(vectors, [np.frombuffer(x, np.int32).reshape(-1, 32) for x in links])
     units = np.stack(queries["vec"].to_numpy()).astype(np.float64)
     units /= np.linalg.norm(units, axis=1)[:, None]
     return graph, vectors, reps, weights, queries["rep"].to_numpy(np.int64), units
@@ -114,7 +135,7 @@ def _audit(threshold: float):
         first that finds enough are not tried; they find no fewer."""
         if queries.empty or shards.empty:
             return pd.DataFrame({"beam": [], "found": [], "links": []})
-        graph, vectors, reps, weights, own, units = _cell(queries, shards.iloc[0])
+        graph, vectors, reps, weights, own, units = _cell(queries, shards)
         ones = np.ones_like(weights)
         truth = _links(_exact(units, vectors, threshold), own, reps, ones)
         some, found = np.flatnonzero(truth), []
@@ -133,7 +154,7 @@ def _search(threshold: float, beam: int):
         """Links from one block of queries to one shard: their number per query, and edges that connect what the links connect."""
         if queries.empty or shards.empty:
             return pd.DataFrame({"rep": [], "links": [], "other": []})
-        graph, vectors, reps, weights, own, units = _cell(queries, shards.iloc[0])
+        graph, vectors, reps, weights, own, units = _cell(queries, shards)
         links, forest = np.zeros(len(own), np.int64), _Forest()
         for q, p in _walked(graph, units, vectors, threshold, beam):
             other = own[q] != reps[p]
@@ -147,6 +168,10 @@ def _search(threshold: float, beam: int):
     return run
 
 
+def _blocks(count: int) -> int:
+    return max(1, min(BLOCKS, math.ceil(count / BLOCK_VECTORS)), math.ceil(count / (BLOCK_VECTORS * BLOCK_GROWTH)))
+
+
 def _met(queries: DataFrame, graphs: DataFrame, shards: int, blocks: int, fn, schema: str) -> DataFrame:
     """Every block of queries with every shard of its length."""
     keys = ["dim", "block", "shard"]
@@ -166,7 +191,7 @@ def audited_beam(queries: DataFrame, graphs: DataFrame, shards: int, count: int,
     while True:
         part = max(1, count // size)
         sample = queries.where(F.pmod(F.xxhash64("place", F.lit(5)), F.lit(part)) == 0)
-        cells = _met(sample, graphs, shards, max(1, math.ceil(min(size, count) / BLOCK_VECTORS)), _audit(threshold), "beam int, found long, links long")
+        cells = _met(sample, graphs, shards, _blocks(min(size, count)), _audit(threshold), "beam int, found long, links long")
         rows = cells.groupBy("beam").agg(F.sum("found").alias("found"), F.sum("links").alias("links")).orderBy("beam").collect()
         if part == 1 or (rows and rows[0]["links"] >= AUDIT_LINKS):
             return next((r["beam"] for r in rows if r["found"] >= RECALL * r["links"]), BEAMS[-1])
@@ -178,8 +203,8 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     key that links lead to, and whether that is the row's own.
 
     Equal vectors form one class, so a vector with any number of copies is searched once and counts by its copies. Classes are
-    dealt out to shards by hash, more shards for more or longer vectors, and each shard gets one graph of bounded size. An audit over
-    all shards chooses the beam. Each block of classes searches every shard; what is found is verified in double precision. Within a block and shard, links are only counted, and a spanning forest of
+    dealt out to shards by hash, more shards for more or longer vectors, and each shard gets one graph of bounded size, kept in rows of
+    ``PIECE_BYTES`` that a task puts together. An audit over all shards chooses the beam. Each block of classes searches every shard; what is found is verified in double precision. Within a block and shard, links are only counted, and a spanning forest of
     them goes on to the components, so a large group of near copies makes rows in proportion to its members.
 
     Null vectors, zero vectors, and vectors with null or non-finite components link with nothing; neither do rows with a null key
@@ -196,10 +221,10 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     per_shard = max(LEAST_VECTORS, SHARD_BYTES // (8 * (dim or 1)))
     shards = max(1, math.ceil(count / per_shard), min(LEAST_SHARDS, count // LEAST_VECTORS))
     dealt = classes.withColumn("dim", F.size("vec")).withColumn("shard", F.pmod(F.xxhash64("rep", "place"), F.lit(shards)).cast("int"))
-    graphs = stored(dealt.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, reps binary, weights binary, vectors binary, links array<binary>"), "graphs")
+    graphs = stored(dealt.groupBy("dim", "shard").applyInPandas(_build, GRAPH_SCHEMA), "graphs")
     queries = dealt.drop("shard")
     beam = audited_beam(queries, graphs, shards, count, threshold)
-    links = stored(_met(queries, graphs, shards, max(1, math.ceil(count / BLOCK_VECTORS)), _search(threshold, beam), "rep long, links long, other long"), "links")
+    links = stored(_met(queries, graphs, shards, _blocks(count), _search(threshold, beam), "rep long, links long, other long"), "links")
     discard(graphs)
     linked = links.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(links.where("other is not null"), "rep", "other").withColumnRenamed("node", "rep")

@@ -87,6 +87,25 @@ def test_self_hits_are_no_links():
     assert ed._links(slices, own, np.array([5, 6, 7]), np.array([1, 3, 1])).tolist() == [3, 0, 0]
 
 
+def test_rows_of_a_graph_are_small(monkeypatch):
+    """A graph is kept in rows of bounded size, and a task gets it back whole whatever their order."""
+    monkeypatch.setattr(ed, "PIECE_BYTES", 1000, raising=False)
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame({"place": rng.permutation(700), "rep": np.arange(700), "n": 2, "shard": 3, "vec": list(rng.normal(size=(700, 16)))})
+    kept = ed._build(rows)
+    assert max(sum(len(x) for x in row if isinstance(x, bytes)) for row in kept.itertuples(index=False)) <= 1000
+    graph, vectors, reps, weights, own, units = ed._cell(rows, kept.sample(frac=1, random_state=1))
+    order = rows.sort_values(["place", "rep"])
+    assert reps.tolist() == order["rep"].tolist() and set(weights) == {2} and own.tolist() == list(range(700))
+    want = Graph(units[order["rep"].to_numpy()])
+    assert np.array_equal(vectors, units[reps]) and all((a.links == b.links).all() for a, b in zip(graph.layers, want.layers, strict=True))
+
+
+def test_blocks_of_many_queries():
+    """Every block meets a copy of every graph, so blocks grow before more of them are made."""
+    assert [ed._blocks(n) for n in (0, 1, 51_282, 120_000, 615_384)] == [1, 1, 4, 8, 10]
+
+
 def test_small_tables_walk_graphs():
     """The smallest test tables give shards of more vectors than four of the narrowest beam."""
     for count in (500, 1000, 2000, 60_000):
