@@ -88,6 +88,14 @@ def test_expand(spark):
     assert rows_of(expand(left, right, ["k"], block_rows=8).select("n", "k", "v")) == rows_of(left.join(right, "k").select("n", "k", "v"))
 
 
+def test_tasks_follow_the_rows_to_open(spark):
+    """Few bytes that open many rows are dealt out to many tasks, also where one key has them all."""
+    left = spark.range(2000).selectExpr("id AS n", "'a' AS k")
+    right = spark.range(1000).selectExpr("'a' AS k", "id AS v")
+    made = [r["count"] for r in expand(left, right, ["k"], block_rows=100, task_rows=50_000).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 2_000_000 and len(made) >= 10 and max(made) <= 500_000
+
+
 def vault(spark):
     rows = [(f"b{i % 2}", i % 5 != 4, f"i{i}", i, a, label, alias) for i in range(12) for a, label, alias in [("A", "Red", "x1"), ("B", f"Blue {i % 3}", "red"), ("C", "", "zz")]]
     return spark.createDataFrame(rows, "batch_id string, insight_active boolean, insight_id string, pos long, answer_id string, label string, alias string").withColumn("batch_active", F.lit(True))
